@@ -67,6 +67,13 @@ FIXTURE_VIEWS: dict[str, str] = {
     "logs": "SELECT event_id AS id, user_id AS batch_id, event_type AS log, ts AS created_at FROM events",
     "url_checked_for_duplicate": "SELECT id AS url_id, created_at FROM urls WHERE id % 3 = 0",
     "url_probed_for_404": "SELECT id AS url_id, created_at AS last_probed_at FROM urls WHERE id % 4 = 0",
+    "url_html_content": """SELECT DISTINCT url_id, CASE WHEN l_linenumber=3 THEN 'Title' ELSE 'Description' END AS content_type,
+ CONCAT(CASE WHEN l_linenumber=3 THEN 'Title ' ELSE 'About ' END, url) AS content FROM collected WHERE l_linenumber IN (3, 4)""",
+    "url_compressed_html": """SELECT DISTINCT url_id,
+ CONCAT('<html><head><title>', url, '</title></head><body><div>', url, '</div></body></html>') AS html
+ FROM collected WHERE l_linenumber=3""",
+    "url_optional_data_source_metadata": """SELECT id AS url_id, ['HTML text'] AS record_formats,
+ CASE WHEN id % 2 = 0 THEN 'CKAN' END AS data_portal_type, CAST(NULL AS VARCHAR) AS supplying_entity FROM urls WHERE id % 5 = 0""",
     "web_pages": "SELECT page_id AS url_id, url, html, 'text/html' AS content_type FROM pages",
 }
 

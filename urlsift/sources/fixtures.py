@@ -210,6 +210,28 @@ class Tables:
         return self.urls.where(F.col("id") % 4 == 0).select(F.col("id").alias("url_id"),
                                                             F.col("created_at").alias("last_probed_at"))
 
+    # ---- HTML and metadata derived from collections (not in FIXTURES.md; documented in README) ---------------
+    @cached_property
+    def url_html_content(self) -> DataFrame:
+        c = self.collected.where(F.col("l_linenumber").isin(3, 4))
+        kind = F.when(F.col("l_linenumber") == 3, "Title").otherwise("Description")
+        text = F.concat(F.when(F.col("l_linenumber") == 3, F.lit("Title ")).otherwise(F.lit("About ")), F.col("url"))
+        return c.select("url_id", kind.alias("content_type"), text.alias("content")).distinct()
+
+    @cached_property
+    def url_compressed_html(self) -> DataFrame:
+        c = self.collected.where(F.col("l_linenumber") == 3)
+        html = F.concat(F.lit("<html><head><title>"), F.col("url"), F.lit("</title></head><body><div>"),
+                        F.col("url"), F.lit("</div></body></html>"))
+        return c.select("url_id", html.alias("html")).distinct()
+
+    @cached_property
+    def url_optional_data_source_metadata(self) -> DataFrame:
+        u = self.urls.where(F.col("id") % 5 == 0)
+        return u.select(F.col("id").alias("url_id"), F.array(F.lit("HTML text")).alias("record_formats"),
+                        F.when(F.col("id") % 2 == 0, F.lit("CKAN")).alias("data_portal_type"),
+                        F.lit(None).cast("string").alias("supplying_entity"))
+
     # ---- HTML --------------------------------------------------------------------------------------------------
     @cached_property
     def pages(self) -> DataFrame:
