@@ -234,7 +234,7 @@ class Tables:
 
     # ---- HTML --------------------------------------------------------------------------------------------------
     @cached_property
-    def pages(self) -> DataFrame:
+    def web_pages(self) -> DataFrame:
         """Raw pages as fetch answers: (url_id, url, html, content_type)."""
         p = self.base("pages")
         return p.select(F.col("page_id").alias("url_id"), "url", "html", F.lit("text/html").alias("content_type"))
