@@ -140,7 +140,7 @@ def normalize_record_formats(formats: Column | str) -> Column:
 
 def extra_value(extras: Column | str, key: str) -> Column:
     """First ``value`` of an ``extras`` array<struct<key,value>> entry with the given key (null if none)."""
-    return F.filter(_c(extras), lambda e: e["key"] == F.lit(key))[0]["value"]
+    return F.get(F.filter(_c(extras), lambda e: e["key"] == F.lit(key)), 0)["value"]
 
 
 def ckan_supplying_entity(pkg: Column | str) -> Column:
@@ -157,8 +157,8 @@ def ckan_source_url(pkg: Column | str) -> Column:
     landing = F.filter(p["extras"], lambda e: e["key"] == F.lit("landingPage"))
     one_link = (n_res == 1) & (formats == F.array(F.lit("HTML text")))
     none = n_res == 0
-    url = (F.when(one_link, p["resources"][0]["url"])
-           .when(none, landing[0]["value"])
+    url = (F.when(one_link, F.get(p["resources"], 0)["url"])
+           .when(none, F.get(landing, 0)["value"])
            .otherwise(F.concat(p["base_url"], F.lit("dataset/"), p["name"])))
     fmt = F.when(none, F.array(F.lit("HTML text"))).otherwise(formats)
     portal = F.when(~one_link & ~none, F.lit("CKAN"))

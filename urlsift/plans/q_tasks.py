@@ -1,4 +1,213 @@
-"""Registered queries (filled in per operator family)."""
+"""Registered enrichment-task queries (J) with answer tables derived from the given data, and their oracles.
 
-QUERIES = {}
-ORACLES = {}
+The remote services of the reference (page fetches, probes, classifiers, the agency matcher, the submission API)
+are replaced by answer tables that Spark derives from the base tables, so every task runs over the whole queue.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from urlsift.functions.html import html_content_wide
+from urlsift.operators import queues as qs
+from urlsift.operators import tasks as tk
+from urlsift.plans.catalog import AS_OF
+from urlsift.plans.oracle import with_views
+from urlsift.plans.q_html import _P as PARSED_CTE
+from urlsift.sources.fixtures import load_model
+
+
+def _fetched(t):
+    p = t["web_pages"]
+    m = F.col("url_id") % 10
+    status = F.when(m == 0, 404).when(m == 1, 500).when(m == 2, F.lit(None)).otherwise(200)
+    return p.select("url_id", (status == 200).alias("success"), status.cast("int").alias("status"), "html",
+                    "content_type", F.when(m == 2, F.lit("timeout")).alias("exception"))
+
+
+def _html_task(spark, d):
+    t = load_model(spark, d)
+    return tk.html_task(t["web_pages"].select(F.col("url_id").alias("id"), "url"), _fetched(t))
+
+
+def _probe(spark, d):
+    t = load_model(spark, d)
+    q = qs.queue_404_probe(t, AS_OF)
+    m = F.col("id") % 7
+    probes = t["urls"].select(F.col("id").alias("url_id"),
+                              F.when(m == 0, 404).when(m == 1, F.lit(None)).otherwise(200).alias("status"))
+    return t, tk.probe_404_task(q, probes, AS_OF)
+
+
+def _record_type(spark, d):
+    t = load_model(spark, d)
+    m = F.col("id") % 3
+    labels = t["urls"].select(F.col("id").alias("url_id"),
+                              F.when(m == 0, "Other").when(m == 1, "Stops").otherwise("bogus").alias("label"))
+    return tk.record_type_task(qs.queue_record_type(t), labels)
+
+
+def _agency(spark, d):
+    t = load_model(spark, d)
+    q = qs.queue_agency(t)
+    names = q.select(F.col("id").alias("url_id"), (F.col("id") / 10000000).cast("long").alias("agency_id")).join(
+        t["agencies"].select("agency_id", "name"), "agency_id", "left").select(
+        "url_id", F.when(F.col("url_id") % 3 == 0, F.concat(F.lit("Unknown agency "), F.col("url_id").cast("string")))
+        .otherwise(F.upper(F.col("name"))).alias("agency_name"))
+    return tk.agency_task(q, tk.agency_name_match(names, t["agencies"]))
+
+
+def _misc(spark, d):
+    t = load_model(spark, d)
+    q = qs.queue_misc_metadata(t)
+    i, s = F.col("id").cast("string"), F.col("strategy")
+    ckan_meta = F.struct(F.concat(F.lit("N "), i).alias("submitted_name"), F.concat(F.lit("D "), i).alias("description"),
+                         F.array(F.lit("CSV"), F.lit("PDF")).alias("record_format"), F.lit("CKAN").alias("data_portal_type"),
+                         F.when(F.col("id") % 2 == 1, F.lit("Entity")).alias("supplying_entity"))
+    meta = (F.when(s == "auto_googler", F.to_json(F.struct(F.concat(F.lit("T "), i).alias("title"),
+                                                           F.concat(F.lit("S "), i).alias("snippet"))))
+            .when(s.isin(tk.FOIA), F.to_json(F.struct(F.concat(F.lit("T "), i).alias("title"))))
+            .when(s == "ckan", F.to_json(ckan_meta)))
+    return tk.misc_metadata_task(q.withColumn("collector_metadata", meta), html_content_wide(t["url_html_content"]))
+
+
+def _submission(spark, d):
+    t = load_model(spark, d)
+    v = t["urls"].where(F.col("outcome") == "validated").select(F.col("id").alias("url_id"))
+    rec = v.select("url_id", F.when(F.col("url_id") % 4 != 0, F.col("url_id") * 10).alias("data_source_id"),
+                   F.when(F.col("url_id") % 4 == 0, F.lit("rejected")).alias("request_error"))
+    return tk.submission_task(v, rec, AS_OF)
+
+
+def _sync_pages(t):
+    c = t.base("customer")
+    return c.select(((F.col("c_custkey") / 100).cast("int") + 1).alias("page"), (F.col("c_custkey") % 150).alias("agency_id"),
+                    F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("state_name"),
+                    F.lit(None).cast("string").alias("county_name"), F.lit(None).cast("string").alias("locality_name"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+                        F.lit(0), F.lit(0), F.lit(0), F.col("c_custkey").cast("decimal(18,6)"))).alias("updated_at"))
+
+
+def _keyword_hits(x: str) -> str:
+    return " + ".join(f"((length({x}) - length(replace({x}, '{w}', ''))) // {len(w)})"
+                      for w in ("record", "report", "police", "data", "example"))
+
+
+QUERIES = {
+    "html_task_updates": lambda spark, d: _html_task(spark, d).status_updates,
+    "html_task_errors": lambda spark, d: _html_task(spark, d).errors,
+    "html_task_content_rows": lambda spark, d: _html_task(spark, d).appends["url_html_content"],
+    "duplicate_task": lambda spark, d: tk.duplicate_task(
+        qs.queue_duplicate_check(load_model(spark, d)),
+        load_model(spark, d)["duplicates"].select(F.col("original_url_id").alias("url_id")), AS_OF).status_updates,
+    "probe_404_task_updates": lambda spark, d: _probe(spark, d)[1].status_updates,
+    "probe_404_task_stamps": lambda spark, d: (lambda tc: __import__("urlsift.operators.review", fromlist=["u"]).upsert(
+        tc[0]["url_probed_for_404"], tc[1].upserts["url_probed_for_404"], ["url_id"]))(_probe(spark, d)),
+    "record_type_task_suggestions": lambda spark, d: _record_type(spark, d).appends["auto_record_type_suggestions"],
+    "record_type_task_errors": lambda spark, d: _record_type(spark, d).errors,
+    "relevance_task": lambda spark, d: tk.relevance_task(qs.queue_auto_relevance(load_model(spark, d))).appends[
+        "auto_relevant_suggestions"],
+    "agency_task_confirmed": lambda spark, d: _agency(spark, d).appends["confirmed_url_agency"],
+    "agency_task_auto": lambda spark, d: _agency(spark, d).appends["automated_url_agency_suggestions"],
+    "agency_task_errors": lambda spark, d: _agency(spark, d).errors,
+    "agency_task_agencies": lambda spark, d: _agency(spark, d).upserts["agencies"].distinct(),
+    "misc_metadata_task_names": lambda spark, d: _misc(spark, d).upserts["urls"],
+    "misc_metadata_task_errors": lambda spark, d: _misc(spark, d).errors,
+    "misc_metadata_task_rows": lambda spark, d: _misc(spark, d).appends["url_optional_data_source_metadata"],
+    "submission_task_updates": lambda spark, d: _submission(spark, d).status_updates,
+    "submission_task_errors": lambda spark, d: _submission(spark, d).errors,
+    "agency_sync": lambda spark, d: tk.agency_sync(load_model(spark, d)["agencies"], _sync_pages(load_model(spark, d))),
+    "agency_sync_cursor": lambda spark, d: tk.sync_cursor(_sync_pages(load_model(spark, d)), 1, AS_OF),
+    "link_task_urls": lambda spark, d: tk.link_task_urls(99999, qs.queue_html(load_model(spark, d))),
+}
+
+_QUEUE_404 = f"""q AS (SELECT u.id FROM urls u LEFT JOIN url_probed_for_404 p ON p.url_id=u.id WHERE u.outcome='pending'
+ AND (p.url_id IS NULL OR p.last_probed_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY))"""
+_QUEUE_RT = """q AS (SELECT u.id FROM urls u WHERE u.outcome='pending'
+ AND NOT EXISTS (SELECT 1 FROM auto_record_type_suggestions x WHERE x.url_id=u.id)
+ AND EXISTS (SELECT 1 FROM url_html_content h WHERE h.url_id=u.id))"""
+_QUEUE_AG = """q AS (SELECT u.id, b.strategy FROM urls u LEFT JOIN link_batch_urls l ON l.url_id=u.id LEFT JOIN batches b ON b.id=l.batch_id
+ WHERE u.outcome='pending' AND NOT EXISTS (SELECT 1 FROM automated_url_agency_suggestions x WHERE x.url_id=u.id)
+ AND NOT EXISTS (SELECT 1 FROM confirmed_url_agency x WHERE x.url_id=u.id)),
+ r AS (SELECT id AS url_id, strategy, CASE WHEN strategy IN ('muckrock_simple_search','muckrock_county_search','muckrock_all_search','ckan') THEN 'match'
+  WHEN strategy IN ('auto_googler','common_crawler') THEN 'unknown' ELSE 'error' END AS route FROM q),
+ nm AS (SELECT r.url_id, a.agency_id FROM r LEFT JOIN agencies a ON r.url_id % 3 <> 0 AND a.agency_id = r.url_id // 10000000
+  WHERE r.route='match')"""
+_QUEUE_MISC = """q AS (SELECT u.id, b.strategy FROM urls u JOIN link_batch_urls l ON l.url_id=u.id JOIN batches b ON b.id=l.batch_id
+ WHERE u.outcome='pending' AND NOT EXISTS (SELECT 1 FROM url_optional_data_source_metadata x WHERE x.url_id=u.id)),
+ hw AS (SELECT url_id, MAX(CASE WHEN content_type='Title' THEN content END) AS title,
+  MAX(CASE WHEN content_type='Description' THEN content END) AS description FROM url_html_content GROUP BY url_id)"""
+_FOIA = "('muckrock_simple_search','muckrock_county_search','muckrock_all_search')"
+
+ORACLES = {
+    "html_task_updates": """SELECT page_id AS url_id, CASE WHEN page_id % 10 = 0 THEN '404 not found' ELSE 'error' END AS outcome
+ FROM pages WHERE page_id % 10 IN (0, 1, 2)""",
+    "html_task_errors": """SELECT page_id AS url_id, CASE WHEN page_id % 10 = 1 THEN 'HTTP status 500' ELSE 'timeout' END AS error
+ FROM pages WHERE page_id % 10 IN (1, 2)""",
+    "html_task_content_rows": f"""WITH {PARSED_CTE} SELECT * FROM (
+ SELECT url_id, 'Title' AS content_type, title AS content FROM p UNION ALL
+ SELECT url_id, 'H1', h1 FROM p UNION ALL SELECT url_id, 'Div', div FROM p) r
+ WHERE trim(content) <> '' AND url_id % 10 >= 3""",
+    "duplicate_task": with_views(
+        """SELECT u.id AS url_id, 'duplicate' AS outcome FROM urls u WHERE u.outcome='pending'
+ AND NOT EXISTS (SELECT 1 FROM url_checked_for_duplicate x WHERE x.url_id=u.id)
+ AND EXISTS (SELECT 1 FROM duplicates d WHERE d.original_url_id=u.id)"""),
+    "probe_404_task_updates": with_views(
+        "SELECT id AS url_id, '404 not found' AS outcome FROM q WHERE id % 7 = 0", _QUEUE_404),
+    "probe_404_task_stamps": with_views(
+        f"""SELECT url_id, last_probed_at FROM url_probed_for_404 WHERE url_id NOT IN (SELECT id FROM q)
+ UNION ALL SELECT id AS url_id, TIMESTAMP '{AS_OF}' AS last_probed_at FROM q""", _QUEUE_404),
+    "record_type_task_suggestions": with_views(
+        "SELECT id AS url_id, CASE WHEN id % 3 = 0 THEN 'Other' ELSE 'Stops' END AS record_type FROM q WHERE id % 3 <> 2",
+        _QUEUE_RT),
+    "record_type_task_errors": with_views(
+        "SELECT id AS url_id, 'invalid value: bogus' AS error FROM q WHERE id % 3 = 2", _QUEUE_RT),
+    "relevance_task": with_views(
+        f"""SELECT url_id, hits > 0 AS relevant, round(hits / (hits + 1.0), 6) AS confidence, 'keyword-rule' AS model_name
+ FROM (SELECT u.id AS url_id, {_keyword_hits('lower(h.html)')} AS hits FROM urls u JOIN url_compressed_html h ON h.url_id=u.id
+ WHERE u.outcome='pending' AND NOT EXISTS (SELECT 1 FROM auto_relevant_suggestions x WHERE x.url_id=u.id)) s"""),
+    "agency_task_confirmed": with_views("SELECT url_id, agency_id FROM nm WHERE agency_id IS NOT NULL", _QUEUE_AG),
+    "agency_task_auto": with_views(
+        """SELECT url_id, CAST(NULL AS BIGINT) AS agency_id, TRUE AS is_unknown FROM nm WHERE agency_id IS NULL
+ UNION ALL SELECT url_id, CAST(NULL AS BIGINT), TRUE FROM r WHERE route='unknown'""", _QUEUE_AG),
+    "agency_task_errors": with_views(
+        "SELECT url_id, CONCAT('No agency subtask for collector ', COALESCE(strategy, 'none')) AS error FROM r WHERE route='error'",
+        _QUEUE_AG),
+    "agency_task_agencies": with_views(
+        """SELECT DISTINCT a.agency_id, a.name, a.state, a.county, CAST(NULL AS VARCHAR) AS locality
+ FROM nm JOIN agencies a ON a.agency_id=nm.agency_id""", _QUEUE_AG),
+    "misc_metadata_task_names": with_views(
+        f"""SELECT q.id AS url_id,
+ COALESCE(CASE WHEN strategy IN {_FOIA} OR strategy='auto_googler' THEN CONCAT('T ', CAST(q.id AS VARCHAR))
+  WHEN strategy='ckan' THEN CONCAT('N ', CAST(q.id AS VARCHAR)) END, hw.title) AS name,
+ COALESCE(CASE WHEN strategy IN {_FOIA} THEN CONCAT('T ', CAST(q.id AS VARCHAR))
+  WHEN strategy='auto_googler' THEN CONCAT('S ', CAST(q.id AS VARCHAR)) WHEN strategy='ckan' THEN CONCAT('D ', CAST(q.id AS VARCHAR)) END,
+  hw.description) AS description FROM q LEFT JOIN hw ON hw.url_id=q.id""", _QUEUE_MISC),
+    "misc_metadata_task_errors": with_views(
+        "SELECT id AS url_id, '''supplying_entity''' AS error FROM q WHERE strategy='ckan' AND id % 2 = 0", _QUEUE_MISC),
+    "misc_metadata_task_rows": with_views(
+        """SELECT id AS url_id, CASE WHEN strategy='ckan' THEN ['CSV', 'PDF'] END AS record_formats,
+ CASE WHEN strategy='ckan' THEN 'CKAN' END AS data_portal_type,
+ CASE WHEN strategy='ckan' AND id % 2 = 1 THEN 'Entity' END AS supplying_entity FROM q""", _QUEUE_MISC),
+    "submission_task_updates": with_views(
+        "SELECT id AS url_id, 'submitted' AS outcome FROM urls WHERE outcome='validated' AND id % 4 <> 0"),
+    "submission_task_errors": with_views(
+        "SELECT id AS url_id, 'rejected' AS error FROM urls WHERE outcome='validated' AND id % 4 = 0"),
+    "agency_sync": with_views(
+        """SELECT a.* FROM agencies a WHERE a.agency_id NOT IN (SELECT agency_id FROM pg)
+ UNION ALL SELECT agency_id, arg_max(display_name, k) AS name, arg_max(state_name, k) AS state,
+  CAST(NULL AS VARCHAR) AS county, CAST(NULL AS VARCHAR) AS locality FROM pg GROUP BY agency_id""",
+        """pg AS (SELECT CAST(c_custkey // 100 AS INT) + 1 AS page, c_custkey % 150 AS agency_id, c_name AS display_name,
+ c_mktsegment AS state_name, c_custkey AS k FROM customer WHERE CAST(c_custkey // 100 AS INT) + 1 < 31)"""),
+    "agency_sync_cursor": f"""SELECT CASE WHEN done THEN TIMESTAMP '{AS_OF}' END AS last_full_sync_at,
+ CASE WHEN done THEN DATE '{AS_OF[:10]}' - 1 END AS current_cutoff_date,
+ CASE WHEN done THEN NULL ELSE CAST(last + 1 AS INT) END AS current_page
+ FROM (SELECT MAX(CAST(c_custkey // 100 AS INT) + 1) AS last,
+  MAX(CAST(c_custkey // 100 AS INT) + 1) IS NULL OR MAX(CAST(c_custkey // 100 AS INT) + 1) < 30 AS done
+  FROM customer WHERE CAST(c_custkey // 100 AS INT) + 1 < 31) s""",
+    "link_task_urls": with_views(
+        """SELECT 99999 AS task_id, u.id AS url_id FROM urls u WHERE u.outcome='pending'
+ AND NOT EXISTS (SELECT 1 FROM url_html_content x WHERE x.url_id=u.id)
+ AND NOT EXISTS (SELECT 1 FROM link_task_urls lt JOIN tasks tk ON tk.id=lt.task_id
+  WHERE lt.url_id=u.id AND tk.task_type='HTML' AND tk.task_status='ready to label')"""),
+}
