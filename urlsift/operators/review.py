@@ -29,7 +29,12 @@ TABLE_KEYS = {
 def _align(df: DataFrame, like: DataFrame) -> DataFrame:
     cols = []
     for f in like.schema.fields:
-        cols.append(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name))
+        if f.name not in df.columns:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif df.schema[f.name].dataType.simpleString() == f.dataType.simpleString():
+            cols.append(F.col(f.name))  # same type up to nullability: union widens it
+        else:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
     return df.select(*cols)
 
 

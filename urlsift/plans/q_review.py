@@ -1,4 +1,135 @@
-"""Registered queries (filled in per operator family)."""
+"""Registered annotation / review / merge / quality queries (M, Q) and their DuckDB oracles.
 
-QUERIES = {}
-ORACLES = {}
+Decisions (annotations, approvals, rejections) are derived from the given tables, so each merge runs over the
+whole catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from urlsift.operators import quality as qc
+from urlsift.operators import review as rv
+from urlsift.plans.catalog import AS_OF
+from urlsift.plans.oracle import with_views
+from urlsift.sources.fixtures import load_model
+
+
+def _relevance_decisions(t):
+    c = t["collected"].where(F.col("l_quantity").cast("int") % 7 == 0)
+    o = t.base("orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_custkey").alias("user_id"))
+    st = F.when(F.col("l_quantity").cast("int") % 2 == 0, "relevant").otherwise("not relevant")
+    return c.join(o, "batch_id").select("url_id", "user_id", F.struct("batch_id", "l_linenumber").alias("seq"),
+                                        st.alias("suggested_status"))
+
+
+def _rejections(t):
+    u = t["urls"].where((F.col("outcome") == "pending") & (F.col("id") % 9 == 0))
+    m = F.col("id") % 4
+    reason = (F.when(m == 0, "not relevant").when(m == 1, "broken page/404 not found")
+              .when(m == 2, "individual record").otherwise("spam"))
+    return u.select(F.col("id").alias("url_id"), F.lit(1).cast("long").alias("user_id"), reason.alias("reason"))
+
+
+def _approvals(t):
+    u = t["urls"].where((F.col("outcome") == "pending") & (F.col("id") % 11 == 0))
+    i = F.col("id")
+    return u.select(i.alias("url_id"), F.lit(7).cast("long").alias("user_id"),
+                    F.when(i % 2 == 0, F.lit("Stops")).alias("record_type"),
+                    F.when(i % 3 != 0, F.array((i / 10000000).cast("long"))).alias("agency_ids"),
+                    F.when(i % 5 != 0, F.concat(F.lit("Name "), i.cast("string"))).alias("name"),
+                    F.concat(F.lit("Desc "), i.cast("string")).alias("description"))
+
+
+def _auto_info_flat(spark, d):
+    a = rv.agency_auto_info(load_model(spark, d))
+    return a.select("url_id", "unknown",
+                    F.array_sort(F.transform("suggestions", lambda x: x["suggestion_type"])).alias("suggestion_types"),
+                    F.array_sort(F.transform("suggestions", lambda x: x["agency_id"])).alias("agency_ids"))
+
+
+QUERIES = {
+    "apply_relevance_annotations": lambda spark, d: rv.apply_relevance_annotations(
+        load_model(spark, d), _relevance_decisions(load_model(spark, d))),
+    "apply_rejections_urls": lambda spark, d: rv.apply_rejections(
+        load_model(spark, d), _rejections(load_model(spark, d)))[0]["urls"].select("id", "outcome"),
+    "apply_rejections_rejects": lambda spark, d: rv.apply_rejections(
+        load_model(spark, d), _rejections(load_model(spark, d)))[1],
+    "apply_approvals_rejects": lambda spark, d: rv.apply_approvals(
+        load_model(spark, d), _approvals(load_model(spark, d)))[1],
+    "apply_approvals_confirmed": lambda spark, d: rv.apply_approvals(
+        load_model(spark, d), _approvals(load_model(spark, d)))[0]["confirmed_url_agency"],
+    "apply_approvals_status": lambda spark, d: rv.apply_approvals(
+        load_model(spark, d), _approvals(load_model(spark, d)))[0]["urls"].groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n")),
+    "agency_auto_info": _auto_info_flat,
+    "agency_user_info": lambda spark, d: rv.agency_user_info(load_model(spark, d)),
+    "review_record": lambda spark, d: rv.review_record(load_model(spark, d)),
+    "expire_logs": lambda spark, d: rv.expire_logs(load_model(spark, d), AS_OF),
+    "check_model": lambda spark, d: qc.check_model(load_model(spark, d)),
+    "check_fk_duplicates": lambda spark, d: qc.check_fk(
+        load_model(spark, d)["duplicates"], "duplicates", "batch_id", load_model(spark, d)["batches"], "id"),
+    "check_enum_tasks": lambda spark, d: qc.check_enum(
+        load_model(spark, d)["tasks"], "tasks", "task_type", ["HTML", "Relevancy", "Record Type"]),
+    "check_unique_user_agency": lambda spark, d: qc.check_unique(
+        load_model(spark, d)["user_url_agency_suggestions"], "user_url_agency_suggestions", ["url_id"]),
+}
+
+_APPROVALS = """ap AS (SELECT id AS url_id, CASE WHEN id % 2 = 0 THEN 'Stops' END AS record_type,
+ CASE WHEN id % 3 <> 0 THEN [id // 10000000] END AS agency_ids,
+ CASE WHEN id % 5 <> 0 THEN CONCAT('Name ', CAST(id AS VARCHAR)) END AS name FROM urls WHERE outcome='pending' AND id % 11 = 0),
+ ar AS (SELECT url_id, agency_ids, CASE WHEN record_type IS NULL THEN 'Must specify record_type if it does not already exist'
+  WHEN agency_ids IS NULL AND NOT EXISTS (SELECT 1 FROM confirmed_url_agency c WHERE c.url_id=ap.url_id)
+   THEN 'Must specify agency_id if URL does not already have a confirmed agency'
+  WHEN name IS NULL THEN 'Must specify name if it does not already exist' END AS reason FROM ap)"""
+
+ORACLES = {
+    "apply_relevance_annotations": with_views(
+        """SELECT url_id, user_id, suggested_status FROM user_relevant_suggestions s
+ WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE d.url_id=s.url_id AND d.user_id=s.user_id)
+UNION ALL SELECT url_id, user_id, suggested_status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY url_id, user_id
+ ORDER BY batch_id DESC, l_linenumber DESC, suggested_status DESC) AS rk FROM dec) x WHERE rk=1""",
+        """dec AS (SELECT c.url_id, o.o_custkey AS user_id, c.batch_id, c.l_linenumber,
+ CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN 'relevant' ELSE 'not relevant' END AS suggested_status
+ FROM collected c JOIN orders o ON o.o_orderkey=c.batch_id WHERE CAST(l_quantity AS INT) % 7 = 0)"""),
+    "apply_rejections_urls": with_views(
+        """SELECT id, CASE WHEN outcome='pending' AND id % 9 = 0 AND id % 4 <> 3 THEN
+ CASE id % 4 WHEN 0 THEN 'not relevant' WHEN 1 THEN '404 not found' ELSE 'individual record' END ELSE outcome END AS outcome
+ FROM urls"""),
+    "apply_rejections_rejects": with_views(
+        "SELECT id AS url_id, 'Invalid rejection reason: spam' AS reason FROM urls WHERE outcome='pending' AND id % 9 = 0"
+        " AND id % 4 = 3"),
+    "apply_approvals_rejects": with_views("SELECT url_id, reason FROM ar WHERE reason IS NOT NULL", _APPROVALS),
+    "apply_approvals_confirmed": with_views(
+        """SELECT c.url_id, c.agency_id FROM confirmed_url_agency c
+ WHERE NOT EXISTS (SELECT 1 FROM ar WHERE ar.reason IS NULL AND ar.agency_ids IS NOT NULL AND ar.url_id=c.url_id)
+UNION ALL SELECT url_id, agency_ids[1] AS agency_id FROM ar WHERE reason IS NULL AND agency_ids IS NOT NULL""",
+        _APPROVALS),
+    "apply_approvals_status": with_views(
+        """SELECT CASE WHEN ar.url_id IS NOT NULL THEN 'validated' ELSE u.outcome END AS outcome, COUNT(*) AS n
+ FROM urls u LEFT JOIN (SELECT url_id FROM ar WHERE reason IS NULL) ar ON ar.url_id=u.id GROUP BY 1""", _APPROVALS),
+    "agency_auto_info": with_views(
+        """SELECT url_id, n=1 AND u=1 AS unknown,
+ CASE WHEN n=1 AND u=1 THEN ['Unknown'] ELSE list_sort(tl) END AS suggestion_types,
+ CASE WHEN n=1 AND u=1 THEN [CAST(NULL AS BIGINT)] ELSE list_sort(il) END AS agency_ids
+FROM (SELECT url_id, COUNT(*) AS n, MAX(CAST(is_unknown AS INT)) AS u, list('Auto Suggestion') AS tl, list(agency_id) AS il
+ FROM automated_url_agency_suggestions GROUP BY url_id) s"""),
+    "agency_user_info": with_views(
+        """SELECT f.url_id, CASE WHEN COALESCE(f.is_new, FALSE) THEN 'New Agency' ELSE 'User Suggestion' END AS suggestion_type,
+ CASE WHEN NOT COALESCE(f.is_new, FALSE) THEN f.agency_id END AS agency_id,
+ CASE WHEN NOT COALESCE(f.is_new, FALSE) THEN a.name END AS agency_name,
+ CASE WHEN NOT COALESCE(f.is_new, FALSE) THEN a.state END AS state,
+ CASE WHEN NOT COALESCE(f.is_new, FALSE) THEN a.county END AS county,
+ CASE WHEN NOT COALESCE(f.is_new, FALSE) THEN a.locality END AS locality
+FROM (SELECT url_id, arg_min(agency_id, user_id) AS agency_id, arg_min(is_new, user_id) AS is_new
+ FROM user_url_agency_suggestions GROUP BY url_id) f LEFT JOIN agencies a ON a.agency_id=f.agency_id"""),
+    "expire_logs": with_views(f"SELECT * FROM logs WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"),
+    "check_fk_duplicates": with_views(
+        """SELECT 'fk' AS rule, 'duplicates' AS "table", CAST(batch_id AS VARCHAR) AS key, 'batch_id without parent' AS detail
+ FROM duplicates d WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.id=d.batch_id)"""),
+    "check_enum_tasks": with_views(
+        """SELECT 'enum' AS rule, 'tasks' AS "table", CAST(id AS VARCHAR) AS key, CONCAT('task_type=', task_type) AS detail
+ FROM tasks WHERE task_type NOT IN ('HTML', 'Relevancy', 'Record Type')"""),
+    "check_unique_user_agency": with_views(
+        """SELECT 'unique' AS rule, 'user_url_agency_suggestions' AS "table", to_json(struct_pack(url_id:=url_id)) AS key,
+ CONCAT('rows=', CAST(COUNT(*) AS VARCHAR)) AS detail FROM user_url_agency_suggestions GROUP BY url_id HAVING COUNT(*) > 1"""),
+}
