@@ -17,18 +17,18 @@ AS_OF = "2024-02-01 00:00:00"
 
 
 def all_queries() -> dict[str, Builder]:
-    from urlsift.plans import q_metrics, q_queues, q_intake, q_html, q_tasks, q_review  # noqa: F401
+    from urlsift.plans import q_metrics, q_queues, q_intake, q_html, q_tasks, q_review, q_streams  # noqa: F401
 
     out: dict[str, Builder] = {}
-    for mod in (q_metrics, q_queues, q_intake, q_html, q_tasks, q_review):
+    for mod in (q_metrics, q_queues, q_intake, q_html, q_tasks, q_review, q_streams):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict[str, str]:
-    from urlsift.plans import q_metrics, q_queues, q_intake, q_html, q_tasks, q_review  # noqa: F401
+    from urlsift.plans import q_metrics, q_queues, q_intake, q_html, q_tasks, q_review, q_streams  # noqa: F401
 
     out: dict[str, str] = {}
-    for mod in (q_metrics, q_queues, q_intake, q_html, q_tasks, q_review):
+    for mod in (q_metrics, q_queues, q_intake, q_html, q_tasks, q_review, q_streams):
         out.update(mod.ORACLES)
     return out
