@@ -16,12 +16,36 @@ Scale notes
 
 from __future__ import annotations
 
-from functools import cached_property
+import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsift.operators.loads import first_occurrence, first_rows
+from urlsift.session import checkpoint_dir
+
+# (application id, data dir, table) -> path of the written table, filled after a successful write
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def cached_property(fn):
+    """A model table: built once per :class:`Tables`; with ``materialize`` it is written once per application
+    to the shared checkpoint folder as zstd Parquet and read back, as a stored catalogue table would be, so the
+    derivation (aggregations over the collections) runs once instead of once per query, and lineage is cut."""
+    name = fn.__name__
+
+    def getter(self):
+        cache = self.__dict__.setdefault("_cache", {})
+        if name not in cache:
+            df = fn(self)
+            if self.materialize:
+                df = self._stored(name, df)
+            cache[name] = df
+        return cache[name]
+
+    getter.__doc__ = fn.__doc__
+    return property(getter)
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -50,9 +74,22 @@ def _outcome(partkey, suppkey):
 class Tables:
     """Model tables of one data directory; attribute access builds (and memoises) the DataFrame plan."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        if materialize is None:
+            materialize = os.environ.get("URLSIFT_MATERIALIZE", "1") == "1"
+        self.materialize = materialize
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = hashlib.sha1(f"{key[0]}|{self.sf_dir}".encode()).hexdigest()[:16]
+            path = f"{checkpoint_dir(self.spark).rstrip('/')}/urlsift-model/{tag}/{name}"
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(path)
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -240,6 +277,7 @@ class Tables:
         return p.select(F.col("page_id").alias("url_id"), "url", "html", F.lit("text/html").alias("content_type"))
 
 
-def load_model(spark: SparkSession, sf_dir: str) -> Tables:
-    """A1: the typed model tables of a data directory."""
-    return Tables(spark, sf_dir)
+def load_model(spark: SparkSession, sf_dir: str, materialize: bool | None = None) -> Tables:
+    """A1: the typed model tables of a data directory (``materialize``: store derived tables once, default on;
+    ``URLSIFT_MATERIALIZE=0`` keeps every table a lazy plan over the base files)."""
+    return Tables(spark, sf_dir, materialize)
