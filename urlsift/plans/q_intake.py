@@ -112,3 +112,11 @@ UNION ALL SELECT url, {_JSON_ROW} AS collector_metadata FROM collected"""),
         "SELECT id, date_trunc('month', date_generated) AS month, strftime(date_trunc('month', date_generated), '%B %Y')"
         " AS label, date_generated - INTERVAL 7 DAY AS week_before FROM batches"),
 }
+
+QUERIES["batch_post_collection"] = lambda spark, d: loads.batch_post_collection(
+    load_model(spark, d)["batches"], _load_fresh(spark, d).summary, "ready to label").select(
+    "id", "status", "total_count", "original_count", "duplicate_count")
+ORACLES["batch_post_collection"] = with_views(
+    """SELECT b.id, CASE WHEN s.batch_id IS NOT NULL THEN 'ready to label' ELSE b.status END AS status,
+ s.total_count, s.original_count, s.duplicate_count FROM batches b LEFT JOIN s ON s.batch_id=b.id""",
+    f"s AS ({_SUMMARY})")

@@ -158,3 +158,16 @@ WHERE u.outcome='pending' AND {_nx('user_record_type_suggestions')}
         f"""SELECT u.id, u.url, 3 AS total_distinct_annotation_count FROM urls u WHERE u.outcome='pending'
  AND {_ex('user_url_agency_suggestions')} AND {_ex('user_record_type_suggestions')} AND {_ex('user_relevant_suggestions')}"""),
 }
+
+QUERIES["queue_record_type"] = lambda spark, d: q.queue_record_type(load_model(spark, d)).select(
+    "id", "url", F.size("html").alias("html_fields"))
+ORACLES["queue_record_type"] = with_views(
+    f"""SELECT u.id, u.url, (SELECT COUNT(*) FROM url_html_content h WHERE h.url_id=u.id) AS html_fields FROM urls u
+ WHERE u.outcome='pending' AND {_nx('auto_record_type_suggestions')} AND {_ex('url_html_content')}""")
+QUERIES["filter_jurisdictions"] = lambda spark, d: q.filter_jurisdictions(
+    load_model(spark, d)["agencies"].select(F.col("county").alias("name"), F.col("agency_id").alias("id"),
+                                            F.col("agency_id").alias("seq")),
+    load_model(spark, d).base("nation").where("n_regionkey IN (0, 1)").select("n_name"))[0]
+ORACLES["filter_jurisdictions"] = with_views(
+    """SELECT county AS name, MAX(agency_id) AS id FROM agencies
+ WHERE county IN (SELECT n_name FROM nation WHERE n_regionkey IN (0, 1)) GROUP BY county""")

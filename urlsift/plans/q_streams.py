@@ -57,3 +57,15 @@ ORACLES = {
     "stream_intake_summary": with_views(_SUMMARY),
     "stream_log_retention": with_views(f"SELECT * FROM logs WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"),
 }
+
+
+def _status(spark, d):
+    e = _stream(spark, d, "events").select(F.col("user_id").alias("url_id"), F.col("event_type").alias("outcome"),
+                                           F.col("event_id").alias("seq"))
+    out, ck = st.scratch_path(spark, "status"), st.scratch_path(spark, "status-ck")
+    st.stream_status(e, out, ck)
+    return st.current_status(spark, out)
+
+
+QUERIES["stream_status"] = _status
+ORACLES["stream_status"] = "SELECT user_id AS url_id, arg_max(event_type, event_id) AS outcome FROM events GROUP BY user_id"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from urlsift.functions.html import html_content_wide
 from urlsift.operators import queues as qs
 from urlsift.operators import tasks as tk
+from urlsift.operators.review import upsert
 from urlsift.plans.catalog import AS_OF
 from urlsift.plans.oracle import with_views
 from urlsift.plans.q_html import _P as PARSED_CTE
@@ -39,6 +40,11 @@ def _probe(spark, d):
     return t, tk.probe_404_task(q, probes, AS_OF)
 
 
+def _probe_stamps(spark, d):
+    t, ch = _probe(spark, d)
+    return upsert(t["url_probed_for_404"], ch.upserts["url_probed_for_404"], ["url_id"])
+
+
 def _record_type(spark, d):
     t = load_model(spark, d)
     m = F.col("id") % 3
@@ -101,8 +107,7 @@ QUERIES = {
         qs.queue_duplicate_check(load_model(spark, d)),
         load_model(spark, d)["duplicates"].select(F.col("original_url_id").alias("url_id")), AS_OF).status_updates,
     "probe_404_task_updates": lambda spark, d: _probe(spark, d)[1].status_updates,
-    "probe_404_task_stamps": lambda spark, d: (lambda tc: __import__("urlsift.operators.review", fromlist=["u"]).upsert(
-        tc[0]["url_probed_for_404"], tc[1].upserts["url_probed_for_404"], ["url_id"]))(_probe(spark, d)),
+    "probe_404_task_stamps": lambda spark, d: _probe_stamps(spark, d),
     "record_type_task_suggestions": lambda spark, d: _record_type(spark, d).appends["auto_record_type_suggestions"],
     "record_type_task_errors": lambda spark, d: _record_type(spark, d).errors,
     "relevance_task": lambda spark, d: tk.relevance_task(qs.queue_auto_relevance(load_model(spark, d))).appends[
@@ -211,3 +216,32 @@ ORACLES = {
  AND NOT EXISTS (SELECT 1 FROM link_task_urls lt JOIN tasks tk ON tk.id=lt.task_id
   WHERE lt.url_id=u.id AND tk.task_type='HTML' AND tk.task_status='ready to label')"""),
 }
+
+
+def _cycle(spark, d):
+    t = load_model(spark, d)
+    state = {n: t[n] for n in ("urls", "url_error_info", "link_task_urls", "url_checked_for_duplicate",
+                               "url_probed_for_404", "url_data_sources", "duplicates")}
+    m7 = F.col("url_id") % 7
+    steps = [
+        tk.Task("duplicates", lambda s: qs.queue_duplicate_check(s),
+                lambda q, s: tk.duplicate_task(q, s["duplicates"].select(F.col("original_url_id").alias("url_id")), AS_OF)),
+        tk.Task("probe", lambda s: qs.queue_404_probe(s, AS_OF),
+                lambda q, s: tk.probe_404_task(q, q.select(F.col("id").alias("url_id")).withColumn(
+                    "status", F.when(m7 == 0, 404).otherwise(200)), AS_OF)),
+    ]
+    out = tk.run_cycle(state, steps, {"duplicates": 90001, "probe": 90002}, AS_OF)
+    return out["urls"].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["run_cycle"] = _cycle
+ORACLES["run_cycle"] = with_views(
+    f"""SELECT outcome, COUNT(*) AS n FROM (
+ SELECT CASE WHEN d.id IS NOT NULL THEN 'duplicate' WHEN p.id IS NOT NULL THEN '404 not found' ELSE u.outcome END AS outcome
+ FROM urls u LEFT JOIN dq d ON d.id=u.id LEFT JOIN pq p ON p.id=u.id) x GROUP BY outcome""",
+    f"""dq AS (SELECT u.id FROM urls u WHERE u.outcome='pending'
+ AND NOT EXISTS (SELECT 1 FROM url_checked_for_duplicate x WHERE x.url_id=u.id)
+ AND EXISTS (SELECT 1 FROM duplicates x WHERE x.original_url_id=u.id)),
+ pq AS (SELECT u.id FROM urls u LEFT JOIN url_probed_for_404 p ON p.url_id=u.id WHERE u.outcome='pending'
+ AND u.id NOT IN (SELECT id FROM dq) AND (p.url_id IS NULL OR p.last_probed_at < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)
+ AND u.id % 7 = 0)""")
