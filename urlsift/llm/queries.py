@@ -42,13 +42,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.quality_divergence import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.bloom_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urlsift.llm.simple8b import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op6_bloom_lm, op8_token_files)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
