@@ -48,6 +48,12 @@ def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.template_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urlsift.llm.bloom_lm import lm_scores
 
@@ -60,7 +66,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op6_bloom_lm, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op8_token_files)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
