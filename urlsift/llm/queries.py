@@ -60,13 +60,27 @@ def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.license_setjoin import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urlsift.llm.simple8b import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op8_token_files)}
+def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.pii_weak import find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op7_license_scan, op8_token_files,
+                                  op9_pii_weak)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
