@@ -79,8 +79,14 @@ def op9_pii_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.jaccard_groupjoin import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op7_license_scan, op8_token_files,
-                                  op9_pii_weak)}
+                                  op9_pii_weak, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
