@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsift.llm.common import id_text, lower_az_table, partitions_for, stored, words_of
+from urlsift.llm.common import id_text, lower_words, partitions_for, stored
 
-END = "\n"  # the end token; no word holds a line feed
+END = b"\n"  # the end token; no word holds a line feed
 TOP_WORDS = 200_000
 LOG_BASE = 1.5  # counts 1, 2, 3, 4-5, 6-7, ... share a level
 MIN_BIGRAM = 2
@@ -45,10 +45,10 @@ MU = 200.0
 KEY_BITS = 48
 
 _MEMO_WORDS = 500_000
-_WORD_HASH: dict[str, int] = {}
+_WORD_HASH: dict[bytes, int] = {}
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     if len(_WORD_HASH) > _MEMO_WORDS:
@@ -57,7 +57,7 @@ def word_hashes(words: list[str]) -> np.ndarray:
     for w in words:
         h = known.get(w)
         if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -133,11 +133,7 @@ def _training(docs: DataFrame, id_col: str, text_col: str, fold: int, folds: int
     return source.withColumn("held_out", F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds == fold)
 
 
-def tokens(text: str) -> list[str]:
-    return words_of(text.translate(_LOWER))
-
-
-_LOWER = lower_az_table()
+tokens = lower_words
 
 
 def word_counts(source: DataFrame) -> DataFrame:
@@ -147,7 +143,7 @@ def word_counts(source: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
@@ -159,7 +155,7 @@ def word_counts(source: DataFrame) -> DataFrame:
                 yield rows()
         yield rows()
 
-    return stored(source.where("not held_out").select("text").mapInArrow(count, "word string, n long")
+    return stored(source.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
                   .where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
@@ -243,7 +239,7 @@ def bigram_filter(source: DataFrame, counts: DataFrame, shards: int, max_bits: i
     return LogBloom(segments, shards)
 
 
-def _top_words(counts: DataFrame, limit: int = TOP_WORDS) -> dict[str, int]:
+def _top_words(counts: DataFrame, limit: int = TOP_WORDS) -> dict[bytes, int]:
     """The most frequent words: all with a count at or above the least threshold that admits at most ``limit``."""
     histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(limit).collect()
     threshold, taken = None, 0
@@ -253,7 +249,7 @@ def _top_words(counts: DataFrame, limit: int = TOP_WORDS) -> dict[str, int]:
         threshold, taken = r.n, taken + r.words
     if threshold is None:
         return {}
-    return {r.word: r.n for r in counts.where(F.col("n") >= threshold).toLocalIterator()}
+    return {bytes(r.word): r.n for r in counts.where(F.col("n") >= threshold).toLocalIterator()}
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5,
@@ -291,10 +287,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 for column, value in zip(out, (len(words) + 1, known, base, list(rare), list(rare.values()), _model_score(words, bloom)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(
-                out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.float64()), strict=True))],
+                out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64()), strict=True))],
                 names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score"])
 
-    def _model_score(words: list[str], bloom: LogBloom) -> float:
+    def _model_score(words: list[bytes], bloom: LogBloom) -> float:
         hashes = word_hashes([END, *words, END])
         uni = count_of(bloom.levels(unigram_keys(hashes)))
         pair = bloom.levels(bigram_keys(hashes))
@@ -304,7 +300,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return float(np.log10(np.minimum(p, 1.0)).sum())
 
     scored = stored(source.select("id", "text", "held_out").mapInArrow(
-        score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<string>, rare_n array<long>, score double")
+        score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double")
         .withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
     met = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("base"), "times")

@@ -49,8 +49,9 @@ def lower_az(col: Column) -> Column:
     return F.translate(col, UPPER_AZ, UPPER_AZ.lower())
 
 
-def lower_az_table() -> dict[int, int]:
-    return {ord(c): ord(c.lower()) for c in UPPER_AZ}
+def lower_words(text: str) -> list[bytes]:
+    """Words between ASCII white space, letters A-Z lowered, in UTF-8: both are what ``bytes`` methods do."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def partitions_for(rows: int, rows_per_partition: int, least: int = 1) -> int:
