@@ -30,47 +30,89 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsift.llm.common import id_text, lower_az_table, partitions_for, stored, words_of
+from urlsift.llm.common import id_text, partitions_for, stored
 
 WORDS = 3
 PERCENT = 90
 SKETCH_COUNTERS = 1 << 20
 SKETCH_BLOCK = 1 << 14
+PARTS = 128
+_PART_SHIFT = np.uint64(57)
 WIDE = 1000
 MAX_FILTER_BITS = 1 << 28
-_LOWER = lower_az_table()
-_MEMO_WORDS = 500_000
-_WORD_HASH: dict[str, int] = {}
+CHUNK_BYTES = 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _chunk_shingles(data: np.ndarray, ends: np.ndarray, words: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text in a run of UTF-8 bytes; ``ends`` are the texts' end offsets.
+
+    A word's hash is a polynomial over its bytes, mixed with its length; all words of the run are hashed at once."""
+    n, begins = len(data), np.concatenate([[0], ends[:-1]])
+    low = _LOWER[data]
+    solid = ~_SPACE[low]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    edge = begins[begins < n]
+    first[edge] = solid[edge]  # a text's first byte never continues the word before
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return [np.zeros(0, np.uint64)] * len(ends)
+    place = np.arange(n) - starts[np.maximum(np.cumsum(first) - 1, 0)]
+    place[~solid] = 0
+    power = _powers(int(place.max()) + 1)
+    value = np.where(solid, (low.astype(np.uint64) + np.uint64(1)) * power[place], np.uint64(0))
+    size = np.add.reduceat(solid.astype(np.int64), starts).astype(np.uint64)
+    h = _mix(np.add.reduceat(value, starts) + size * np.uint64(0x8CB92BA72F3D8DD7))
+    word_begin, word_end = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+    windows = {k: _windows(h, k) for k in {words, *(int(w) for w in word_end - word_begin if 0 < w < words)}}
+    out = []
+    for b, e in zip(word_begin.tolist(), word_end.tolist(), strict=True):
+        k = min(words, e - b)
+        s = np.sort(windows[k][b:e - k + 1]) if k else np.zeros(0, np.uint64)
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k words in a row."""
+    n = max(0, len(h) - k + 1)
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = _mix(out * np.uint64(3) + h[j:j + n])
+    return out
 
-    if len(_WORD_HASH) > _MEMO_WORDS:
-        _WORD_HASH.clear()
-    out = []
-    for w in words:
-        h = _WORD_HASH.get(w)
-        if h is None:
-            h = _WORD_HASH[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
-    tokens = words_of(text.translate(_LOWER))
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(tokens)
-    size = min(words, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):  # a hash chain over the words of every window at once
-        out = (out ^ h[k:len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+
+_POWER = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    global _POWER
+    while len(_POWER) < n:
+        step = np.uint64(int(_POWER[-1]) * 0xC2B2AE3D27D4EB4F % 2**64)
+        _POWER = np.concatenate([_POWER, _POWER * step])
+    return _POWER
+
+
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def shingle_sets(texts: pa.Array, words: int):
+    """Sorted 64-bit hashes of the distinct shingles of each text (no nulls), in order, about a megabyte at a time."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and len(texts) else np.zeros(0, np.uint8)
+    k = 0
+    while k < len(texts):
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + CHUNK_BYTES, side="right")) - 1)
+        yield from _chunk_shingles(data[offsets[k]:offsets[stop]], offsets[k + 1:stop + 1] - offsets[k], words)
+        k = stop
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -93,8 +135,8 @@ def frequency_sketch(source: DataFrame, words: int) -> np.ndarray:
     def count(batches):
         total, held, size = np.zeros(SKETCH_COUNTERS, np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(_slot(shingles(text.as_py(), words)))
+            for own in shingle_sets(batch.column(0), words):
+                held.append(_slot(own))
                 size += len(held[-1])
                 if size > 1_000_000:
                     total += np.bincount(np.concatenate(held), minlength=SKETCH_COUNTERS)
@@ -134,8 +176,9 @@ def frequency_sketch(source: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(source: DataFrame, words: int, percent: int) -> DataFrame:
-    """``row, id, n, key, group_key, prefix``: set size, digests of the set and of (size, prefix), and the prefix in
-    global order as (shingle, estimated frequency)."""
+    """``row, id, n, key, group_key, parts, prefix``: set size, digests of the set and of (size, prefix), the number of
+    shingles in each of ``PARTS`` parts of the hash space (255 stands for more), and the prefix in global order as
+    (shingle, estimated frequency)."""
     sketch = source.sparkSession.sparkContext.broadcast(frequency_sketch(source, words))
 
     def sign(batches):
@@ -144,25 +187,25 @@ def signatures(source: DataFrame, words: int, percent: int) -> DataFrame:
         digest = xxhash.xxh3_128_digest
         kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int32())]))
         for batch in batches:
-            size, key, group, tokens, counts, ends = [], [], [], [], [], [0]
-            for text in batch.column(1):
-                s = shingles(text.as_py(), words)
+            size, key, group, parts, tokens, counts, ends = [], [], [], [], [], [], [0]
+            for s in shingle_sets(batch.column(1), words):
                 size.append(len(s))
                 key.append(digest(s.tobytes()))
+                parts.append(np.minimum(np.bincount((s >> _PART_SHIFT).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                 c = sketch.value[_slot(s)]
                 take = prefix_length(len(s), percent) if len(s) else 0
-                order = np.lexsort((s, c))[:take]
+                order = np.argsort(c, kind="stable")[:take]  # shingles are sorted, so ties stay in their order
                 group.append(digest(s[order].tobytes() + len(s).to_bytes(8, "little")))
                 tokens.append(s[order].view(np.int64))
                 counts.append(c[order])
                 ends.append(ends[-1] + take)
             flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((tokens, np.int64), (counts, np.int32))]
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], fields=list(kind.value_type)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(group, pa.binary()), prefix],
-                                             names=["id", "n", "key", "group_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(group, pa.binary()),
+                                              pa.array(parts, pa.binary()), prefix], names=["id", "n", "key", "group_key", "parts", "prefix"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return stored(source.mapInArrow(sign, f"id {kind}, n long, key binary, group_key binary, prefix array<struct<t:long,c:int>>")
+    return stored(source.mapInArrow(sign, f"id {kind}, n long, key binary, group_key binary, parts binary, prefix array<struct<t:long,c:int>>")
                   .withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -215,7 +258,7 @@ def _whole_sets(source: DataFrame, classes: DataFrame, pairs: DataFrame, words:
         import xxhash
 
         for batch in batches:
-            own = [shingles(t.as_py(), words).tobytes() for t in batch.column(0)]
+            own = [s.tobytes() for s in shingle_sets(batch.column(0), words)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], names=["key", "set"])
 
     made = source.where(test(F.xxhash64("id"))).select("text").mapInArrow(sets, "key binary, set binary")
@@ -258,6 +301,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap can reach the threshold: in each part of the hash space two sets share no more than
+    the smaller of their counts. Short digests meet here, so whole sets need not."""
+
+    @F.pandas_udf("boolean")
+    def possible(na, nb, x, y):
+        import pandas as pd
+
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, PARTS).astype(np.int64) for v in (x, y))
+        n = na.to_numpy(np.int64) + nb.to_numpy(np.int64)
+        most = np.where((x == 255) & (y == 255), n[:, None], np.minimum(x, y)).sum(axis=1)
+        return pd.Series((100 + percent) * most >= percent * n)
+
+    own = classes.select("row", "n", "parts")
+    joined = (pairs.join(own.toDF("a", "na", "x"), "a").join(own.toDF("b", "nb", "y"), "b"))
+    return stored(joined.where(possible("na", "nb", "x", "y")).select("a", "b"), "possible")
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends lie in two components."""
     out = pairs.join(labels.select(F.col("row").alias("a"), F.col("label").alias("la")), "a", "left").join(
@@ -268,7 +329,7 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(signatures with their class, component labels of classes): the join itself."""
     signed = signatures(source, words, percent)
-    full = signed.where("n > 0")
+    full = signed.where("n > 0")  # copies keep their place in a class, the rest of the work is on classes
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     of_class = stored(full.groupBy("key").agg(first.alias("f")).select("key", F.col("f.row").alias("class")), "classes")
     classes = stored(full.join(of_class.select(F.col("class").alias("row")), "row", "left_semi"), "class-rows")
@@ -281,7 +342,7 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     maybe_wide = stored(postings.where(F.col("c") > WIDE), "wide-postings")
     wide = stored(maybe_wide.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "n", "g")).alias("pivot")).where(F.col("k") > WIDE), "wide")
     narrow = postings.where(F.col("c") <= WIDE).unionByName(maybe_wide.join(wide.select("t"), "t", "left_anti"))
-    met = stored(_meet(narrow, narrow, percent).distinct(), "candidates")
+    met = _possible(_meet(narrow, narrow, percent).distinct(), classes, percent)
     in_wide = maybe_wide.join(wide.select("t"), "t", "left_semi")
     at_pivot = maybe_wide.alias("y").join(wide.alias("w"), F.col("y.t") == F.col("w.t")).where(F.col("y.g") != F.col("w.pivot.g")).select(
         F.least("y.g", "w.pivot.g").alias("a"), F.greatest("y.g", "w.pivot.g").alias("b")).distinct()
@@ -289,7 +350,7 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     in_group = member_of.where("row != g").select(F.col("g").alias("a"), F.col("row").alias("b"))
     nearest = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
-    first_pairs = stored(nearest.unionByName(at_pivot).unionByName(in_group).distinct(), "first-pairs")
+    first_pairs = stored(nearest.unionByName(_possible(at_pivot, classes, percent)).unionByName(in_group).distinct(), "first-pairs")
     rest_rows = met.unionByName(first_pairs)
     sets = _whole_sets(source, classes, rest_rows, words)
     links = _verify(first_pairs, sets, percent)
@@ -301,7 +362,7 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     pivots = named(wide.select("t", F.col("pivot.g").alias("g")), "g").select("t", F.col("label").alias("main"))
     outside = wide_named.join(pivots, "t").where("label != main").drop("main")
     apart = F.col("x.label") != F.col("y.label")
-    strays = _meet(outside, wide_named, percent, apart).unionByName(_meet(wide_named, outside, percent, apart))
+    strays = _possible(_meet(outside, wide_named, percent, apart).unionByName(_meet(wide_named, outside, percent, apart)).distinct(), classes, percent)
     members = named(member_of, "row")
     mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
     mixed_members = members.join(mixed, "g", "left_semi")
