@@ -41,6 +41,7 @@ MAX_FILTER_BITS = 1 << 29
 TASK_KEYS = 2_000_000  # bigram keys a task gathers before it sends them
 TASK_WORDS = 300_000
 SHARD_KEYS = 2_000_000
+RUN_TOKENS = 300_000  # tokens scored together
 MU = 200.0
 KEY_BITS = 48
 
@@ -270,7 +271,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def score(batches):
         bloom, top = model.value
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out, run, size = [[] for _ in range(6)], [], 0
             for text in batch.column(1):
                 words = tokens(text.as_py())
                 rare: Counter = Counter()
@@ -284,20 +285,32 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     else:
                         known += n
                         base += n * math.log10(c + 0.5)
-                for column, value in zip(out, (len(words) + 1, known, base, list(rare), list(rare.values()), _model_score(words, bloom)), strict=True):
+                for column, value in zip(out, (len(words) + 1, known, base, list(rare), list(rare.values())), strict=False):
                     column.append(value)
+                run.append(words)
+                size += len(words) + 2
+                if size > RUN_TOKENS:
+                    out[5] += model_scores(run, bloom)
+                    run, size = [], 0
+            if run:
+                out[5] += model_scores(run, bloom)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(
                 out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64()), strict=True))],
                 names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score"])
 
-    def _model_score(words: list[bytes], bloom: LogBloom) -> float:
-        hashes = word_hashes([END, *words, END])
-        uni = count_of(bloom.levels(unigram_keys(hashes)))
-        pair = bloom.levels(bigram_keys(hashes))
-        pair = np.where(pair >= lowest, count_of(pair), 0.0)  # below the least stored count it is a false positive
+    def model_scores(run: list[list[bytes]], bloom: LogBloom) -> list[float]:
+        """Log10 probabilities of several texts: each distinct n-gram of the run is probed once."""
+        hashes = word_hashes([w for words in run for w in (END, *words, END)])
+        uni_keys, uni_at = np.unique(unigram_keys(hashes), return_inverse=True)
+        pair_keys, pair_at = np.unique(bigram_keys(hashes), return_inverse=True)
+        uni, pair = count_of(bloom.levels(uni_keys))[uni_at], bloom.levels(pair_keys)
+        # below the least stored count a pair's level is a false positive
+        pair = np.where(pair >= lowest, count_of(pair), 0.0)[pair_at]
         before = np.maximum(uni[:-1], pair)
-        p = (pair + mu * (uni[1:] + 0.5) / space) / (before + mu)
-        return float(np.log10(np.minimum(p, 1.0)).sum())
+        p = np.log10(np.minimum((pair + mu * (uni[1:] + 0.5) / space) / (before + mu), 1.0))
+        stops = np.cumsum([len(words) + 2 for words in run])
+        p[stops[:-1] - 1] = 0.0  # from one text's end to the next one's start
+        return np.add.reduceat(p, np.concatenate([[0], stops[:-1]])).tolist()
 
     scored = stored(source.select("id", "text", "held_out").mapInArrow(
         score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double")
