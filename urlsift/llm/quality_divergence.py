@@ -168,9 +168,10 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         yield rows({lang: dict(zip(CLASSES, map(int, c), strict=True)) for lang, c in classes.items()}, "class")
 
     raw = source.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "key"))
-    return stored(raw.withColumn("rank", rank).where(
-        F.when(F.col("kind") == "total", F.lit(True)).otherwise(F.col("rank") <= COMMON_WORDS)).drop("rank"), "references")
+    raw = stored(raw, "reference-counts")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = raw.where("kind = 'word'").withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).drop("rank")  # limited before the shuffle
+    return stored(raw.where("kind != 'word'").unionByName(top), "references")
 
 
 def _collect_references(references: DataFrame) -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
