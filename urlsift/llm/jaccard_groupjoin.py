@@ -36,8 +36,8 @@ WORDS = 3
 PERCENT = 90
 SKETCH_COUNTERS = 1 << 20
 SKETCH_BLOCK = 1 << 14
-PARTS = 128
-_PART_SHIFT = np.uint64(57)
+PARTS = 64
+_PART_SHIFT = np.uint64(58)
 WIDE = 1000
 MAX_FILTER_BITS = 1 << 28
 CHUNK_BYTES = 1 << 20
@@ -209,21 +209,32 @@ def signatures(source: DataFrame, words: int, percent: int) -> DataFrame:
                   .withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
+def _size(name: str) -> Column:
+    return F.shiftright(name, 32)
+
+
+def _place(name: str) -> Column:
+    return F.col(name).bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Length and positional filter for postings ``a`` (the smaller set) and ``b`` that meet at one shingle."""
-    na, nb, pa_, pb = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.at", f"{b}.at"))
+    na, nb, pa_, pb = _size(f"{a}.na"), _size(f"{b}.na"), _place(f"{a}.na"), _place(f"{b}.na")
     overlap = F.least(na - pa_, nb - pb)
     return (100 * na >= percent * nb) & ((100 + percent) * overlap >= percent * (na + nb))
 
 
 def _ahead(a: str, b: str) -> Column:
     """Each pair once, the smaller set (or the smaller group) first."""
-    return F.struct(f"{a}.n", f"{a}.g") < F.struct(f"{b}.n", f"{b}.g")
+    na, nb = _size(f"{a}.na"), _size(f"{b}.na")
+    return (na < nb) | ((na == nb) & (F.col(f"{a}.g") < F.col(f"{b}.g")))
 
 
 def _meet(small: DataFrame, large: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
     on = (F.col("x.t") == F.col("y.t")) & _ahead("x", "y") & _may_link("x", "y", percent)
-    return small.where("short").alias("x").join(large.alias("y"), on if more is None else on & more).select(
+    n = _size("na")
+    short = small.where(_place("na") < n - F.ceil(2 * percent * n / (100 + percent)) + 1)  # enough for the smaller set
+    return short.alias("x").join(large.alias("y"), on if more is None else on & more).select(
         F.col("x.g").alias("a"), F.col("y.g").alias("b"))
 
 
@@ -331,22 +342,24 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     signed = signatures(source, words, percent)
     full = signed.where("n > 0")  # copies keep their place in a class, the rest of the work is on classes
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
-    of_class = stored(full.groupBy("key").agg(first.alias("f")).select("key", F.col("f.row").alias("class")), "classes")
-    classes = stored(full.join(of_class.select(F.col("class").alias("row")), "row", "left_semi"), "class-rows")
-    groups = stored(classes.groupBy("group_key").agg(F.min("row").alias("g"), F.count(F.lit(1)).alias("members")), "groups")
-    heads = classes.join(groups.select(F.col("g").alias("row")), "row", "left_semi")
-    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    # what depends on the set alone is the same in all rows of a class, so any row gives it
+    classes = stored(full.groupBy("key").agg(first.alias("f"), *[F.first(c).alias(c) for c in ("n", "group_key", "parts", "prefix")])
+                     .select("key", F.col("f.row").alias("row"), F.col("f.id").alias("id"), "n", "group_key", "parts", "prefix"), "classes")
+    of_class = classes.select("key", F.col("row").alias("class"))
+    groups = stored(classes.groupBy("group_key").agg(F.min("row").alias("g"), F.count(F.lit(1)).alias("members")).where("members > 1"), "groups")
+    member_of = stored(classes.select("row", "group_key").join(groups, "group_key").select("row", "g"), "group-members")
+    heads = classes.join(member_of.where("row != g").select("row"), "row", "left_anti")
+    # size and place share one long, so a posting is three of them
     postings = heads.select(F.col("row").alias("g"), "n", F.posexplode("prefix").alias("at", "p")).select(
-        "g", "n", F.col("at").cast("long").alias("at"), F.col("p.t").alias("t"), F.col("p.c").alias("c"), (F.col("at") < short).alias("short"))
+        "g", (F.shiftleft("n", 32) + F.col("at")).alias("na"), F.col("p.t").alias("t"), F.col("p.c").alias("c"))
     # wide shingles: the sketch never underestimates, so only those above the bound can be
     maybe_wide = stored(postings.where(F.col("c") > WIDE), "wide-postings")
-    wide = stored(maybe_wide.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "n", "g")).alias("pivot")).where(F.col("k") > WIDE), "wide")
-    narrow = postings.where(F.col("c") <= WIDE).unionByName(maybe_wide.join(wide.select("t"), "t", "left_anti"))
+    wide = stored(maybe_wide.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(_place("na"), _size("na"), "g")).alias("pivot")).where(F.col("k") > WIDE), "wide")
+    narrow = postings.where(F.col("c") <= WIDE).unionByName(maybe_wide.join(wide.select("t"), "t", "left_anti")).drop("c")
     met = _possible(_meet(narrow, narrow, percent).distinct(), classes, percent)
-    in_wide = maybe_wide.join(wide.select("t"), "t", "left_semi")
+    in_wide = maybe_wide.join(wide.select("t"), "t", "left_semi").drop("c")
     at_pivot = maybe_wide.alias("y").join(wide.alias("w"), F.col("y.t") == F.col("w.t")).where(F.col("y.g") != F.col("w.pivot.g")).select(
         F.least("y.g", "w.pivot.g").alias("a"), F.greatest("y.g", "w.pivot.g").alias("b")).distinct()
-    member_of = classes.select("row", "group_key").join(groups.where("members > 1"), "group_key").select("row", "g")
     in_group = member_of.where("row != g").select(F.col("g").alias("a"), F.col("row").alias("b"))
     nearest = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
