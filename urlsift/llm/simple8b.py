@@ -13,7 +13,7 @@ segment and one document. Each document's start (ids of all documents before it)
 plus the totals of the files before it: no task sees more than one file's rows.
 
 Defined results. Null or empty text gives only the end id. Null document ids come first. Rows with equal ids lie side
-by side, ordered by their payload, each with its own start. An empty table gives an empty result.
+by side, ordered by their text, each with its own start. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,65 +166,40 @@ def segment_document(image: bytes, k: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, vocab_path: str, end_id: int, path: str | None = None, id_col: str = "doc_id",
                       text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode every text and write segments in ascending id order; returns the files as a table with one row per
-    segment: ``shard, segment, ids array, sizes array, image binary``. A document longer than a segment has its own."""
+    segment: ``shard, segment, ids array, n_ids, image binary``. A document longer than a segment has its own."""
     source = id_text(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
 
-    def code(batches):
-        enc = encoder(WordEndEncoder, vocab_path)
-        for batch in batches:
-            texts, counts, payloads = batch.column(1), [], []
-            sizes, values, held = [], [], 0
-
-            def flush():
-                words, doc_words = pack_words(np.concatenate(values), sizes)
-                raw, at = words.tobytes(), 0
-                for n, w in zip(sizes, doc_words, strict=True):
-                    counts.append(n)
-                    payloads.append(raw[8 * at:8 * (at + w)])
-                    at += w
-
-            for text in texts:
-                ids = np.append(np.frombuffer(enc.ids(text.as_py()), np.uint32), np.uint32(end_id))
-                sizes.append(len(ids))
-                values.append(ids)
-                held += len(ids)
-                if held >= segment_ids:
-                    flush()
-                    sizes, values, held = [], [], 0
-            if sizes:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(payloads, pa.binary())],
-                                             names=["id", "n", "words"])
-
     def segments(batches):
         from pyspark import TaskContext
 
-        shard, number, held, own = TaskContext.get().partitionId(), 0, 0, []
+        enc, shard, number, own = encoder(WordEndEncoder, vocab_path), TaskContext.get().partitionId(), 0, []
+        end = np.array([end_id], np.uint32)
 
         def close():
-            ids, sizes, words = zip(*own, strict=True)
-            image = write_segment(list(sizes), [len(w) // 8 for w in words], b"".join(words))
+            sizes = [len(v) for _, v in own]
+            words, counts = pack_words(np.concatenate([v for _, v in own]), sizes)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([number], pa.int64()), pa.array([list(ids)], pa.list_(id_type)),
-                 pa.array([list(sizes)], pa.list_(pa.int64())), pa.array([image], pa.binary())],
-                names=["shard", "segment", "ids", "sizes", "image"])
+                [pa.array([shard], pa.int64()), pa.array([number], pa.int64()), pa.array([[i for i, _ in own]], pa.list_(id_type)),
+                 pa.array([sum(sizes)], pa.int64()), pa.array([write_segment(sizes, counts, words.tobytes())], pa.binary())], names=["shard", "segment", "ids", "n_ids", "image"])
 
+        held = 0
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own and held + row[1] > segment_ids:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.concatenate([np.frombuffer(enc.ids(text.as_py()), np.uint32), end])
+                if own and held + len(values) > segment_ids:
                     yield close()
                     number, held, own = number + 1, 0, []
-                own.append(row)
-                held += row[1]
+                own.append((doc, values))
+                held += len(values)
         if own:
             yield close()
 
+    # the texts are put in order, not their ids: range bounds are sampled before the encoding, which runs once
     spark = docs.sparkSession
-    coded = source.mapInArrow(code, f"id {kind}, n long, words binary")
-    ordered = coded.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), "words")
-    files = ordered.mapInArrow(segments, f"shard long, segment long, ids array<{kind}>, sizes array<long>, image binary")
+    ordered = source.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    files = ordered.mapInArrow(segments, f"shard long, segment long, ids array<{kind}>, n_ids long, image binary")
     if path is None:
         return stored(files, "token-files")
     files.write.option("compression", "none").parquet(path)
@@ -253,7 +228,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    totals = files.select("shard", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    totals = files.select("shard", "segment", F.col("n_ids").alias("n"))
     per_shard = totals.groupBy("shard").agg(F.sum("n").alias("n"))  # a row per file: the only window over everything
     before_shard = per_shard.select("shard", F.coalesce(F.sum("n").over(
         Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
