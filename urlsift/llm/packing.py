@@ -104,8 +104,8 @@ def tokenized_pieces(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
         enc, task, seen = encoder(ByteLevelEncoder, vocab_path, pattern), TaskContext.get().partitionId(), {}
         for batch in batches:
             at, start, length, crc, doc_tokens, rank = ([] for _ in range(6))
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = memoryview(enc.ids(text) + end)
+            for k, text in enumerate(batch.column(1)):
+                ids = memoryview(enc.ids(text.as_py()) + end)
                 total = len(ids) // 4
                 for first in range(0, total, max_tokens):
                     size = min(max_tokens, total - first)
