@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from urlsift.llm.common import id_text
-from urlsift.llm.tokenizing import Memo, _pack, encoder, unit_ids
+from urlsift.llm.tokenizing import UnitIds, _pack, encoder
 
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_BORDERS = 1_000_000
 DECODE_CHUNK = 8192
 
@@ -44,7 +44,8 @@ class MergeTransducer:
         for token, rank in ranks.items():
             self._add(token, rank)
         self._split: dict[int, tuple[int, int] | None] = {}
-        self._border: dict[tuple[int, int], bool] = {}
+        self._edges: dict[int, list[tuple[bytes, float]]] = {}
+        self._border: dict[int, bool] = {}
         self._forget()
 
     def _add(self, token: bytes, rank: int) -> None:
@@ -80,32 +81,39 @@ class MergeTransducer:
                 self._split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
         return self._split[token]
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
         """The tokens that stand at the border on the way to ``token``, each with the rank at which it is merged away."""
-        out, until = [], float("inf")
-        while True:
-            out.append((token, until))
-            halves = self._halves(token)
-            if halves is None:
-                return out
-            token, until = halves[side], token
+        known = self._edges.get(token << 1 | side)
+        if known is None:
+            known, at, until = [], token, float("inf")
+            while True:
+                known.append((self.bytes_of[at], until))
+                halves = self._halves(at)
+                if halves is None:
+                    break
+                at, until = halves[side], at
+            self._edges[token << 1 | side] = known
+        return known
 
-    def _may_follow(self, left: int, right: int) -> bool:
+    def _survives(self, left: int, right: int) -> bool:
         """Whether the border between the two survives: no merge across it comes before both have their final form.
         At equal rank the leftmost merge goes first, so one inside ``left`` wins against the border and the border
         against one inside ``right``."""
-        key = (left, right)
+        get = self.ranks.get
+        for a, a_until in self._edge(left, 1):
+            for b, b_until in self._edge(right, 0):
+                across = get(a + b)
+                if across is not None and across < a_until and across <= b_until:
+                    return False
+        return True
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        key = left << 20 | right
         known = self._border.get(key)
         if known is None:
-            known = True
-            for a, a_until in self._edge(left, 1):
-                for b, b_until in self._edge(right, 0):
-                    across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-                    if across is not None and across < a_until and across <= b_until:
-                        known = False
             if len(self._border) >= MAX_BORDERS:
                 self._border.clear()
-            self._border[key] = known
+            known = self._border[key] = self._survives(left, right)
         return known
 
     # -- lazily determinised states -----------------------------------------------------------------------------
@@ -115,20 +123,24 @@ class MergeTransducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """A state is a set of (trie node, token before, residual output); returns (state, tokens all paths agree on)."""
-        paths = []
+        paths, children, tokens = [], self._children, self._token
         for node, last, held in self._states[state]:
-            child = self._children[node].get(byte)
+            child = children[node].get(byte)
             if child is None:
                 continue
-            if self._children[child]:
+            if children[child]:
                 paths.append((child, last, held))
-            token = self._token[child]
+            token = tokens[child]
             if token is not None and self._halves(token) != (-1, -1) and (last < 0 or self._may_follow(last, token)):
                 paths.append((0, token, (*held, token)))
-        shared = min((p[2] for p in paths), key=len)
-        for p in paths:
-            shared = shared[:next((k for k, (x, y) in enumerate(zip(shared, p[2], strict=False)) if x != y), len(shared))]
-        settled = tuple(sorted((node, last, held[len(shared):]) for node, last, held in paths))
+        agreed = 0  # tokens that all residual outputs begin with
+        outputs = [p[2] for p in paths]
+        first = outputs[0]
+        if all(outputs):
+            while all([len(o) > agreed and o[agreed] == first[agreed] for o in outputs if len(first) > agreed] or [False]):
+                agreed += 1
+        shared = first[:agreed]
+        settled = tuple([(node, last, held[agreed:]) for node, last, held in paths]) if agreed else tuple(paths)
         known = self._ids.get(settled)
         if known is None:
             known = self._ids[settled] = len(self._states)
@@ -186,7 +198,7 @@ class TransducerCodec:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.transducer = MergeTransducer(ranks)
         self._pieces = regex.compile(pattern).findall
-        self._memo = Memo(self._encode_unit)
+        self._ids = UnitIds(self._encode_unit)
         self._bytes = [self.transducer.bytes_of.get(r, b"") for r in range(max(ranks.values()) + 1)]
         self._decimal = [str(r) for r in range(len(self._bytes))]
 
@@ -197,7 +209,7 @@ class TransducerCodec:
         return _pack(out)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(unit_ids(text, self._memo), np.uint32).tolist()
+        return np.frombuffer(self._ids(text), np.uint32).tolist()
 
     def decode_stream(self, ids: list[int]):
         stream, get = Utf8Stream(), self._bytes.__getitem__

@@ -13,13 +13,14 @@ the ``tokenizers`` library encodes the part itself.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import unicodedata
 from array import array
 
-MEMO_ENTRIES = 400_000  # per generation and Python worker
+MEMO_ENTRIES = 150_000  # per generation and Python worker
 MEMO_UNIT_CHARS = 64  # longer units are encoded each time, so an entry's size is bounded
 
 # how byte-level vocabularies write bytes as characters: printable Latin-1 stays, the rest moves past U+0100
@@ -52,24 +53,39 @@ class Memo(dict):
         return found
 
 
-_LOOSE_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+_RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether spaces and line feeds all stand alone between other characters and there is no further white space."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+                or any([c in text for c in _RARE_SPACE]) or not text.isascii() and any([c in text for c in _WIDE_SPACE]))
+
+
 _CUT = re.compile(r" (?=\S)")
 
 
-def unit_ids(text: str, memo: Memo) -> bytes:
-    """Ids of a text under byte-level pre-tokenisation as little-endian 32-bit integers."""
-    get = memo.__getitem__
-    if not text:
-        return b""
-    if _LOOSE_SPACE.search(text) is None:  # single spaces and line feeds between non-space characters only
-        feed = get("\n") if "\n" in text else b""
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(get(first) + b"".join([get(" " + w) for w in rest]))
-        return feed.join(lines)
-    parts = _CUT.split(text)
-    return get(parts[0]) * bool(parts[0]) + b"".join([get(" " + p) for p in parts[1:]])
+class UnitIds:
+    """Ids of texts under byte-level pre-tokenisation as little-endian 32-bit integers. ``encode`` gives those of a
+    unit; units behind a space have a memo of their own, so the space is added only for unseen ones."""
+
+    def __init__(self, encode):
+        self._plain, self._spaced = Memo(encode), Memo(lambda unit: encode(" " + unit))
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        plain, spaced = self._plain.__getitem__, self._spaced.__getitem__
+        if _single_spaced(text):
+            feed = plain("\n") if "\n" in text else b""
+            lines = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                lines.append(plain(first) + b"".join(map(spaced, rest)))
+            return feed.join(lines)
+        first, *rest = _CUT.split(text)
+        return (plain(first) if first else b"") + b"".join(map(spaced, rest))
 
 
 def _pack(ids) -> bytes:
@@ -88,7 +104,7 @@ class ByteLevelEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._ranks = self._rank_encoder(spec, pattern)
-        self._memo = Memo(self._encode_unit)
+        self.ids = UnitIds(self._encode_unit)
 
     @staticmethod
     def _rank_encoder(spec: dict, pattern: str):
@@ -112,9 +128,6 @@ class ByteLevelEncoder:
             return _pack(self._ranks.encode_ordinary(unit))
         return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
 
-    def ids(self, text: str) -> bytes:
-        return unit_ids(text, self._memo)
-
 
 class WordEndEncoder:
     """Ids by a lower-casing BPE ``tokenizer.json`` with word-end marks, which drops white space.
@@ -135,7 +148,7 @@ class WordEndEncoder:
             spec = json.load(f)
         self._split = regex.compile(self._PIECES).findall
         self._core, self._to_id = self._rank_encoder(spec)
-        self._memo = Memo(self._encode_unit)
+        self._memo = Memo(self._encode_unit, 2 * MEMO_ENTRIES)
 
     def _rank_encoder(self, spec: dict):
         import tiktoken
@@ -159,20 +172,26 @@ class WordEndEncoder:
             if (key := raw(a + b)) not in ranks:
                 ranks[key] = len(to_id)
                 to_id.append(vocab[a + b])
-        return tiktoken.Encoding("word-ends", pat_str=r".+", mergeable_ranks=ranks, special_tokens={}), to_id
+        return tiktoken.Encoding("word-ends", pat_str=r".+", mergeable_ranks=ranks, special_tokens={}), [_pack([max(i, 0)]) for i in to_id]
 
     def _encode_unit(self, unit: str) -> bytes:
-        if self._core is None or max(unit) > "ɏ":
+        if not unit:
+            return b""
+        if unit.isascii():
+            text = unit.lower()
+        elif self._core is None or max(unit) > "ɏ":
+            return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
+        else:
+            text = unicodedata.normalize("NFC", unit).lower()
+        if self._core is None:
             return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
-        text = unicodedata.normalize("NFC", unit).lower()
-        out: list[int] = []
-        for piece in self._split(text):
-            out += self._core._encode_single_piece(piece.encode() + b"\xff")
-        return _pack([self._to_id[r] for r in out])
+        code, to_id = self._core._encode_single_piece, self._to_id
+        if text.isalpha():
+            return b"".join([to_id[r] for r in code(text.encode() + b"\xff")])
+        return b"".join([to_id[r] for piece in self._split(text) for r in code(piece.encode() + b"\xff")])
 
     def ids(self, text: str) -> bytes:
-        units = text.replace("\n", " ").split(" ") if text else []
-        return b"".join([self._memo[u] for u in units if u])
+        return b"".join(map(self._memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _LOADED: dict[tuple, object] = {}
@@ -182,5 +201,6 @@ def encoder(kind: type, *args: str):
     """One encoder, with its memo, per Python worker and vocabulary."""
     key = (kind, *args)
     if key not in _LOADED:
+        gc.set_threshold(500_000, 50, 1000)  # memos hold many small objects and no cycles
         _LOADED[key] = kind(*args)
     return _LOADED[key]
