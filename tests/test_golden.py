@@ -76,7 +76,7 @@ def test_ckan_filter_and_parse(spark):
     kept = queues.ckan_filter(pk)
     assert sorted(r.name for r in kept.collect()) == ["a", "b", "c"]
     parsed = {r.submitted_name: r for r in intake.ckan_packages_to_rows(kept).collect()}
-    assert parsed["A"].source_url == "https://a" and parsed["A"].data_portal_type is None
+    assert parsed["A"].source_url == "https://a" and parsed["A"].data_portal_type == ""
     assert parsed["B"].source_url == "https://land" and parsed["B"].record_format == ["HTML text"]
     assert parsed["B"].supplying_entity == "Pub"
     assert parsed["C"].source_url == "https://p/dataset/c" and parsed["C"].data_portal_type == "CKAN"

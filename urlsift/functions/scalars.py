@@ -161,7 +161,7 @@ def ckan_source_url(pkg: Column | str) -> Column:
            .when(none, F.get(landing, 0)["value"])
            .otherwise(F.concat(p["base_url"], F.lit("dataset/"), p["name"])))
     fmt = F.when(none, F.array(F.lit("HTML text"))).otherwise(formats)
-    portal = F.when(~one_link & ~none, F.lit("CKAN"))
+    portal = F.when(~one_link & ~none, F.lit("CKAN")).otherwise(F.lit(""))
     err = F.when(none & (F.size(landing) > 1), F.lit("Multiple landing pages found")).when(
         none & (F.coalesce(F.size(landing), F.lit(0)) <= 0), F.lit("No landing page found"))
     return F.struct(url.alias("url"), fmt.alias("record_format"), portal.alias("data_portal_type"), err.alias("error"))

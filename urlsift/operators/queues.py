@@ -84,9 +84,9 @@ def ckan_filter(packages: DataFrame) -> DataFrame:
     ``landingPage`` extra; packages without ``extras`` are kept."""
     ex, res = F.col("extras"), F.col("resources")
     no_res = F.coalesce(F.size(res), F.lit(0)) <= 0
-    parent_empty = F.exists(ex, lambda e: (e["key"] == "collection_metadata") & (e["value"] == "true")) & no_res
-    non_public = F.exists(ex, lambda e: (e["key"] == "accessLevel") & (e["value"] == "non-public"))
-    no_landing = no_res & ~F.exists(ex, lambda e: e["key"] == "landingPage")
+    parent_empty = F.exists(ex, lambda e: e["key"].eqNullSafe("collection_metadata") & e["value"].eqNullSafe("true")) & no_res
+    non_public = F.exists(ex, lambda e: e["key"].eqNullSafe("accessLevel") & e["value"].eqNullSafe("non-public"))
+    no_landing = no_res & ~F.exists(ex, lambda e: e["key"].eqNullSafe("landingPage"))
     drop = parent_empty | non_public | no_landing
     return packages.where(ex.isNull() | ~drop)
 
@@ -310,7 +310,8 @@ def task_detail(t, task_id: int | None = None) -> DataFrame:
         tk, links = tk.where(F.col("task_id") == task_id), links.where(F.col("task_id") == task_id)
     u = t["urls"].select(F.col("id").alias("url_id"), "url", "outcome")
     err = t["url_error_info"].select("task_id", "url_id", "error")
-    return (tk.join(links, "task_id").join(u, "url_id").join(err, ["task_id", "url_id"], "left")
+    linked = links.join(u, "url_id").join(err, ["task_id", "url_id"], "left")  # a task without URLs keeps one row
+    return (tk.join(linked, "task_id", "left")
             .select("task_id", "task_type", "task_status", "updated_at", "url_id", "url", "outcome", "error"))
 
 

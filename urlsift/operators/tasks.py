@@ -255,18 +255,18 @@ def submission_task(queue: DataFrame, receipts: DataFrame, as_of) -> Changes:
 
 
 # ---- J12 agency sync ------------------------------------------------------------------------------------------------
-MAX_SYNC_PAGES = 30
-
-
 def agency_sync(agencies: DataFrame, pages: DataFrame, cursor_page: int | None = None,
-                max_pages: int = MAX_SYNC_PAGES) -> DataFrame:
+                max_pages: int | None = None) -> DataFrame:
     """Apply pages of agency changes (page, agency_id, display_name, state_name, county_name,
-    locality_name, updated_at) from ``cursor_page`` on, at most ``max_pages`` pages, last writer (highest page,
+    locality_name, updated_at) from ``cursor_page`` on, all of them unless the caller bounds a run to ``max_pages`` pages
+    (:func:`sync_cursor` then names the page to go on with), last writer (highest page,
     then updated_at) wins per agency; returns the new agencies snapshot (see M1)."""
     from urlsift.operators.review import upsert
 
     start = cursor_page or 1
-    p = pages.where((F.col("page") >= start) & (F.col("page") < start + max_pages))
+    p = pages.where(F.col("page") >= start)
+    if max_pages is not None:
+        p = p.where(F.col("page") < start + max_pages)
     latest = p.groupBy("agency_id").agg(F.max(F.struct("page", "updated_at", "display_name", "state_name",
                                                          "county_name", "locality_name")).alias("_l"))
     changes = latest.select("agency_id", F.col("_l.display_name").alias("name"), F.col("_l.state_name").alias("state"),
@@ -274,17 +274,18 @@ def agency_sync(agencies: DataFrame, pages: DataFrame, cursor_page: int | None =
     return upsert(agencies, changes, ["agency_id"])
 
 
-def sync_cursor(pages: DataFrame, cursor_page: int | None, as_of, max_pages: int = MAX_SYNC_PAGES) -> DataFrame:
+def sync_cursor(pages: DataFrame, cursor_page: int | None, as_of, max_pages: int | None = None) -> DataFrame:
     """J12 cursor row after a run: next page to read, or — when an empty page was reached — full-sync stamp with
     cutoff = as_of − 1 day and page = null."""
     start = cursor_page or 1
-    seen = pages.where((F.col("page") >= start) & (F.col("page") < start + max_pages)).agg(
-        F.max("page").alias("last"))
-    done = F.col("last").isNull() | (F.col("last") < start + max_pages - 1)
+    seen = pages.where(F.col("page") >= start).agg(F.max("page").alias("last"))
+    # done when no page lies beyond the bound, so exactly ``max_pages`` pages end as a full sync
+    done = F.lit(True) if max_pages is None else F.col("last").isNull() | (F.col("last") < start + max_pages)
+    following = F.lit(None if max_pages is None else start + max_pages).cast("int")
     return seen.select(
         F.when(done, F.lit(as_of).cast("timestamp_ntz")).alias("last_full_sync_at"),
         F.when(done, F.to_date(F.lit(as_of)) - F.lit(1)).alias("current_cutoff_date"),
-        F.when(done, F.lit(None).cast("int")).otherwise((F.col("last") + 1).cast("int")).alias("current_page"))
+        F.when(done, F.lit(None).cast("int")).otherwise(following).alias("current_page"))
 
 
 # ---- J13 / J14 audit and errors -------------------------------------------------------------------------------------

@@ -120,7 +120,7 @@ FROM automated_url_agency_suggestions s LEFT JOIN agencies a ON a.agency_id=s.ag
  LEFT JOIN (SELECT task_id, COUNT(task_id) AS n FROM url_error_info GROUP BY task_id) e ON e.task_id=t.id"""),
     "task_detail": with_views(
         """SELECT t.id AS task_id, t.task_type, t.task_status, t.updated_at, lt.url_id, u.url, u.outcome, e.error
-FROM tasks t JOIN link_task_urls lt ON lt.task_id=t.id JOIN urls u ON u.id=lt.url_id
+FROM tasks t LEFT JOIN (link_task_urls lt JOIN urls u ON u.id=lt.url_id) ON lt.task_id=t.id
  LEFT JOIN url_error_info e ON e.task_id=t.id AND e.url_id=lt.url_id"""),
     "urls_listing": with_views(
         """SELECT u.id, u.url, u.outcome, u.created_at, l.batch_id,

@@ -14,8 +14,8 @@ from urlsift.streaming import streams as st
 
 def _stream(spark, d, name):
     path = f"{d.rstrip('/')}/{name}.parquet"
-    return (spark.readStream.schema(spark.read.parquet(path).schema)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(d))
+    # the trailing glob makes the path a pattern: it matches a single file as well as a folder of part files
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
 
 
 def _daily(spark, d):
@@ -33,7 +33,7 @@ def _intake(spark, d):
                   F.struct(F.col("l_orderkey").alias("batch_id"), *ARRIVAL_ORDER[1:]).alias("seq"))
     out, ck = st.scratch_path(spark, "intake"), st.scratch_path(spark, "intake-ck")
     st.stream_intake(c, out, ck, id_col="url_id")
-    return spark.read.parquet(f"{out}/load_summary").drop("epoch")
+    return st.intake_summary(spark, out)
 
 
 def _retention(spark, d):

@@ -203,13 +203,9 @@ ORACLES = {
  UNION ALL SELECT agency_id, arg_max(display_name, k) AS name, arg_max(state_name, k) AS state,
   CAST(NULL AS VARCHAR) AS county, CAST(NULL AS VARCHAR) AS locality FROM pg GROUP BY agency_id""",
         """pg AS (SELECT CAST(c_custkey // 100 AS INT) + 1 AS page, c_custkey % 150 AS agency_id, c_name AS display_name,
- c_mktsegment AS state_name, c_custkey AS k FROM customer WHERE CAST(c_custkey // 100 AS INT) + 1 < 31)"""),
-    "agency_sync_cursor": f"""SELECT CASE WHEN done THEN TIMESTAMP '{AS_OF}' END AS last_full_sync_at,
- CASE WHEN done THEN DATE '{AS_OF[:10]}' - 1 END AS current_cutoff_date,
- CASE WHEN done THEN NULL ELSE CAST(last + 1 AS INT) END AS current_page
- FROM (SELECT MAX(CAST(c_custkey // 100 AS INT) + 1) AS last,
-  MAX(CAST(c_custkey // 100 AS INT) + 1) IS NULL OR MAX(CAST(c_custkey // 100 AS INT) + 1) < 30 AS done
-  FROM customer WHERE CAST(c_custkey // 100 AS INT) + 1 < 31) s""",
+ c_mktsegment AS state_name, c_custkey AS k FROM customer)"""),
+    "agency_sync_cursor": f"""SELECT TIMESTAMP '{AS_OF}' AS last_full_sync_at, DATE '{AS_OF[:10]}' - 1 AS current_cutoff_date,
+ CAST(NULL AS INT) AS current_page""",
     "link_task_urls": with_views(
         """SELECT 99999 AS task_id, u.id AS url_id FROM urls u WHERE u.outcome='pending'
  AND NOT EXISTS (SELECT 1 FROM url_html_content x WHERE x.url_id=u.id)

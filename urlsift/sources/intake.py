@@ -31,7 +31,11 @@ def intake_search_results(payloads: DataFrame, col: str = "payload") -> DataFram
                                               F.explode("_p.query_results").alias("_r"))
     return q.select(F.col("_r.url").alias("url"),
                     F.to_json(F.struct("query", F.col("_r.title").alias("title"),
-                                       F.col("_r.snippet").alias("snippet"))).alias("collector_metadata"))
+                                       F.col("_r.snippet").alias("snippet")), _KEEP_NULLS).alias("collector_metadata"))
+
+
+# a field without a value stays in the metadata as null
+_KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
 def intake_ckan(packages: DataFrame) -> DataFrame:
@@ -41,13 +45,13 @@ def intake_ckan(packages: DataFrame) -> DataFrame:
     meta = F.struct(*[(F.date_format(F.col(c), "yyyy-MM-dd") if isinstance(packages.schema[c].dataType,
                                                                           (T.TimestampType, T.TimestampNTZType))
                        else F.col(c)).alias(c) for c in cols])
-    return packages.select(F.col("source_url").alias("url"), F.to_json(meta).alias("collector_metadata"))
+    return packages.select(F.col("source_url").alias("url"), F.to_json(meta, _KEEP_NULLS).alias("collector_metadata"))
 
 
 def intake_foia(records: DataFrame, url_col: str = "url") -> DataFrame:
     """A4: FOIA records -> (url, whole record as metadata)."""
     return records.select(F.col(url_col).alias("url"),
-                          F.to_json(F.struct(*[F.col(c) for c in records.columns])).alias("collector_metadata"))
+                          F.to_json(F.struct(*[F.col(c) for c in records.columns]), _KEEP_NULLS).alias("collector_metadata"))
 
 
 def intake_url_list(df: DataFrame, col: str = "urls") -> DataFrame:

@@ -45,36 +45,47 @@ def stream_intake(source: DataFrame, target: str, checkpoint: str, seq: str = "s
     spark = source.sparkSession
 
     def load(batch: DataFrame, epoch: int):
-        try:
-            urls = spark.read.parquet(f"{target}/urls")
-        except Exception:  # noqa: BLE001 - first batch: empty catalogue
+        if _exists(spark, f"{target}/urls"):  # a replayed epoch must not meet its own first attempt
+            urls = spark.read.parquet(f"{target}/urls").where(F.col("epoch") < epoch)
+        else:
             urls = spark.createDataFrame([], "id long, url string")
         ld = insert_urls(batch, urls.select("id", "url"), seq=seq, id_col=id_col)
-        tag = F.lit(epoch).cast("long").alias("epoch")
-        ld.new_urls.select("id", "url", "batch_id", "outcome", tag).write.mode("append").parquet(f"{target}/urls")
-        ld.links.select("*", tag).write.mode("append").parquet(f"{target}/link_batch_urls")
-        ld.duplicates.select("*", tag).write.mode("append").parquet(f"{target}/duplicates")
-        ld.summary.select("*", tag).write.mode("append").parquet(f"{target}/load_summary")
+        for name, rows in (("urls", ld.new_urls.select("id", "url", "batch_id", "outcome")), ("link_batch_urls", ld.links),
+                           ("duplicates", ld.duplicates), ("load_summary", ld.summary)):
+            rows.write.mode("overwrite").parquet(f"{target}/{name}/epoch={epoch}")
 
     w = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def intake_summary(spark: SparkSession, target: str) -> DataFrame:
+    """S1 result: one row per batch, its counts summed over epochs."""
+    rows = spark.read.parquet(f"{target}/load_summary").drop("epoch")
+    counts = [f for f in rows.schema.fields if f.name != "batch_id"]
+    return rows.groupBy("batch_id").agg(*[F.sum(f.name).cast(f.dataType).alias(f.name) for f in counts]).select(rows.columns)
+
+
 # ---- S2 status ------------------------------------------------------------------------------------------------
 def stream_status(updates: DataFrame, target: str, checkpoint: str, seq: str = "seq",
                   available_now: bool = True) -> StreamingQuery:
     """Keyed latest value — status updates (url_id, outcome, seq) are appended per epoch; read the current
     status with :func:`current_status`."""
     def write(batch: DataFrame, epoch: int):
-        last_by(batch.select("url_id", "outcome", seq), ["url_id"], seq).withColumn(
-            "epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(target)
+        last_by(batch.select("url_id", "outcome", F.col(seq).alias("seq"), F.col(seq).alias("_by")), ["url_id"], "_by").write.mode(
+            "overwrite").parquet(f"{target}/epoch={epoch}")
 
     return _run(updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
 
 def current_status(spark: SparkSession, target: str) -> DataFrame:
     s = spark.read.parquet(target)
-    return last_by(s.select("url_id", "outcome", F.struct("epoch").alias("_seq")), ["url_id"], "_seq")
+    # by sequence first: an update that arrives late does not win
+    return last_by(s.select("url_id", "outcome", F.struct("seq", "epoch").alias("_seq")), ["url_id"], "_seq")
 
 
 # ---- S3 daily backlog -----------------------------------------------------------------------------------------
