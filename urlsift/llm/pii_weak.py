@@ -94,7 +94,7 @@ def _luhn(m: Column) -> Column:
 
 
 def _byte(part: Column) -> Column:
-    bare = F.ltrim(F.lit("0"), part)
+    bare = F.ltrim(part, F.lit("0"))
     return (F.char_length(bare) <= 3) & (F.coalesce(F.when(bare == "", F.lit(0)).otherwise(F.left(bare, F.lit(3)).cast("int")), F.lit(0)) <= 255)
 
 
