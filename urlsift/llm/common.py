@@ -39,8 +39,20 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
+BATCH_ROWS = 1000  # rows of an Arrow batch; whole texts are wide, and a worker holds a few batches
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` (never raise it): it bounds what JVM and Python hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``id`` (its own type) and ``text`` (never null)."""
+    narrow_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
 

@@ -40,7 +40,7 @@ PARTS = 64
 _PART_SHIFT = np.uint64(58)
 WIDE = 1000
 MAX_FILTER_BITS = 1 << 28
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

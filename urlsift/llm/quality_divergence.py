@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsift.llm.common import id_text, stored, text_of, words_of
+from urlsift.llm.common import id_text, narrow_batches, stored, text_of, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -39,7 +39,7 @@ GUARD_CHARS = 400  # shorter texts are not judged by character classes
 GUARD_WORDS = 50  # nor by common words
 MAX_CLASS_DIVERGENCE = 0.1  # clean labelled texts stay below 0.07, symbol-ridden ones begin near 0.11
 MAX_WORD_DIVERGENCE = 0.26  # clean labelled texts stay below 0.19, tables and lists begin near 0.3
-TABLE_WORDS = 300_000  # entries of a task's counting table before it is flushed
+TABLE_WORDS = 150_000  # entries of a task's counting table before it is flushed
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "wide", "other")
 
@@ -137,6 +137,7 @@ def _language(col):
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, kind ('class' or 'word'), key, n, total`` over all documents that pass the base rules."""
+    narrow_batches(docs.sparkSession)
     lang = _language(F.col(f"`{lang_col}`")) if lang_col in docs.columns else F.lit("und")
     source = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
 
