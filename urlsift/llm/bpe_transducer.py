@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from urlsift.llm.common import id_text
-from urlsift.llm.tokenizing import UnitIds, _pack, encoder
+from urlsift.llm.tokenizing import Memo, UnitIds, _pack, encoder
 
 MAX_STATES = 300_000
 MAX_BORDERS = 1_000_000
+PIECE_ENTRIES = 100_000  # per generation of the memo of pieces
 DECODE_CHUNK = 8192
 
 
@@ -123,7 +124,7 @@ class MergeTransducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """A state is a set of (trie node, token before, residual output); returns (state, tokens all paths agree on)."""
-        paths, children, tokens = [], self._children, self._token
+        paths, children, tokens, border = [], self._children, self._token, self._border
         for node, last, held in self._states[state]:
             child = children[node].get(byte)
             if child is None:
@@ -131,8 +132,18 @@ class MergeTransducer:
             if children[child]:
                 paths.append((child, last, held))
             token = tokens[child]
-            if token is not None and self._halves(token) != (-1, -1) and (last < 0 or self._may_follow(last, token)):
-                paths.append((0, token, (*held, token)))
+            if token is None:
+                continue
+            if last >= 0:
+                fits = border.get(last << 20 | token)
+                if fits is None:
+                    fits = self._may_follow(last, token)
+                if not fits:
+                    continue
+            if token not in self._split and self._halves(token) == (-1, -1):
+                tokens[child] = None  # no merge order leads to it
+                continue
+            paths.append((0, token, (*held, token)))
         agreed = 0  # tokens that all residual outputs begin with
         outputs = [p[2] for p in paths]
         first = outputs[0]
@@ -199,14 +210,15 @@ class TransducerCodec:
         self.transducer = MergeTransducer(ranks)
         self._pieces = regex.compile(pattern).findall
         self._ids = UnitIds(self._encode_unit)
+        self._piece_ids = Memo(self._encode_piece, PIECE_ENTRIES)  # words recur with other marks behind them
         self._bytes = [self.transducer.bytes_of.get(r, b"") for r in range(max(ranks.values()) + 1)]
         self._decimal = [str(r) for r in range(len(self._bytes))]
 
     def _encode_unit(self, unit: str) -> bytes:
-        out: list[int] = []
-        for piece in self._pieces(unit):
-            out += self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return _pack(out)
+        return b"".join(map(self._piece_ids.__getitem__, self._pieces(unit)))
+
+    def _encode_piece(self, piece: str) -> bytes:
+        return _pack(self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass")))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self._ids(text), np.uint32).tolist()
