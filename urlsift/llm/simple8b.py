@@ -79,7 +79,8 @@ def pack_words(values: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, list[i
         width[big] = [int(v).bit_length() for v in values[big]]
     width[values == 0] = 1
     marked = np.insert(width, ends, 255)
-    best = _widest(marked).tolist()
+    widest = _widest(marked)
+    best = widest.tolist()
     starts, doc_words, at = [], [], 0
     for size in sizes:
         stop, first, escapes = at + size, len(starts), 0
@@ -93,9 +94,11 @@ def pack_words(values: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, list[i
         at += 1
         doc_words.append(len(starts) - first + escapes)
     start = np.array(starts, np.int64)
-    chosen = _SELECTOR_OF[np.array(best, np.uint8)[start]] if len(start) else np.zeros(0, np.uint8)
+    chosen = _SELECTOR_OF[widest[start]] if len(start) else np.zeros(0, np.uint8)
     source = np.zeros(len(marked), np.uint64)
-    source[np.delete(np.arange(len(marked)), ends + np.arange(len(ends)))] = values
+    own = np.ones(len(marked), bool)
+    own[ends + np.arange(len(ends))] = False
+    source[own] = values
     slot = np.arange(len(start)) + np.cumsum(chosen == ESCAPE) - (chosen == ESCAPE)
     words = np.zeros(len(start) + int((chosen == ESCAPE).sum()), np.uint64)
     for k, (count, bits) in enumerate(PACKINGS):
@@ -174,7 +177,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, end_id: int, path: str |
         from pyspark import TaskContext
 
         enc, shard, number, own = encoder(WordEndEncoder, vocab_path), TaskContext.get().partitionId(), 0, []
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], "<u4").tobytes()
 
         def close():
             sizes = [len(v) for _, v in own]
@@ -187,7 +190,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, end_id: int, path: str |
         for batch in batches:
             id_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.concatenate([np.frombuffer(enc.ids(text.as_py()), np.uint32), end])
+                values = np.frombuffer(enc.ids(text.as_py()) + end, np.uint32)
                 if own and held + len(values) > segment_ids:
                     yield close()
                     number, held, own = number + 1, 0, []

@@ -129,6 +129,9 @@ class ByteLevelEncoder:
         return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are neither letters, digits nor white space
+
+
 class WordEndEncoder:
     """Ids by a lower-casing BPE ``tokenizer.json`` with word-end marks, which drops white space.
 
@@ -148,6 +151,7 @@ class WordEndEncoder:
             spec = json.load(f)
         self._split = regex.compile(self._PIECES).findall
         self._core, self._to_id = self._rank_encoder(spec)
+        self._code = self._core and self._core._core_bpe.encode_single_piece
         self._memo = Memo(self._encode_unit, 2 * MEMO_ENTRIES)
 
     def _rank_encoder(self, spec: dict):
@@ -185,9 +189,12 @@ class WordEndEncoder:
             text = unicodedata.normalize("NFC", unit).lower()
         if self._core is None:
             return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
-        code, to_id = self._core._encode_single_piece, self._to_id
+        code, to_id = self._code, self._to_id
         if text.isalpha():
             return b"".join([to_id[r] for r in code(text.encode() + b"\xff")])
+        word = text.rstrip(_MARKS)
+        if word != text and word.isalpha():  # a word with marks behind it: two pieces, the marks a common one
+            return b"".join([to_id[r] for r in code(word.encode() + b"\xff")]) + self._memo[text[len(word):]]
         return b"".join([to_id[r] for piece in self._split(text) for r in code(piece.encode() + b"\xff")])
 
     def ids(self, text: str) -> bytes:
