@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from urlsift.functions import scalars as h
-from urlsift.functions.html import parse_document
+from urlsift.functions.html import parse_html
 from urlsift.operators import loads, queues, review, sets, tasks
 from urlsift.operators.metrics import backlog_by_month, pending_annotation_histogram
 from urlsift.sources import intake
@@ -83,7 +83,11 @@ def test_ckan_filter_and_parse(spark):
     assert parsed["C"].source_last_updated == "2024-03-04"
 
 
-def test_parse_document_rules():
+def test_parse_document_rules(spark):
+    def parse_document(html, **how):
+        pages = spark.createDataFrame([(1, "https://a.gov/x", html, "text/html")], "url_id long, url string, html string, content_type string")
+        return parse_html(pages, **how).first().asDict()
+
     html = ("<html><head><title>  A \n title </title><meta name='description' content=' d  e '></head><body>"
             "<h1>One</h1><h1><a href='x'>Linked</a></h1><h2>Two <b>parts</b></h2>"
             "<div>outer <div>inner</div></div><script>var x='<div>no</div>';</script><p>unclosed<b>bold"
@@ -97,6 +101,12 @@ def test_parse_document_rules():
     assert d["div"] == "outer inner inner "
     many = "<div>" + " ".join(["w"] * 400) + "</div><div>" + " ".join(["v"] * 200) + "</div>"
     assert parse_document(many)["div"].split() == ["w"] * 400
+    assert parse_document(many, div_words=None)["div"].split() == ["w"] * 400 + ["v"] * 200
+    # nested divs, headers with links, unclosed and stray tags, an absent page
+    odd = parse_document("<title> a <b>c</b></title></p><div>x<div>y<script>z</script><h2>k</h2></div>w<h2><a>l</a></h2>")
+    assert odd["title"] is None and odd["h2"] == '["k"]' and odd["div"] == "x y k w l y k "
+    assert parse_document("<title><b> one\n two </b></title>")["title"] == "one two"
+    assert parse_document(None)["div"] == "" and parse_document("")["description"] == ""
 
 
 def test_match_to_suggestions(spark):
