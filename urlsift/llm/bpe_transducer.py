@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from urlsift.llm.common import id_text
-from urlsift.llm.tokenizing import Memo, UnitIds, _pack, encoder
+from urlsift.llm.tokenizing import MARKS, Memo, UnitIds, _pack, encoder
 
 MAX_STATES = 300_000
 MAX_BORDERS = 1_000_000
-PIECE_ENTRIES = 100_000  # per generation of the memo of pieces
+UNIT_ENTRIES = 400_000  # per generation of the memo of words behind a space
+PIECE_ENTRIES = 50_000  # per generation of the memo of other pieces
+LAST_LATIN = "\u024f"  # up to here every library has the same letters
 DECODE_CHUNK = 8192
 
 
@@ -165,7 +167,7 @@ class MergeTransducer:
         if len(self._states) > self.max_states:
             self._forget()
         out, state, table = [], 0, self._next
-        for b in piece:
+        for b in piece[:-1]:
             key = state << 8 | b
             hop = table.get(key)
             if hop is None:
@@ -173,8 +175,20 @@ class MergeTransducer:
             state = hop[0]
             if hop[1]:
                 out += hop[1]
-        out += next((held for node, _, held in self._states[state] if node == 0), ())
-        return out
+        return out + self._finish(state, piece[-1])
+
+    def _finish(self, state: int, byte: int) -> list[int]:
+        """The output of the one path that ends with the last byte of a piece; no state is made for what cannot go on."""
+        for node, last, held in self._states[state]:
+            child = self._children[node].get(byte)
+            token = None if child is None else self._token[child]
+            if token is None or last >= 0 and not self._may_follow(last, token):
+                continue
+            if token not in self._split and self._halves(token) == (-1, -1):
+                self._token[child] = None
+                continue
+            return [*held, token]
+        raise ValueError("bytes that the vocabulary cannot express")
 
 
 class Utf8Stream:
@@ -201,6 +215,16 @@ class Utf8Stream:
         return len(data)
 
 
+def _words_are_pieces(split) -> bool:
+    """Whether the pattern takes a space and the Latin letters behind it as one piece and ASCII marks after them as
+    another, for every letter and mark and in longer runs."""
+    letters = [c for c in map(chr, range(ord(LAST_LATIN) + 1)) if c.isalpha()]
+    words = [" " + a + b for a in letters for b in ("", "s", "é", "Z")] + [" " + "".join(letters), " " + "ab" * 500]
+    marks = [*MARKS, MARKS, MARKS[::-1], *(a + b for a in MARKS for b in MARKS)]
+    return (all(split(w) == [w] for w in words)
+            and all(split(f" {w}{m}") == [f" {w}", m] for m in marks for w in ("a", "abZ", "é")))
+
+
 class TransducerCodec:
     def __init__(self, ranks_path: str, pattern: str):
         import regex
@@ -209,14 +233,24 @@ class TransducerCodec:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.transducer = MergeTransducer(ranks)
         self._pieces = regex.compile(pattern).findall
-        self._ids = UnitIds(self._encode_unit)
-        self._piece_ids = Memo(self._encode_piece, PIECE_ENTRIES)  # words recur with other marks behind them
+        self._ids = UnitIds(self._encode_unit, self._encode_spaced if _words_are_pieces(self._pieces) else None, UNIT_ENTRIES)
+        self._piece_ids = Memo(self._encode_piece, PIECE_ENTRIES)
         self._bytes = [self.transducer.bytes_of.get(r, b"") for r in range(max(ranks.values()) + 1)]
         self._decimal = [str(r) for r in range(len(self._bytes))]
 
     def _encode_unit(self, unit: str) -> bytes:
         return b"".join(map(self._piece_ids.__getitem__, self._pieces(unit)))
 
+    def _encode_spaced(self, unit: str) -> bytes:
+        """A unit behind a space; a word, or a word with marks behind it, is split without the pattern."""
+        if unit.isascii() or max(unit) <= LAST_LATIN:
+            if unit.isalpha():
+                return _pack(self.transducer.encode_piece(b" " + unit.encode()))
+            word = unit.rstrip(MARKS)
+            if word != unit and word.isalpha():
+                return self._ids.spaced[word] + self._piece_ids[unit[len(word):]]
+        return self._encode_unit(" " + unit)
+
     def _encode_piece(self, piece: str) -> bytes:
         return _pack(self.transducer.encode_piece(piece.encode("utf-8", "surrogatepass")))
 

@@ -68,15 +68,16 @@ _CUT = re.compile(r" (?=\S)")
 
 class UnitIds:
     """Ids of texts under byte-level pre-tokenisation as little-endian 32-bit integers. ``encode`` gives those of a
-    unit; units behind a space have a memo of their own, so the space is added only for unseen ones."""
+    unit, ``encode_spaced`` those of a unit with a space before it (by default ``encode`` of both); units behind a
+    space have a memo of their own, ``spaced``, so the space is added only for unseen ones."""
 
-    def __init__(self, encode):
-        self._plain, self._spaced = Memo(encode), Memo(lambda unit: encode(" " + unit))
+    def __init__(self, encode, encode_spaced=None, entries: int = MEMO_ENTRIES):
+        self._plain, self.spaced = Memo(encode), Memo(encode_spaced or (lambda unit: encode(" " + unit)), entries)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        plain, spaced = self._plain.__getitem__, self._spaced.__getitem__
+        plain, spaced = self._plain.__getitem__, self.spaced.__getitem__
         if _single_spaced(text):
             feed = plain("\n") if "\n" in text else b""
             lines = []
@@ -129,7 +130,7 @@ class ByteLevelEncoder:
         return _pack(self._tok.encode(unit, add_special_tokens=False).ids)
 
 
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are neither letters, digits nor white space
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII characters that are neither letters, digits nor white space
 
 
 class WordEndEncoder:
@@ -192,7 +193,7 @@ class WordEndEncoder:
         code, to_id = self._code, self._to_id
         if text.isalpha():
             return b"".join([to_id[r] for r in code(text.encode() + b"\xff")])
-        word = text.rstrip(_MARKS)
+        word = text.rstrip(MARKS)
         if word != text and word.isalpha():  # a word with marks behind it: two pieces, the marks a common one
             return b"".join([to_id[r] for r in code(word.encode() + b"\xff")]) + self._memo[text[len(word):]]
         return b"".join([to_id[r] for piece in self._split(text) for r in code(piece.encode() + b"\xff")])
