@@ -123,6 +123,23 @@ def test_transducer_equals_rank_encoder_and_round_trips(docs, empty):
     assert bpe_transducer.code_digests(empty, path, split_pattern()).count() == 0
 
 
+def test_words_and_marks_behind_a_space_equal_the_pattern():
+    import tiktoken
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_transducer.TransducerCodec(path, split_pattern())
+    assert bpe_transducer._words_are_pieces(regex.compile(split_pattern()).findall)
+    assert not bpe_transducer._words_are_pieces(regex.compile(r"\S+|\s+").findall)  # another pattern goes the general way
+    rng = random.Random(7)
+    parts = ["abc", "it's", "we're", "ÉtéÇ", "ªº", "ɏɐ", "x1", "12", "日本", "don't'", "'ll"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(parts) + "".join(rng.choices("'.,!?-_\"*\n\t", k=rng.randrange(4))) for _ in range(6))
+        assert codec.encode(text) == enc.encode_ordinary(text)
+
+
 def test_utf8_stream_keeps_split_characters():
     text = "aé日😀z" * 5
     for size in (1, 2, 3, 5):
