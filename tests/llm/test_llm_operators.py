@@ -193,6 +193,13 @@ def test_lm_base_score_is_exact_and_model_learns(spark, docs, empty, monkeypatch
     assert (bloom.levels(keys) >= bloom_lm.levels_of(counts)).all()
 
 
+def test_lm_scores_do_not_depend_on_the_broadcast_bound(docs, empty, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "RUN_TOKENS", 300)  # several runs
+    rows = lambda **own: sorted(map(repr, bloom_lm.lm_scores(docs, **own).collect()))
+    assert rows(max_bits=1024) == rows() and len(rows(max_bits=1024)) == len(_texts())
+    assert bloom_lm.lm_scores(empty, max_bits=0).count() == 0
+
+
 def test_license_labels_against_brute_force(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in license_setjoin.scan_licenses(docs).collect()}
     r = next(v for (i, _), v in got.items() if i == 13)

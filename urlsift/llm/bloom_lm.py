@@ -7,9 +7,10 @@ bigrams share the filter, and the probability of a word after another interpolat
 
 Scale. Counting: every task reduces its bigrams to sorted 48-bit keys per shard before they are shuffled as arrays, so
 a frequent bigram costs one key per task, and the number of shards follows the input. Each shard then builds its own
-segment of the filter alone. The filter grows with the n-grams up to ``max_bits`` (64 MB broadcast at most); beyond
-that its segments fill up and false positives rise, which makes model scores less sharp but drops no text and no
-n-gram. Bigrams seen once are left to the unigram part (``min_count``, a model parameter).
+segment of the filter alone, with ``BITS_PER_ENTRY`` bits for each entry whatever their number. A filter of at most
+``max_bits`` (64 MB) is broadcast. A larger one stays where it is: each run of texts sends its distinct n-grams to their
+segments, once, as arrays, and gets their levels back. Both ways probe the same segments, so scores do not depend on it.
+Bigrams seen once are left to the unigram part (``min_count``, a model parameter).
 The exact base score needs every word's count. Words at or above a count threshold, chosen from the histogram of counts
 so that at most ``TOP_WORDS`` are at or above it, are broadcast; the rest of each text's words, rare by construction, meet their
 counts in a join that has no hot key, and sums go back to the text by its row number.
@@ -100,13 +101,12 @@ class LogBloom:
 
     @staticmethod
     def build(keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-        data = np.zeros(bits // 8, np.uint8)
+        plane = np.zeros(bits, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             own = keys[levels >= level]
             for p in range(PROBES):
-                at = LogBloom.probe(own, level, p) % np.uint64(bits)
-                np.bitwise_or.at(data, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        return data
+                plane[(LogBloom.probe(own, level, p) % np.uint64(bits)).astype(np.int64)] = True
+        return np.packbits(plane, bitorder="little")
 
     @staticmethod
     def probe(keys: np.ndarray, level: int, p: int) -> np.ndarray:
@@ -160,16 +160,30 @@ def word_counts(source: DataFrame) -> DataFrame:
                   .where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def bigram_filter(source: DataFrame, counts: DataFrame, shards: int, max_bits: int, min_count: int = MIN_BIGRAM) -> LogBloom:
-    """Segments of the filter over all training bigrams (seen ``min_count`` times) and all unigrams."""
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by shard, the bounds of each shard in it)"""
+    shard = keys % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+
+
+def _raw_keys(keys: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _keys_of(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return raw.view("<u8").ravel()
+
+
+def filter_segments(source: DataFrame, counts: DataFrame, shards: int, min_count: int = MIN_BIGRAM) -> DataFrame:
+    """``shard, data, bits``: segments of the filter over all training bigrams (seen ``min_count`` times) and all unigrams."""
 
     def blobs(keys: np.ndarray, n: np.ndarray):
         """Sorted 48-bit keys, per shard, as arrays of 6 bytes; counts beyond one apart."""
-        shard = keys % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        keys, n, shard = keys[order], n[order], shard[order]
-        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-        raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        order, cuts = _by_shard(keys, shards)
+        n, raw = n[order], _raw_keys(keys[order])
         out = [(s, raw[a:b].tobytes(), (many := np.flatnonzero(n[a:b] > 1)).astype("<u4").tobytes(), n[a:b][many].astype("<i8").tobytes())
                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
@@ -200,7 +214,6 @@ def bigram_filter(source: DataFrame, counts: DataFrame, shards: int, max_bits: i
                 yield blobs(unigram_keys(word_hashes(batch.column(0).to_pylist())), np.array(batch.column(1).to_pylist(), np.int64) + UNIGRAM_MARK)
 
     UNIGRAM_MARK = 1 << 40  # a unigram is kept whatever its count
-    share = max_bits // shards // 64 * 64
 
     def segment(batches):
         shard, held = None, []
@@ -213,9 +226,9 @@ def bigram_filter(source: DataFrame, counts: DataFrame, shards: int, max_bits: i
             total = np.where(single, total - UNIGRAM_MARK, total)
             own = single | (total >= min_count)
             keys, levels = keys[own], levels_of(total[own])
-            bits = int(min(share, max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([LogBloom.build(keys, levels, bits).tobytes()], pa.binary())],
-                                              names=["shard", "data"])
+            bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([LogBloom.build(keys, levels, bits).tobytes()], pa.binary()),
+                                               pa.array([bits], pa.int64())], names=["shard", "data", "bits"])
 
         for batch in batches:
             for s, keys, many, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -223,23 +236,80 @@ def bigram_filter(source: DataFrame, counts: DataFrame, shards: int, max_bits: i
                     yield close()
                     held = []
                 shard = s
-                raw = np.zeros((len(keys) // 6, 8), np.uint8)
-                raw[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-                own = np.ones(len(raw), np.int64)
+                own = np.ones(len(keys) // 6, np.int64)
                 own[np.frombuffer(many, "<u4")] = np.frombuffer(n, "<i8")
-                held.append((raw.view("<u8").ravel(), own))
+                held.append((_keys_of(keys), own))
         if held:
             yield close()
 
     kind = "shard int, keys binary, many binary, n binary"
     sent = source.where("not held_out").select("text").mapInArrow(gather, kind).unionByName(counts.select("word", "n").mapInArrow(unigrams, kind))
-    built = stored(sent.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(segment, "shard int, data binary"), "filter")
+    return stored(sent.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard").mapInArrow(segment, "shard int, data binary, bits long"), "filter")
+
+
+def whole_filter(built: DataFrame, shards: int, max_bits: int) -> LogBloom | None:
+    """The filter in one piece, or nothing if it has more than ``max_bits``."""
+    if (built.agg(F.sum("bits")).first()[0] or 0) > max_bits:
+        return None
     segments = [np.zeros(8, np.uint8)] * shards
-    for r in built.toLocalIterator():  # max_bits / 8 bytes at most
+    for r in built.select("shard", "data").toLocalIterator():  # max_bits / 8 bytes at most
         segments[r.shard] = np.frombuffer(r.data, np.uint8)
     return LogBloom(segments, shards)
 
 
+def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """``run, shard, levels`` (a byte each) for ``asked``: ``run, shard, keys``. Every segment meets the keys of its shard
+    behind it in one sorted partition; one segment is held at a time."""
+
+    def answer(batches):
+        at, bloom = None, None
+        for batch in batches:
+            out = [[], [], []]
+            for shard, run, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    at, bloom = shard, None
+                if run is None:
+                    bloom = LogBloom([np.frombuffer(data, np.uint8)], 1)
+                    continue
+                keys = _keys_of(data)
+                levels = bloom.levels(keys) if bloom is not None else np.zeros(len(keys), np.int64)
+                for column, value in zip(out, (run, shard, levels.astype(np.uint8).tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["run", "shard", "levels"])
+
+    both = built.select("shard", F.lit(None).cast("long").alias("run"), "data").unionByName(asked.select("shard", "run", F.col("keys").alias("data")))
+    return (both.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", F.asc_nulls_first("run"))
+            .mapInArrow(answer, "run long, shard int, levels binary"))
+
+
+def run_scores(runs: DataFrame, levels: DataFrame, probabilities, parts: int) -> DataFrame:
+    """``row, score``: each run (``run, at, lengths``) meets the levels of its distinct n-grams, in the order of shards."""
+
+    def close(run, at, lengths, held):
+        level = np.frombuffer(b"".join(held), np.uint8)[np.frombuffer(at, "<u4")].astype(np.int64)
+        lengths = np.frombuffer(lengths, "<i8")
+        n = int(lengths.sum())
+        scores = probabilities(level[:n], level[n:], lengths)
+        return pa.RecordBatch.from_arrays([pa.array(run + np.arange(len(scores)), pa.int64()), pa.array(scores, pa.float64())], names=["row", "score"])
+
+    def score(batches):
+        now, held = None, []
+        for batch in batches:
+            for run, _, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None:
+                    held.append(data)
+                    continue
+                if now is not None:
+                    yield close(*now, held)
+                now, held = (run, at, data), []
+        if now is not None:
+            yield close(*now, held)
+
+    both = runs.select("run", F.lit(-1).alias("shard"), "at", F.col("lengths").alias("data")).unionByName(
+        levels.select("run", "shard", F.lit(None).cast("binary").alias("at"), F.col("levels").alias("data")))
+    return both.repartition(parts, "run").sortWithinPartitions("run", "shard").mapInArrow(score, "row long, score double")
+
+
 def _top_words(counts: DataFrame, limit: int = TOP_WORDS) -> dict[bytes, int]:
     """The most frequent words: all with a count at or above the least threshold that admits at most ``limit``."""
     histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(limit).collect()
@@ -262,16 +332,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, vocabulary = int(total.n), int(total.v)
     shards = partitions_for(n_train, SHARD_KEYS, 16)
-    model = spark.sparkContext.broadcast((bigram_filter(source, counts, shards, max_bits), _top_words(counts)))
+    built = filter_segments(source, counts, shards)
+    whole = whole_filter(built, shards, max_bits)
+    apart = whole is None
+    model = spark.sparkContext.broadcast((whole, _top_words(counts)))
     space = max(n_train + 0.5 * (vocabulary + 1), 1.0)
     log_space = math.log10(space)
     lowest = int(levels_of(np.array([MIN_BIGRAM]))[0])
     kind = source.schema["id"].dataType.simpleString()
 
     def score(batches):
+        from pyspark import TaskContext
+
         bloom, top = model.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out, run, size = [[] for _ in range(6)], [], 0
+            out, run, size, first = [[] for _ in range(9)], [], 0, row
             for text in batch.column(1):
                 words = tokens(text.as_py())
                 rare: Counter = Counter()
@@ -288,33 +364,61 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 for column, value in zip(out, (len(words) + 1, known, base, list(rare), list(rare.values())), strict=False):
                     column.append(value)
                 run.append(words)
+                row += 1
                 size += len(words) + 2
                 if size > RUN_TOKENS:
-                    out[5] += model_scores(run, bloom)
+                    close(out, run, bloom)
                     run, size = [], 0
             if run:
-                out[5] += model_scores(run, bloom)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(
-                out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64()), strict=True))],
-                names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score"])
-
-    def model_scores(run: list[list[bytes]], bloom: LogBloom) -> list[float]:
-        """Log10 probabilities of several texts: each distinct n-gram of the run is probed once."""
+                close(out, run, bloom)
+            rows = pa.array(np.arange(first, row), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(out, (
+                pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary(),
+                pa.list_(pa.struct([("shard", pa.int32()), ("keys", pa.binary())]))), strict=True)), rows],
+                names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score", "at", "lengths", "asked", "row"])
+
+    def close(out: list[list], run: list[list[bytes]], bloom: LogBloom | None) -> None:
+        """Scores of a run, or what it asks the segments for, beside the run's first text."""
         hashes = word_hashes([w for words in run for w in (END, *words, END)])
+        lengths = np.array([len(words) + 2 for words in run], np.int64)
         uni_keys, uni_at = np.unique(unigram_keys(hashes), return_inverse=True)
         pair_keys, pair_at = np.unique(bigram_keys(hashes), return_inverse=True)
-        uni, pair = count_of(bloom.levels(uni_keys))[uni_at], bloom.levels(pair_keys)
+        rest = [None] * (len(run) - 1)
+        if bloom is not None:  # each distinct n-gram of the run is probed once
+            out[5] += probabilities(bloom.levels(uni_keys)[uni_at], bloom.levels(pair_keys)[pair_at], lengths)
+            request = (None, None, None)
+        else:
+            keys = np.concatenate([uni_keys, pair_keys])
+            order, cuts = _by_shard(keys, shards)
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys))
+            raw = _raw_keys(keys[order])
+            out[5] += [None] * len(run)
+            request = (place[np.concatenate([uni_at, pair_at + len(uni_keys)])].astype("<u4").tobytes(), lengths.astype("<i8").tobytes(),
+                       [{"shard": s, "keys": raw[a:b].tobytes()} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+        for column, value in zip(out[6:], request, strict=True):
+            column += [value, *rest]
+
+    def probabilities(uni: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> list[float]:
+        """Log10 probabilities of several texts from the levels of their words and of their pairs of words."""
+        uni = count_of(uni)
         # below the least stored count a pair's level is a false positive
-        pair = np.where(pair >= lowest, count_of(pair), 0.0)[pair_at]
+        pair = np.where(pair >= lowest, count_of(pair), 0.0)
         before = np.maximum(uni[:-1], pair)
         p = np.log10(np.minimum((pair + mu * (uni[1:] + 0.5) / space) / (before + mu), 1.0))
-        stops = np.cumsum([len(words) + 2 for words in run])
+        stops = np.cumsum(lengths)
         p[stops[:-1] - 1] = 0.0  # from one text's end to the next one's start
         return np.add.reduceat(p, np.concatenate([[0], stops[:-1]])).tolist()
 
     scored = stored(source.select("id", "text", "held_out").mapInArrow(
-        score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double")
-        .withColumn("row", F.monotonically_increasing_id()), "scored")
+        score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double, "
+               "at binary, lengths binary, asked array<struct<shard: int, keys: binary>>, row long"), "scored")
+    if apart:
+        runs = scored.where("at is not null").withColumnRenamed("row", "run")
+        levels = levels_at_segments(built, runs.select("run", F.inline("asked")), shards)
+        scores = run_scores(runs, levels, probabilities, partitions_for(n_train, SHARD_KEYS, 16))
+        scored = scored.drop("score").join(stored(scores, "scores"), "row")
+    scored = scored.drop("at", "lengths", "asked")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
     met = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("base"), "times")
     unmet = scored.select("row", "known", "base", F.lit(0).cast("long").alias("times"))
