@@ -200,6 +200,21 @@ def test_lm_scores_do_not_depend_on_the_broadcast_bound(docs, empty, monkeypatch
     assert bloom_lm.lm_scores(empty, max_bits=0).count() == 0
 
 
+def test_lm_stores_bigrams_seen_once(spark):
+    lines = ["w1 w2", "w1 w3", "w2 w3 w2"] * 3 + ["w3 w1"]
+    inside = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [*zip(inside, lines, strict=False), (next(i for i in range(100) if i not in inside), "w3 w1")]
+    got = {r.doc_id: r.score for r in bloom_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = Counter(w for t in lines for w in [*t.split(), "\n"])
+    pairs = Counter(p for t in lines for p in zip(["\n", *t.split()], [*t.split(), "\n"], strict=True))
+    assert pairs["w3", "w1"] == 1
+    n, v = sum(c.values()), len(c)
+    read = lambda k: float(bloom_lm.count_of(bloom_lm.levels_of(np.array([k])))[0]) if k else 0.0
+    p = lambda a, b: (read(pairs[a, b]) + bloom_lm.MU * (read(c[b]) + 0.5) / (n + 0.5 * (v + 1))) / (max(read(c[a]), read(pairs[a, b])) + bloom_lm.MU)
+    want = sum(np.log10(min(p(a, b), 1.0)) for a, b in (("\n", "w3"), ("w3", "w1"), ("w1", "\n")))
+    assert abs(got[rows[-1][0]] - want) < 1e-9
+
+
 def test_license_labels_against_brute_force(docs, empty):
     got = {(r.doc_id, r.n_words): r for r in license_setjoin.scan_licenses(docs).collect()}
     r = next(v for (i, _), v in got.items() if i == 13)

@@ -10,7 +10,7 @@ a frequent bigram costs one key per task, and the number of shards follows the i
 segment of the filter alone, with ``BITS_PER_ENTRY`` bits for each entry whatever their number. A filter of at most
 ``max_bits`` (64 MB) is broadcast. A larger one stays where it is: each run of texts sends its distinct n-grams to their
 segments, once, as arrays, and gets their levels back. Both ways probe the same segments, so scores do not depend on it.
-Bigrams seen once are left to the unigram part (``min_count``, a model parameter).
+Every training bigram is stored, those seen once at level 1.
 The exact base score needs every word's count. Words at or above a count threshold, chosen from the histogram of counts
 so that at most ``TOP_WORDS`` are at or above it, are broadcast; the rest of each text's words, rare by construction, meet their
 counts in a join that has no hot key, and sums go back to the text by its row number.
@@ -35,7 +35,6 @@ from urlsift.llm.common import id_text, lower_words, partitions_for, stored
 END = b"\n"  # the end token; no word holds a line feed
 TOP_WORDS = 200_000
 LOG_BASE = 1.5  # counts 1, 2, 3, 4-5, 6-7, ... share a level
-MIN_BIGRAM = 2
 BITS_PER_ENTRY = 10
 PROBES = 3
 MAX_FILTER_BITS = 1 << 29
@@ -177,8 +176,8 @@ def _keys_of(data: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
-def filter_segments(source: DataFrame, counts: DataFrame, shards: int, min_count: int = MIN_BIGRAM) -> DataFrame:
-    """``shard, data, bits``: segments of the filter over all training bigrams (seen ``min_count`` times) and all unigrams."""
+def filter_segments(source: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
+    """``shard, data, bits``: segments of the filter over all training bigrams and all unigrams."""
 
     def blobs(keys: np.ndarray, n: np.ndarray):
         """Sorted 48-bit keys, per shard, as arrays of 6 bytes; counts beyond one apart."""
@@ -211,9 +210,8 @@ def filter_segments(source: DataFrame, counts: DataFrame, shards: int, min_count
     def unigrams(batches):
         for batch in batches:
             if batch.num_rows:
-                yield blobs(unigram_keys(word_hashes(batch.column(0).to_pylist())), np.array(batch.column(1).to_pylist(), np.int64) + UNIGRAM_MARK)
+                yield blobs(unigram_keys(word_hashes(batch.column(0).to_pylist())), np.array(batch.column(1).to_pylist(), np.int64))
 
-    UNIGRAM_MARK = 1 << 40  # a unigram is kept whatever its count
 
     def segment(batches):
         shard, held = None, []
@@ -221,11 +219,7 @@ def filter_segments(source: DataFrame, counts: DataFrame, shards: int, min_count
         def close():
             keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
             keys, back = np.unique(keys, return_inverse=True)
-            total = np.bincount(back, weights=n).astype(np.int64)
-            single = total >= UNIGRAM_MARK
-            total = np.where(single, total - UNIGRAM_MARK, total)
-            own = single | (total >= min_count)
-            keys, levels = keys[own], levels_of(total[own])
+            levels = levels_of(np.bincount(back, weights=n).astype(np.int64))
             bits = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([LogBloom.build(keys, levels, bits).tobytes()], pa.binary()),
                                                pa.array([bits], pa.int64())], names=["shard", "data", "bits"])
@@ -338,7 +332,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     model = spark.sparkContext.broadcast((whole, _top_words(counts)))
     space = max(n_train + 0.5 * (vocabulary + 1), 1.0)
     log_space = math.log10(space)
-    lowest = int(levels_of(np.array([MIN_BIGRAM]))[0])
     kind = source.schema["id"].dataType.simpleString()
 
     def score(batches):
@@ -401,9 +394,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def probabilities(uni: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> list[float]:
         """Log10 probabilities of several texts from the levels of their words and of their pairs of words."""
-        uni = count_of(uni)
-        # below the least stored count a pair's level is a false positive
-        pair = np.where(pair >= lowest, count_of(pair), 0.0)
+        uni, pair = count_of(uni), count_of(pair)
         before = np.maximum(uni[:-1], pair)
         p = np.log10(np.minimum((pair + mu * (uni[1:] + 0.5) / space) / (before + mu), 1.0))
         stops = np.cumsum(lengths)
