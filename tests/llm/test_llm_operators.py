@@ -299,6 +299,26 @@ def test_jaccard_components_against_brute_force(spark, empty, monkeypatch):
     assert jaccard_groupjoin.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("wide", [1000, 1])  # the second sends the groups through pivots
+def test_members_link_where_group_heads_do_not(spark, monkeypatch, wide):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_groupjoin, "WIDE", wide)
+    # a constant sketch orders shingles by hash alone, so texts with the same first hashes and size form a group
+    monkeypatch.setattr(jaccard_groupjoin, "frequency_sketch", lambda *_: np.full(jaccard_groupjoin.SKETCH_COUNTERS, 10, np.int32))
+    sets, want = [], []
+    for letter, shorter, own in (("w", (1,), [0, 1, 1]), ("v", (0, 1), [3, 4, 3, 4])):
+        words = [f"{letter}{k}" for k in range(1000)]
+        hashes = [int(s[0]) for s in jaccard_groupjoin.shingle_sets(pa.array(words), 1)]
+        words = [w for _, w in sorted(zip(hashes, words, strict=True))]
+        pair = [words[:31] + words[100:369], words[:31] + words[500:769]]  # 300 words each, the same prefix
+        sets += pair + [pair[k][:295] for k in shorter]
+        want += own
+    rows = [(k, " ".join(s)) for k, s in enumerate(sets)]
+    got = jaccard_groupjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), words=1).collect()
+    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == want
+
+
 def test_pipeline_stages_chain(spark, tmp_path):
     import corpus_pipeline
 

@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Two link when their Jaccard similarity reaches a threshold.
 Documents with equal sets collapse into one class first, and classes with the same prefix (their rarest shingles, as
 many as the threshold leaves room for) and size into one group. Group pairs that share a prefix shingle pass the
-length and the positional filter; only then are groups expanded to members, and members verified on their whole sets.
+length and the positional filter, and a bound on part counts that holds for every member (the largest count of each part);
+only then are groups expanded to members, and members bounded by their own counts and verified on their whole sets.
 
 Order. Any global order of shingles gives the right result; a good one puts rare shingles first. Frequencies are
 estimated over all documents in a sketch of fixed size (``SKETCH_COUNTERS``, 4 MB, broadcast), ties broken by hash.
@@ -11,7 +12,7 @@ estimated over all documents in a sketch of fixed size (``SKETCH_COUNTERS``, 4 M
 Scale and skew. The largest group of copies is one class after a partially aggregated grouping. Candidates are not all verified: first
 each class against its smallest candidate, then components are formed, and of the other candidates only those that still
 lie in two components. A shingle in the prefixes of more than ``WIDE`` groups does not meet itself pair by pair: its
-groups are held against one pivot, and then only those left outside the pivot's component against the rest. So a
+groups are held against one pivot, and then only those with a member outside the pivot's component against the rest. So a
 large group of near copies costs in proportion to its size, and no link is lost. Whole sets are made again from the
 text, and only for classes that have a candidate, found by a bit filter of bounded size. Components come from
 label propagation with pointer jumping over stored tables; nothing but filter blocks and counts reaches the driver.
@@ -312,6 +313,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _group_parts(heads: DataFrame, member_of: DataFrame, classes: DataFrame) -> DataFrame:
+    """``row, n, parts`` of each head: for a group the largest count of each part over its members, who have one size."""
+    of_groups = member_of.join(classes.select("row", "n", "parts"), "row").groupBy("g").agg(
+        F.first("n").alias("n"), *[F.max(F.expr(f"substring(parts, {k + 1}, 1)")).alias(f"p{k}") for k in range(PARTS)])
+    of_groups = of_groups.select(F.col("g").alias("row"), "n", F.concat(*[f"p{k}" for k in range(PARTS)]).alias("parts"))
+    alone = heads.select("row", "n", "parts").join(of_groups.select("row"), "row", "left_anti")
+    return stored(alone.unionByName(of_groups), "group-parts")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose overlap can reach the threshold: in each part of the hash space two sets share no more than
     the smaller of their counts. Short digests meet here, so whole sets need not."""
@@ -356,12 +366,13 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     maybe_wide = stored(postings.where(F.col("c") > WIDE), "wide-postings")
     wide = stored(maybe_wide.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(_place("na"), _size("na"), "g")).alias("pivot")).where(F.col("k") > WIDE), "wide")
     narrow = postings.where(F.col("c") <= WIDE).unionByName(maybe_wide.join(wide.select("t"), "t", "left_anti")).drop("c")
-    met = _possible(_meet(narrow, narrow, percent).distinct(), classes, percent)
+    group_parts = _group_parts(heads, member_of, classes)
+    met = _possible(_meet(narrow, narrow, percent).distinct(), group_parts, percent)
     in_wide = maybe_wide.join(wide.select("t"), "t", "left_semi").drop("c")
     at_pivot = maybe_wide.alias("y").join(wide.alias("w"), F.col("y.t") == F.col("w.t")).where(F.col("y.g") != F.col("w.pivot.g")).select(
         F.least("y.g", "w.pivot.g").alias("a"), F.greatest("y.g", "w.pivot.g").alias("b")).distinct()
     in_group = member_of.where("row != g").select(F.col("g").alias("a"), F.col("row").alias("b"))
-    nearest = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    nearest = _possible(met, classes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
     first_pairs = stored(nearest.unionByName(_possible(at_pivot, classes, percent)).unionByName(in_group).distinct(), "first-pairs")
     rest_rows = met.unionByName(first_pairs)
@@ -371,22 +382,29 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     # what may still join two components: other candidates, wide shingles outside the pivot's, members of groups
     named = lambda df, col: df.join(labels.select(F.col("row").alias(col), "label"), col, "left").withColumn("label", F.coalesce("label", col))
-    wide_named = stored(named(in_wide, "g"), "wide-named")
-    pivots = named(wide.select("t", F.col("pivot.g").alias("g")), "g").select("t", F.col("label").alias("main"))
-    outside = wide_named.join(pivots, "t").where("label != main").drop("main")
-    apart = F.col("x.label") != F.col("y.label")
-    strays = _possible(_meet(outside, wide_named, percent, apart).unionByName(_meet(wide_named, outside, percent, apart)).distinct(), classes, percent)
     members = named(member_of, "row")
-    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("g")
+    # the lowest and the highest label in a group; a head alone has its own
+    ranges = stored(members.groupBy("g").agg(F.min("label").alias("glo"), F.max("label").alias("ghi")), "group-labels")
+    ranged = lambda df, col: named(df, col).join(ranges.withColumnRenamed("g", col), col, "left").withColumns(
+        {"lo": F.coalesce("glo", "label"), "hi": F.coalesce("ghi", "label")}).drop("label", "glo", "ghi")
+    wide_named = stored(ranged(in_wide, "g"), "wide-named")
+    pivots = named(wide.select("t", F.col("pivot.g").alias("g")), "g").select("t", F.col("label").alias("main"))
+    outside = wide_named.join(pivots, "t").where("lo != main or hi != main").drop("main")
+    apart = F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")
+    strays = _possible(_meet(outside, wide_named, percent, apart).unionByName(_meet(wide_named, outside, percent, apart)).distinct(), group_parts, percent)
+    mixed = ranges.where("glo != ghi").select("g")
     mixed_members = members.join(mixed, "g", "left_semi")
-    within = mixed_members.alias("x").join(mixed_members.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row")) & apart).select(
-        F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    group_pairs = met.unionByName(strays).distinct()
+    within = mixed_members.alias("x").join(mixed_members.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row")) & (
+        F.col("x.label") != F.col("y.label"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    # pairs of groups whose members all lie in one component have nothing to add
+    group_pairs = ranged(ranged(met.unionByName(strays).distinct(), "a").withColumnsRenamed({"lo": "alo", "hi": "ahi"}), "b").where(
+        F.least("alo", "lo") != F.greatest("ahi", "hi")).select("a", "b")
     # expand pairs of groups to members where a group has several (a head alone stands for itself)
-    spread = members.select("row", "g", "label")
+    spread = members.select("row", "g")
     left = group_pairs.join(spread.select(F.col("g").alias("a"), F.col("row").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
     both = left.join(spread.select(F.col("g").alias("b"), F.col("row").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
-    second = stored(_labelled(both.unionByName(within).distinct().join(first_pairs, ["a", "b"], "left_anti"), labels), "second-pairs")
+    apart_pairs = _labelled(both.unionByName(within).distinct().join(first_pairs, ["a", "b"], "left_anti"), labels)
+    second = _possible(apart_pairs, classes, percent)
     late = second.join(sets.select(F.col("row").alias("a")), "a", "left_anti").select("a", "b").unionByName(
         second.join(sets.select(F.col("row").alias("b")), "b", "left_anti").select("a", "b")).distinct()
     all_sets = sets if late.isEmpty() else _whole_sets(source, classes, second, words)
