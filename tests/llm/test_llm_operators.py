@@ -176,6 +176,16 @@ def test_main_text_of_awkward_pages(spark):
     assert template_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_articles_in_furniture_do_not_hide_the_main_text(spark):
+    body = "<div><p>" + "A long first paragraph of page {k}. " * 5 + "</p><p>Second of {k}</p></div>"
+    comments = '<section class="comments"><article><p>reader {k}</p></article></section>'
+    shapes = (body + comments, body + "<article><p>teaser {k}</p></article>" + comments)
+    rows = [(k, "http://h.example.org/a", f"<body>{shapes[k % 2]}</body>".replace("{k}", str(k))) for k in range(6)]
+    for r in template_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        want = " ".join([f"A long first paragraph of page {r.page_id}."] * 5) + f"\nSecond of {r.page_id}"
+        assert r.text == want + f"\nteaser {r.page_id}" * (r.page_id % 2) == template_extract.main_text(rows[r.page_id][2])
+
+
 def test_lm_base_score_is_exact_and_model_learns(spark, docs, empty, monkeypatch):
     import math
 
