@@ -85,8 +85,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.periodic_runs import cycled, periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), change=cycled)
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op7_license_scan, op8_token_files,
-                                  op9_pii_weak, op10_jaccard_join)}
+                                  op9_pii_weak, op10_jaccard_join, op12_periodic_runs)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
