@@ -85,6 +85,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.spelling_groups import letter_dropped, spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), change=letter_dropped)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from urlsift.llm.periodic_runs import cycled, periodic_runs
 
@@ -92,7 +98,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op7_license_scan, op8_token_files,
-                                  op9_pii_weak, op10_jaccard_join, op12_periodic_runs)}
+                                  op9_pii_weak, op10_jaccard_join, op11_spelling_variants, op12_periodic_runs)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
