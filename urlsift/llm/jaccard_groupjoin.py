@@ -260,7 +260,7 @@ def _bit_filter(keys: DataFrame, n: int):
     return lambda key: test(F.pmod(F.xxhash64(key), F.lit(bits)))
 
 
-def _whole_sets(source: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def whole_sets(source: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """``row, set`` (sorted hashes as bytes) of every class in a pair, made from the texts again."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     needed = stored(classes.join(ends, "row", "left_semi").select("row", "key", F.xxhash64("id").alias("k")), "needed")
@@ -376,7 +376,7 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     first_pairs = stored(nearest.unionByName(_possible(at_pivot, classes, percent)).unionByName(in_group).distinct(), "first-pairs")
     rest_rows = met.unionByName(first_pairs)
-    sets = _whole_sets(source, classes, rest_rows, words)
+    sets = whole_sets(source, classes, rest_rows, words)
     links = _verify(first_pairs, sets, percent)
     labels = components(links)
 
@@ -407,7 +407,7 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     second = _possible(apart_pairs, classes, percent)
     late = second.join(sets.select(F.col("row").alias("a")), "a", "left_anti").select("a", "b").unionByName(
         second.join(sets.select(F.col("row").alias("b")), "b", "left_anti").select("a", "b")).distinct()
-    all_sets = sets if late.isEmpty() else _whole_sets(source, classes, second, words)
+    all_sets = sets if late.isEmpty() else whole_sets(source, classes, second, words)
     links = links.unionByName(_verify(second, all_sets, percent))
     return signed.join(of_class, "key", "left"), components(links)
 

@@ -97,8 +97,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), change=cycled)
 
 
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from urlsift.llm.setsketch_dedup import setsketch_duplicates
+
+    return setsketch_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_byte_bpe, op4_divergence_rules, op5_template_extract, op6_bloom_lm, op7_license_scan, op8_token_files,
-                                  op9_pii_weak, op10_jaccard_join, op11_spelling_variants, op12_periodic_runs)}
+                                  op9_pii_weak, op10_jaccard_join, op11_spelling_variants, op12_periodic_runs, op13_setsketch_dedup)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
