@@ -51,9 +51,19 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def surrogate_id(url: Column | str) -> Column:
-    """Deterministic non-negative 63-bit id for a natural key (replaces autoincrement; no global ordering)."""
-    return F.abs(F.xxhash64(_c(url))) % F.lit(2**62)
+KEY_BUCKETS = 4096  # buckets of natural keys; a surrogate key ends in its bucket's number
+
+
+def key_bucket(key: Column | str, buckets: int = KEY_BUCKETS) -> Column:
+    """Bucket of a natural key, from its hash; ``buckets`` divides ``KEY_BUCKETS``."""
+    return F.pmod(F.xxhash64(_c(key)), F.lit(buckets))
+
+
+def surrogate_key(key: Column | str, width: int, seed: int = 0) -> Column:
+    """Id of a natural key from 2^width up to 2^(width+1) - 1: hash bits, then the key's bucket. Ids of different
+    widths never meet, and two keys with one id lie in one bucket."""
+    bits = F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit((1 << width) // KEY_BUCKETS))
+    return F.lit(1 << width) + bits * F.lit(KEY_BUCKETS) + key_bucket(key)
 
 
 def squeeze_ws(s: Column | str) -> Column:

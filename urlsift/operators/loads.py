@@ -1,10 +1,10 @@
 """Loading batches of collected URLs: first-occurrence dedup (E2), insert (A9), manual batches (A10),
 batch post-collection update (A12) and the load summary (D16).
 
-Skew note: one URL (or one batch) may carry a third of all incoming rows. The "which row is the original"
-decision is therefore made with a partial (map-side combined) ``min(struct(order..))`` aggregation instead of a
-``row_number`` window, which would sort the whole hot key inside one task. Exact-tie multiplicity is kept by
-counting identical rows, so the result is the same multiset a ``row_number() == 1`` split gives.
+Skew note: one URL (or one batch) may carry a third of all incoming rows. Equal rows travel as one row with a count,
+"which row is the original" is a partial (map-side combined) ``min(struct(order..))``, and rows are made from counts
+again only where a result lists them, a bounded number at a time. The input is read once; what
+several results are made from is a stored table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsift.functions.scalars import surrogate_id
+from urlsift.functions.scalars import surrogate_key
+from urlsift.session import written
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -27,31 +28,65 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields])
 
 
-def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Every input row plus ``is_first`` — exactly one row per key is the first by ``order``.
+def repeated(df: DataFrame, n: str) -> DataFrame:
+    """Every row ``n`` times, without ``n``. Rows are made in three steps of at most 4096, so no row holds an array of
+    its copies."""
+    step = 1 << 12
+    cols = [c for c in df.columns if c != n]
+    out = df.where(F.col(n) > 0).withColumn("_high", F.expr(f"explode(sequence(0L, ({n} - 1) div {step * step}))"))
+    out = out.withColumn("_rows", F.least(F.lit(step * step), F.col(n) - F.col("_high") * step * step))
+    out = out.withColumn("_mid", F.expr(f"explode(sequence(0L, (_rows - 1) div {step}))"))
+    out = out.withColumn("_rows", F.least(F.lit(step), F.col("_rows") - F.col("_mid") * step))
+    return out.withColumn("_low", F.expr("explode(sequence(1L, _rows))")).select(*cols)
+
 
-    Equivalent to ``row_number() over (partition by keys order by order) == 1`` for the multiset of rows, but
-    built from two partial aggregations and one equi-join so that a hot key is never sorted in one task."""
+def occurrence_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """E2 as counts: every distinct row once with ``n_first`` (1 if it holds its key's first row, else 0) and
+    ``n_repeat`` (its other copies). The input is aggregated once and stored; only distinct rows are joined."""
     cols = df.columns
-    rest = [c for c in cols if c not in keys]
-    # identical rows collapse to one counted row (map-side combine); only the counts travel
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    firsts = first_rows(counted, keys, order, carry=rest).select(
-        *keys, F.struct(*[F.col(c) for c in [*order, *[c for c in rest if c not in order]]]).alias("_f")
-    )
-    mine = F.struct(*[F.col(c) for c in [*order, *[c for c in rest if c not in order]]])
-    joined = counted.join(firsts, list(keys), "inner").withColumn("_is_first_group", mine == F.col("_f"))
-    # the first group contributes one first row and n-1 repeats; every other group contributes n repeats
-    expanded = joined.select(
-        *cols,
-        F.explode(
-            F.when(
-                F.col("_is_first_group"),
-                F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (F.col("_n") - 1).cast("int"))),
-            ).otherwise(F.array_repeat(F.lit(False), F.col("_n").cast("int")))
-        ).alias("is_first"),
-    )
-    return expanded
+    rest = [*order, *[c for c in cols if c not in keys and c not in order]]
+    runs = written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "occurrences")
+    best = runs.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    first = F.struct(*rest).eqNullSafe(F.col("_first")).cast("long")
+    return runs.join(best, same).select(*cols, first.alias("n_first"), (F.col("_n") - first).alias("n_repeat"))
+
+
+def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Every input row plus ``is_first``; exactly one row per key is the first by ``order``.
+
+    The multiset of rows is that of ``row_number() over (partition by keys order by order) == 1``. Null keys are a key."""
+    runs = occurrence_runs(df, keys, order)
+    firsts = runs.where("n_first = 1").select(*df.columns, F.lit(True).alias("is_first"))
+    return firsts.unionByName(repeated(runs.drop("n_first"), "n_repeat").withColumn("is_first", F.lit(False)))
+
+
+# widths of generated ids: the first is used unless an id is taken, then the next; the last is tried with new seeds
+ID_WIDTHS = (52, 57, 61)
+
+
+def assign_ids(new: DataFrame, taken: DataFrame, widths: Sequence[int] = ID_WIDTHS) -> DataFrame:
+    """``url, id`` for distinct new URLs, no id given twice nor one of ``taken`` (column ``id``).
+
+    An id is a hash of its URL. Of new URLs with one id the smallest keeps it, unless the catalogue has it; the others
+    get a longer id from another seed, until none is left. Ids so depend on the catalogue and the set of new URLs only."""
+    todo, done, level = new.select("url"), [], 0
+    while True:
+        width = widths[min(level, len(widths) - 1)]
+        tried = written(todo.select("url", surrogate_key("url", width, level).alias("id")), "ids-tried")
+        used = taken.select("id")
+        for d in done:
+            used = used.unionByName(d.select("id"))
+        free = tried.groupBy("id").agg(F.min("url").alias("url")).join(used, "id", "left_anti").select("url", "id")
+        done.append(written(free, "ids"))
+        todo = tried.join(done[-1].select("url"), "url", "left_anti").select("url")
+        level += 1
+        if todo.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 @dataclass
@@ -60,33 +95,47 @@ class Load:
 
     new_urls: DataFrame  # id, url, batch_id, + payload, outcome 'pending'
     links: DataFrame  # batch_id, url_id
-    duplicates: DataFrame  # batch_id, original_url_id, url
+    duplicate_runs: DataFrame  # batch_id, original_url_id, url, n: the duplicates, equal rows counted
     summary: DataFrame  # batch_id, total_count, original_count, duplicate_count
 
+    @property
+    def duplicates(self) -> DataFrame:
+        """batch_id, original_url_id, url: one row per duplicate arrival."""
+        return repeated(self.duplicate_runs, "n")
+
 
-def insert_urls(incoming: DataFrame, urls: DataFrame, seq: str = "seq", id_col: str | None = None) -> Load:
+def insert_urls(incoming: DataFrame, urls: DataFrame, seq: str = "seq", id_col: str | None = None,
+                id_widths: Sequence[int] = ID_WIDTHS) -> Load:
     """First arrival of each URL becomes an original; every later arrival (same or other batch) and every
     arrival of an already-catalogued URL becomes a ``duplicates`` row pointing at the original's id.
 
-    ``incoming`` needs ``url, batch_id`` and an arrival order column ``seq``; other columns ride along into
-    ``new_urls``. New ids are ``id_col`` when given, else a deterministic 64-bit hash of the URL (never a global
-    row_number, which would funnel all rows through one task)."""
-    known = urls.select(F.col("url"), F.col("id").alias("_known_id"))
-    tagged = incoming.join(known, "url", "left")
-    already = tagged.where(F.col("_known_id").isNotNull())
-    fresh = tagged.where(F.col("_known_id").isNull()).drop("_known_id")
-
-    ranked = first_occurrence(fresh, ["url"], [seq, "batch_id"])
-    firsts = ranked.where("is_first").drop("is_first")
-    new_id = F.col(id_col) if id_col else surrogate_id(F.col("url"))
-    new_urls = firsts.withColumn("id", new_id).withColumn("outcome", F.lit("pending"))
-    links = new_urls.select("batch_id", F.col("id").alias("url_id"))
-
-    repeats = ranked.where(~F.col("is_first")).select("url", "batch_id")
-    repeat_dups = repeats.join(new_urls.select("url", F.col("id").alias("original_url_id")), "url")
-    known_dups = already.select("url", "batch_id", F.col("_known_id").alias("original_url_id"))
-    duplicates = known_dups.unionByName(repeat_dups.select("url", "batch_id", "original_url_id"))
-    return Load(new_urls, links, duplicates, load_summary(incoming, links))
+    ``incoming`` needs ``url, batch_id`` and an arrival order column ``seq``; other columns ride along into ``new_urls``.
+    New ids are ``id_col`` when given, else :func:`assign_ids`. Rows without a URL are left out.
+
+    Plan: arrivals are reduced to one row per URL and batch (stored), those to one per URL, which alone meets the catalogue;
+    all results are read from these two tables."""
+    rest = [c for c in incoming.columns if c not in ("url", "batch_id", seq)]
+    offers = written(incoming.where("url is not null").groupBy("url", "batch_id").agg(
+        F.min(F.struct(seq, *rest)).alias("first"), F.count(F.lit(1)).alias("n")), "offers")
+    per_url = offers.groupBy("url").agg(F.min(F.struct(F.col(f"first.{seq}").alias("seq"), "batch_id", "first")).alias("o"))
+    known = urls.select("url", F.col("id").alias("known_id"))
+    met = per_url.join(known, "url", "left").select("url", F.col("o.batch_id").alias("first_batch"), "o.first", "known_id")
+    if id_col:
+        originals = written(met.withColumn("id", F.coalesce("known_id", F.col(f"first.{id_col}"))), "originals")
+    else:
+        met = written(met, "originals")
+        made = assign_ids(met.where("known_id is null"), urls, id_widths)
+        originals = met.join(made, "url", "left").withColumn("id", F.coalesce("known_id", "id"))
+    new_urls = originals.where("known_id is null").select(
+        "url", F.col("first_batch").alias("batch_id"), *[F.col(f"first.{c}").alias(c) for c in (seq, *rest) if c != "id"],
+        "id", F.lit("pending").alias("outcome"))
+    is_original = (F.col("known_id").isNull() & F.col("batch_id").eqNullSafe(F.col("first_batch"))).cast("long")
+    arrivals = offers.select("url", "batch_id", "n").join(originals.select("url", "first_batch", "known_id", "id"), "url").select(
+        "url", "batch_id", F.col("id").alias("original_url_id"), "n", is_original.alias("original"))
+    runs = arrivals.select("batch_id", "original_url_id", "url", (F.col("n") - F.col("original")).alias("n")).where("n > 0")
+    summary = arrivals.groupBy("batch_id").agg(F.sum("n").alias("total_count"), F.sum("original").alias("original_count")).withColumn(
+        "duplicate_count", F.col("total_count") - F.col("original_count"))
+    return Load(new_urls, new_urls.select("batch_id", F.col("id").alias("url_id")), runs, summary)
 
 
 def load_summary(incoming: DataFrame, links: DataFrame) -> DataFrame:

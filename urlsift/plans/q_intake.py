@@ -30,12 +30,18 @@ def _load_again(spark, d):
     return loads.insert_urls(_incoming(t), t["urls"], id_col="url_id")
 
 
+def _generated_ids(spark, d):
+    """New URLs looked up again by ids that start out too short for their number: each id names its own URL."""
+    new = loads.insert_urls(_incoming(load_model(spark, d)).drop("url_id"), _empty_catalog(spark), id_widths=(14, 20, 61)).new_urls
+    return new.select("url", "batch_id", "id").join(new.select("id", F.col("url").alias("url_of_id")), "id").drop("id")
+
+
 def _search_payloads(t):
     """Search payloads derived from the collections: one query per batch, its URLs as results."""
     c = t["collected"]
     res = F.struct("url", F.concat(F.lit("title "), F.col("l_linenumber").cast("string")).alias("title"),
                    F.col("l_returnflag").alias("snippet"))
-    per_batch = c.groupBy("batch_id").agg(F.collect_list(res).alias("query_results"))  # ≤ 7 rows per batch
+    per_batch = c.groupBy("batch_id").agg(F.collect_list(res).alias("query_results"))
     return per_batch.select(F.to_json(F.struct(F.concat(F.lit("query "), F.col("batch_id").cast("string")).alias("query"),
                                                "query_results")).alias("payload"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "insert_urls_duplicates": lambda spark, d: _load_fresh(spark, d).duplicates,
     "insert_urls_new": lambda spark, d: _load_fresh(spark, d).new_urls.select("id", "url", "batch_id", "outcome"),
     "insert_urls_reload_summary": lambda spark, d: _load_again(spark, d).summary,
+    "insert_urls_generated_ids": _generated_ids,
     "first_occurrence": lambda spark, d: loads.first_occurrence(
         load_model(spark, d)["collected"].select("url_id", *ARRIVAL_ORDER), ["url_id"], ARRIVAL_ORDER)
         .groupBy("batch_id", "is_first").agg(F.count(F.lit(1)).alias("n")),
@@ -86,6 +93,7 @@ ORACLES = {
     "insert_urls_reload_summary": with_views(
         "SELECT batch_id, COUNT(*) AS total_count, CAST(0 AS BIGINT) AS original_count, COUNT(*) AS duplicate_count"
         " FROM collected GROUP BY batch_id"),
+    "insert_urls_generated_ids": with_views("SELECT url, url AS url_of_id, batch_id FROM ranked WHERE rn=1"),
     "first_occurrence": with_views(
         "SELECT batch_id, rn=1 AS is_first, COUNT(*) AS n FROM ranked GROUP BY batch_id, rn=1"),
     "intake_search_results": with_views(f"SELECT url, {_JSON_ROW} AS collector_metadata FROM collected"),

@@ -25,15 +25,17 @@ def _daily(spark, d):
 
 
 def _intake(spark, d):
-    li = _stream(spark, d, "lineitem")
+    """The collections as three files that hold every third row each, whatever its batch and sequence, read one a micro-batch."""
+    li = spark.read.parquet(f"{d.rstrip('/')}/lineitem.parquet")
     c = li.select(F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.org/p/"),
                            F.col("l_partkey").cast("string")).alias("url"),
                   (F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("url_id"),
                   F.col("l_orderkey").alias("batch_id"),
                   F.struct(F.col("l_orderkey").alias("batch_id"), *ARRIVAL_ORDER[1:]).alias("seq"))
-    out, ck = st.scratch_path(spark, "intake"), st.scratch_path(spark, "intake-ck")
-    st.stream_intake(c, out, ck, id_col="url_id")
-    return st.intake_summary(spark, out)
+    files, out, ck = (st.scratch_path(spark, name) for name in ("intake-files", "intake", "intake-ck"))
+    c.repartition(3, F.xxhash64("seq", "url")).write.parquet(files)
+    st.stream_intake(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(files), out, ck, id_col="url_id", buckets=16)
+    return out
 
 
 def _retention(spark, d):
@@ -47,7 +49,9 @@ def _retention(spark, d):
 
 QUERIES = {
     "stream_daily_event_counts": _daily,
-    "stream_intake_summary": _intake,
+    "stream_intake_summary": lambda spark, d: st.intake_summary(spark, _intake(spark, d)),
+    "stream_intake_duplicates": lambda spark, d: st.intake_duplicates(spark, _intake(spark, d)),
+    "stream_intake_urls": lambda spark, d: st.intake_urls(spark, _intake(spark, d)).select("id", "url", "batch_id", "outcome"),
     "stream_log_retention": _retention,
 }
 
@@ -55,6 +59,8 @@ ORACLES = {
     "stream_daily_event_counts": """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
  event_type, COUNT(*) AS n FROM events GROUP BY 1, 2, 3""",
     "stream_intake_summary": with_views(_SUMMARY),
+    "stream_intake_duplicates": with_views("SELECT url, batch_id, url_id AS original_url_id FROM ranked WHERE rn>1"),
+    "stream_intake_urls": with_views("SELECT url_id AS id, url, batch_id, 'pending' AS outcome FROM ranked WHERE rn=1"),
     "stream_log_retention": with_views(f"SELECT * FROM logs WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY"),
 }
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in the library relies on: UTC wall clock (timestamps are compared with an ``as_of``
 # parameter, never with ``now()``), adaptive execution for runtime coalescing and skew-join splitting, and
@@ -56,3 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="urlsift-ckpt-", dir=os.environ.get("URLSIFT_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: what several results are made from is
+    computed once, and a lost executor costs tasks, not the lineage."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/urlsift-tables/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

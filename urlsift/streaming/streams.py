@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from urlsift.functions.scalars import days_ago
-from urlsift.operators.loads import insert_urls
+from urlsift.functions.scalars import days_ago, key_bucket
+from urlsift.operators.loads import assign_ids, repeated
 from urlsift.operators.review import last_by
-from urlsift.session import checkpoint_dir
+from urlsift.session import checkpoint_dir, written
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,37 +37,92 @@ def _run(writer, available_now: bool) -> StreamingQuery:
 
 
 # ---- S1 intake ------------------------------------------------------------------------------------------------
+INTAKE_BUCKETS = 64
+
+
 def stream_intake(source: DataFrame, target: str, checkpoint: str, seq: str = "seq", id_col: str | None = None,
-                  available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch of collected URLs (url, batch_id, seq, ..) is loaded with :func:`insert_urls` against
-    the catalogue written so far (``target/urls``); new URLs, batch links and duplicates are appended. The dedup
-    memory is the whole catalogue (unbounded, on storage), not a watermark horizon."""
+                  buckets: int = INTAKE_BUCKETS, available_now: bool = True) -> StreamingQuery:
+    """Micro-batches of collected URLs (url, batch_id, seq, ..) are loaded as :func:`insert_urls` does, against the
+    catalogue written so far. The result does not depend on how rows fall into micro-batches or on their order: a URL's
+    original is its first arrival by (seq, batch_id), so an earlier one that comes late takes over, under the same id.
+
+    ``target/urls`` (originals, a row per URL and change) and ``target/arrivals`` (copies per URL and batch) lie in folders by
+    epoch and by bucket of the URL's hash (``buckets`` divides 4096). A micro-batch lists the buckets it touches, at
+    most that many numbers, and reads the catalogue of those only; ids are checked in them too, as an id ends in its
+    URL's bucket. A replayed epoch overwrites its own folders and reads earlier ones only."""
     spark = source.sparkSession
 
     def load(batch: DataFrame, epoch: int):
-        if _exists(spark, f"{target}/urls"):  # a replayed epoch must not meet its own first attempt
-            urls = spark.read.parquet(f"{target}/urls").where(F.col("epoch") < epoch)
+        where = key_bucket("url", buckets).alias("bucket")
+        more = [F.min(F.struct(seq, id_col)).alias("o")] if id_col else [F.min(F.struct(seq)).alias("o")]
+        offers = batch.where("url is not null").groupBy("url", "batch_id").agg(*more, F.count(F.lit(1)).alias("n")).select("url", "batch_id", "o", "n", where)
+        offers = _put(offers, f"{target}/arrivals/epoch={epoch}")
+        touched = [r.bucket for r in offers.select("bucket").distinct().collect()]
+        firsts = offers.groupBy("url", "bucket").agg(F.min(F.struct(F.col(f"o.{seq}").alias("seq"), "batch_id", *([F.col(f"o.{id_col}").alias("id")] if id_col else []))).alias("f"))
+        known = intake_urls(spark, target, touched, epoch)
+        if known is None:
+            met = firsts.select("url", "bucket", "f", F.lit(None).cast("long").alias("known_id"), F.lit(None).cast("long").alias("old_batch_id"))
         else:
-            urls = spark.createDataFrame([], "id long, url string")
-        ld = insert_urls(batch, urls.select("id", "url"), seq=seq, id_col=id_col)
-        for name, rows in (("urls", ld.new_urls.select("id", "url", "batch_id", "outcome")), ("link_batch_urls", ld.links),
-                           ("duplicates", ld.duplicates), ("load_summary", ld.summary)):
-            rows.write.mode("overwrite").parquet(f"{target}/{name}/epoch={epoch}")
+            old = known.select("url", F.col("id").alias("known_id"), F.col("batch_id").alias("old_batch_id"), F.col("seq").alias("old_seq"))
+            earlier = F.struct(F.col("f.seq"), F.col("f.batch_id")) < F.struct("old_seq", "old_batch_id")
+            met = firsts.join(old, "url", "left").where(F.col("known_id").isNull() | earlier).drop("old_seq")
+        if id_col:
+            met = met.withColumn("id", F.coalesce("known_id", "f.id"))
+        else:
+            met = written(met, "intake")
+            none = spark.createDataFrame([], "id long")
+            made = assign_ids(met.where("known_id is null"), none if known is None else known.select("id"))
+            met = met.join(made, "url", "left").withColumn("id", F.coalesce("known_id", "id"))
+        changed = _put(met.select("url", F.col("id").cast("long").alias("id"), F.col("f.batch_id").alias("batch_id"), F.col("f.seq").alias("seq"),
+                                  F.col("old_batch_id").cast("long").alias("old_batch_id"), "bucket"), f"{target}/urls/epoch={epoch}")
+        zero = F.lit(0).cast("long")
+        counts = offers.select("batch_id", "n", zero.alias("originals")).unionByName(
+            changed.select("batch_id", zero.alias("n"), F.lit(1).cast("long").alias("originals"))).unionByName(
+            changed.where("old_batch_id is not null").select(F.col("old_batch_id").alias("batch_id"), zero.alias("n"), F.lit(-1).cast("long").alias("originals")))
+        summed = counts.groupBy("batch_id").agg(F.sum("n").alias("total_count"), F.sum("originals").alias("original_count"))
+        summed.write.mode("overwrite").parquet(f"{target}/load_summary/epoch={epoch}")
 
     w = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def _put(rows: DataFrame, path: str) -> DataFrame:
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
+def intake_urls(spark: SparkSession, target: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame | None:
+    """S1 result: ``url, id, batch_id, seq, outcome``, the original of every URL; only of the named buckets (whose folders
+    alone are read) and of epochs before ``before`` if given. None before the first epoch."""
+    if not _exists(spark, f"{target}/urls/epoch=*/bucket=*"):
+        return None
+    rows = spark.read.parquet(f"{target}/urls")
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    if before is not None:
+        rows = rows.where(F.col("epoch") < before)
+    first = rows.groupBy("url").agg(F.min(F.struct("seq", "batch_id", "id")).alias("f"))
+    return first.select("url", "f.id", "f.batch_id", "f.seq", F.lit("pending").alias("outcome"))
+
+
+def intake_duplicates(spark: SparkSession, target: str) -> DataFrame:
+    """S1 result: ``url, batch_id, original_url_id``, one row per arrival that is not an original."""
+    offers = spark.read.parquet(f"{target}/arrivals").groupBy("url", "batch_id").agg(F.sum("n").alias("n"))
+    own = intake_urls(spark, target).select("url", F.col("id").alias("original_url_id"), F.col("batch_id").alias("first_batch"))
+    left = F.col("n") - F.col("batch_id").eqNullSafe(F.col("first_batch")).cast("long")
+    return repeated(offers.join(own, "url").select("url", "batch_id", "original_url_id", left.alias("n")), "n")
 
 
 def intake_summary(spark: SparkSession, target: str) -> DataFrame:
-    """S1 result: one row per batch, its counts summed over epochs."""
-    rows = spark.read.parquet(f"{target}/load_summary").drop("epoch")
-    counts = [f for f in rows.schema.fields if f.name != "batch_id"]
-    return rows.groupBy("batch_id").agg(*[F.sum(f.name).cast(f.dataType).alias(f.name) for f in counts]).select(rows.columns)
+    """S1 result: one row per batch, the changes of its counts summed over epochs."""
+    rows = spark.read.parquet(f"{target}/load_summary")
+    return rows.groupBy("batch_id").agg(F.sum("total_count").alias("total_count"), F.sum("original_count").alias("original_count")).withColumn(
+        "duplicate_count", F.col("total_count") - F.col("original_count"))
 
 
 # ---- S2 status ------------------------------------------------------------------------------------------------
