@@ -223,16 +223,12 @@ def urls_submitted_by_month(t) -> DataFrame:
 
 def urls_pending_by_month(t, fanout: bool = False) -> DataFrame:
     """Per created-month of pending URLs — total and counts with a user relevance / record type / agency
-    annotation. ``fanout=True`` reproduces the reference's row multiplication (K4); default counts URLs."""
+    annotation. ``fanout=True`` counts the rows that joining all three annotation tables would give (K4), as products
+    of a URL's numbers of annotations, without making those rows; default counts URLs."""
     p = _pending(t).select(F.col("id").alias("url_id"), "created_at")
     if fanout:
-        rows = p
-        for flag, table in USER_MODELS:
-            side = t[table].select("url_id", F.lit(1).alias(flag))
-            rows = rows.join(side, "url_id", "left")
-        f = rows.fillna(0, [n for n, _ in USER_MODELS])
-    else:
-        f = url_flags(t, p, USER_MODELS, carry=["created_at"])
+        return _fanout_by_month(t, p)
+    f = url_flags(t, p, USER_MODELS, carry=["created_at"])
     return f.groupBy(month_start("created_at").alias("month")).agg(
         F.count(F.lit(1)).alias("count_pending_total"),
         count_when(F.col("has_user_relevant") == 1).alias("count_pending_relevant_user"),
@@ -242,6 +238,27 @@ def urls_pending_by_month(t, fanout: bool = False) -> DataFrame:
              "count_pending_relevant_user", "count_pending_record_type_user", "count_pending_agency_user")
 
 
+def _fanout_by_month(t, pending: DataFrame) -> DataFrame:
+    names = [n for n, _ in USER_MODELS]
+    none = [F.lit(0).cast("long").alias(n) for n in names]
+    rows = pending.select("url_id", "created_at", F.lit(1).cast("long").alias("_own"), *none)
+    for flag, table in USER_MODELS:
+        one = [F.lit(int(n == flag)).cast("long").alias(n) for n in names]
+        rows = rows.unionByName(t[table].select("url_id", F.lit(None).cast(pending.schema["created_at"].dataType).alias("created_at"),
+                                                F.lit(0).cast("long").alias("_own"), *one))
+    per_url = rows.groupBy("url_id").agg(F.max("created_at").alias("created_at"), F.sum("_own").alias("_own"), *[F.sum(n).alias(n) for n in names]).where("_own > 0")
+    # a left join keeps a URL without annotations of a kind once
+    product = F.col("_own")
+    for n in names:
+        product = product * F.greatest(F.col(n), F.lit(1))
+    counted = lambda n: F.sum(F.when(F.col(n) > 0, product).otherwise(0))
+    return per_url.groupBy(month_start("created_at").alias("month")).agg(
+        F.sum(product).alias("count_pending_total"), counted("has_user_relevant").alias("count_pending_relevant_user"),
+        counted("has_user_record_type").alias("count_pending_record_type_user"), counted("has_user_agency").alias("count_pending_agency_user"),
+    ).select("month", month_label("month").alias("month_label"), "count_pending_total",
+             "count_pending_relevant_user", "count_pending_record_type_user", "count_pending_agency_user")
+
+
 def _pending_in_batches(t, batch_id=None) -> DataFrame:
     lb = t["link_batch_urls"]
     if batch_id is not None:

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsift.functions.scalars import PAGE_SIZE, days_ago
+from urlsift.operators.ordering import running_total
 from urlsift.operators.sizing import broadcast_if_small
 
 
@@ -58,13 +59,11 @@ def limit_by_page(df: DataFrame, max_results: int, page: str = "page", matched:
     ``max_results``; the page on which it is reached is kept entirely. ``matched`` (bool column) marks the rows
     that count; default all rows.
 
-    Matches are first reduced to one row per page (partial aggregation); only that per-page table is ordered
-    by a window, and the page set is joined back."""
-    m = F.col(matched).cast("int") if matched else F.lit(1)
+    Matches are first reduced to one row per page (partial aggregation); the running number comes from a prefix
+    sum over ranges of pages, and the page set is joined back."""
+    m = F.coalesce(F.col(matched).cast("int"), F.lit(0)) if matched else F.lit(1)
     per_page = df.groupBy(page).agg(F.sum(m).alias("_m"))
-    w = Window.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    keep = per_page.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).where(
-        F.col("_before") < max_results).select(page)
+    keep = running_total(per_page, [page], F.col("_m"), "_before").where(F.col("_before") < max_results).select(page)
     return df.join(keep, page, "left_semi")
 
 
@@ -125,9 +124,10 @@ def has_work(queue: DataFrame) -> bool:
 
 def annotation_payload_valid(df: DataFrame) -> DataFrame:
     """Adds ``reason`` (null when valid): non-relevant annotations must carry neither record type nor
-    agency; relevant ones need both."""
-    rel = F.col("suggested_status") == "relevant"
-    rt, ag = F.col("record_type"), F.col("agency")
+    agency; relevant ones need both. A new agency (``is_new``, where the column is there) has no id yet and counts as one."""
+    rel = F.coalesce(F.col("suggested_status") == "relevant", F.lit(False))
+    new = F.coalesce(F.col("is_new"), F.lit(False)) if "is_new" in df.columns else F.lit(False)
+    rt, ag = F.col("record_type"), F.when(new, F.lit("new")).otherwise(F.col("agency").cast("string"))
     reason = (F.when(~rel & rt.isNotNull(), "record_type must be None if suggested_status is not relevant")
               .when(~rel & ag.isNotNull(), "agency must be None if suggested_status is not relevant")
               .when(rel & rt.isNull(), "record_type must be provided if suggested_status is relevant")

@@ -14,12 +14,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsift.functions.scalars import PLACEHOLDER_AGENCY_NAME, REJECTION_REASONS
+from urlsift.functions.scalars import PLACEHOLDER_AGENCY_NAME
 
 TABLE_KEYS = {
     "urls": ["id"], "agencies": ["agency_id"], "url_probed_for_404": ["url_id"],
     "user_relevant_suggestions": ["url_id", "user_id"], "user_record_type_suggestions": ["url_id", "user_id"],
-    "user_url_agency_suggestions": ["url_id", "user_id", "agency_id"],
+    "user_url_agency_suggestions": ["url_id", "user_id"],
     "auto_relevant_suggestions": ["url_id"], "auto_record_type_suggestions": ["url_id"],
     "url_optional_data_source_metadata": ["url_id"], "reviewing_user_url": ["url_id"],
     "confirmed_url_agency": ["url_id", "agency_id"],
@@ -104,6 +104,24 @@ def apply_changes(state: dict, ch, task_id: int, as_of) -> dict:
     return s
 
 
+# ---- decisions -----------------------------------------------------------------------------------------------------
+def last_values(decisions: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str = "seq") -> DataFrame:
+    """One row per key: of every field the last non-null value by ``seq``, as if the decisions overlaid one another in
+    order. A partial aggregation: a key with many decisions is reduced where they lie. Ties in ``seq``: the greatest value."""
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("_s"), F.col(c).alias("_v"))))["_v"].alias(c) for c in fields]
+    return decisions.groupBy(*keys).agg(*last)
+
+
+def _in_order(decisions: DataFrame, seq: str = "seq") -> DataFrame:
+    return decisions if seq in decisions.columns else decisions.withColumn(seq, F.lit(0))
+
+
+def _reviewed(t, decisions: DataFrame, as_of) -> DataFrame:
+    """The reviewers table with the last reviewer of every decided URL (one row per URL)."""
+    last = last_values(decisions, ["url_id"], ["user_id"])
+    return upsert(t["reviewing_user_url"], last, ["url_id"], as_of)
+
+
 # ---- M3-M6 annotations --------------------------------------------------------------------------------------------
 def apply_relevance_annotations(t, decisions: DataFrame) -> DataFrame:
     """M3: per (url, user) the latest decision (by ``seq``) updates the existing status or is inserted."""
@@ -118,87 +136,87 @@ def apply_record_type_annotations(t, decisions: DataFrame) -> DataFrame:
 
 
 def apply_agency_annotations(t, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M5: insert user agency suggestions (url_id, user_id, agency_id, is_new); an agency id that is not known
-    yet creates a placeholder agency. Returns (suggestions', agencies')."""
-    d = decisions.select("url_id", "user_id", "agency_id", F.coalesce("is_new", F.lit(False)).alias("is_new"))
-    sugg = upsert(t["user_url_agency_suggestions"], d.dropDuplicates(["url_id", "user_id", "agency_id"]),
-                  ["url_id", "user_id", "agency_id"])
-    agencies = t["agencies"]
-    new_ids = d.where(F.col("agency_id").isNotNull()).select("agency_id").distinct().join(
-        agencies.select("agency_id"), "agency_id", "left_anti")
-    placeholders = new_ids.withColumn("name", F.lit(PLACEHOLDER_AGENCY_NAME))
-    return sugg, agencies.unionByName(_align(placeholders, agencies))
+    """M5: user agency suggestions (url_id, user_id, agency_id, is_new, seq): the latest of a user for a URL replaces
+    the user's earlier one. A new agency has no id; an id that is not known yet creates a placeholder agency.
+    Returns (suggestions', agencies')."""
+    d = _in_order(decisions).select("url_id", "user_id", "seq", F.coalesce("is_new", F.lit(False)).alias("is_new"), "agency_id")
+    d = last_by(d.withColumn("agency_id", F.when(~F.col("is_new"), F.col("agency_id"))), ["url_id", "user_id"], "seq")
+    sugg = upsert(t["user_url_agency_suggestions"], d, ["url_id", "user_id"])
+    return sugg, _with_placeholders(t["agencies"], d)
+
+
+def _with_placeholders(agencies: DataFrame, named: DataFrame) -> DataFrame:
+    new = named.where(F.col("agency_id").isNotNull()).select("agency_id").distinct().join(agencies.select("agency_id"), "agency_id", "left_anti")
+    return agencies.unionByName(_align(new.withColumn("name", F.lit(PLACEHOLDER_AGENCY_NAME)), agencies))
 
 
 def apply_all_annotations(t, decisions: DataFrame) -> dict:
-    """M6: relevance always; record type and agency only when the decision says relevant. Invalid payloads
-    (B12) are returned under ``rejects``."""
+    """M6: relevance always; record type and agency (also a new one) only when the decision says relevant. Invalid
+    payloads (B12) are returned under ``rejects``."""
     from urlsift.operators.queues import annotation_payload_valid
 
-    checked = annotation_payload_valid(decisions.withColumnRenamed("agency_id", "agency"))
+    checked = annotation_payload_valid(_in_order(decisions).withColumnRenamed("agency_id", "agency"))
     ok = checked.where(F.col("reason").isNull()).withColumnRenamed("agency", "agency_id")
+    if "is_new" not in ok.columns:
+        ok = ok.withColumn("is_new", F.lit(False))
     rel = ok.where(F.col("suggested_status") == "relevant")
     out = {"user_relevant_suggestions": apply_relevance_annotations(t, ok),
            "user_record_type_suggestions": apply_record_type_annotations(t, rel)}
-    sugg, ag = apply_agency_annotations(t, rel.withColumn("is_new", F.lit(False)))
-    out["user_url_agency_suggestions"], out["agencies"] = sugg, ag
+    out["user_url_agency_suggestions"], out["agencies"] = apply_agency_annotations(t, rel)
     out["rejects"] = checked.where(F.col("reason").isNotNull())
     return out
 
 
 # ---- M7 / M8 review decisions ---------------------------------------------------------------------------------------
+# The messages of decisions that lack a required field.
+NO_RECORD_TYPE = "Must specify record_type if it does not already exist"
+NO_AGENCY = "Must specify agency_id if URL does not already have a confirmed agency"
+NO_NAME = "Must specify name if it does not already exist"
+NO_DESCRIPTION = "Must specify description if it does not already exist"
+
+APPROVAL_FIELDS = {"record_type": "string", "name": "string", "description": "string", "agency_ids": "array<long>",
+                   "record_formats": "array<string>", "data_portal_type": "string", "supplying_entity": "string"}
+
+
 def apply_approvals(t, decisions: DataFrame, as_of=None) -> tuple[dict, DataFrame]:
-    """M7: approve URLs. decisions: url_id, user_id, record_type?, agency_ids?, name?, description?,
-    record_formats?, data_portal_type?, supplying_entity?. Record type, name and description are required
-    when the URL has none; at least one agency (new or already confirmed) is required. Valid decisions set
-    status 'validated', overlay the fields, replace confirmed agencies by the set difference (G5, when new ids
-    are given), add placeholder agencies, insert-or-overlay the optional metadata and record the reviewer.
-    Returns (changed tables, rejects[url_id, reason])."""
+    """M7: approve URLs. decisions: url_id, user_id, seq and any of ``APPROVAL_FIELDS``; several decisions for a URL act in
+    the order of ``seq``, each laying its non-null fields over what is there.
+
+    Record type, name and description are required when the URL has none, and an agency when it has no confirmed one.
+    A decision without them is rejected and changes nothing; the first one that has them makes up for all later ones.
+    Valid decisions set status 'validated', overlay the fields, replace confirmed agencies by the last agencies named (G5),
+    add placeholder agencies, insert or overlay the optional metadata and record the last reviewer. ``urls`` must have the columns
+    record_type, name and description. Returns (changed tables, rejects[url_id, reason])."""
     from urlsift.operators.sets import agency_set_diff
 
-    u = t["urls"]
-    dec = decisions
-    for c, typ in (("record_type", "string"), ("name", "string"), ("description", "string"),
-                   ("agency_ids", "array<long>"), ("record_formats", "array<string>"),
-                   ("data_portal_type", "string"), ("supplying_entity", "string")):
+    u, dec = t["urls"], _in_order(decisions)
+    for c, kind in APPROVAL_FIELDS.items():
         if c not in dec.columns:
-            dec = dec.withColumn(c, F.lit(None).cast(typ))
-    cur = u.select(F.col("id").alias("url_id"), *[F.col(c).alias(f"_old_{c}") if c in u.columns
-                                                  else F.lit(None).cast("string").alias(f"_old_{c}")
-                                                  for c in ("record_type", "name", "description")])
-    has_agency = t["confirmed_url_agency"].select("url_id").distinct().withColumn("_has_agency", F.lit(True))
-    j = dec.join(cur, "url_id", "left").join(has_agency, "url_id", "left")
-    n_new = F.coalesce(F.size("agency_ids"), F.lit(0))
-    n_new = F.when(F.col("agency_ids").isNull(), F.lit(0)).otherwise(n_new)
-    reason = F.lit(None).cast("string")
-    for c in ("description", "name"):
-        reason = F.when(F.col(c).isNull() & F.col(f"_old_{c}").isNull(),
-                        F.lit(f"Must specify {c} if it does not already exist")).otherwise(reason)
-    reason = F.when((n_new == 0) & F.col("_has_agency").isNull(),
-                    F.lit("Must specify agency_id if URL does not already have a confirmed agency")).otherwise(reason)
-    reason = F.when(F.col("record_type").isNull() & F.col("_old_record_type").isNull(),
-                    F.lit("Must specify record_type if it does not already exist")).otherwise(reason)
-    j = j.withColumn("reason", reason)
-    rejects = j.where(F.col("reason").isNotNull()).select("url_id", "reason")
-    ok = j.where(F.col("reason").isNull())
-
-    upd = ok.select("url_id", F.lit("validated").alias("outcome"), "record_type", "name", "description")
-    urls2 = overlay(u, upd, "id", "url_id", as_of) if all(c in u.columns for c in ("record_type", "name", "description")) \
-        else set_status(u, upd, as_of)
-    wanted = ok.select("url_id", F.explode("agency_ids").alias("agency_id"))
-    add, remove = agency_set_diff(t["confirmed_url_agency"], wanted)
-    confirmed2 = t["confirmed_url_agency"].join(remove, ["url_id", "agency_id"], "left_anti").unionByName(
-        _align(add, t["confirmed_url_agency"]))
-    ag = t["agencies"]
-    placeholders = add.select("agency_id").distinct().join(ag.select("agency_id"), "agency_id", "left_anti") \
-        .withColumn("name", F.lit(PLACEHOLDER_AGENCY_NAME))
+            dec = dec.withColumn(c, F.lit(None).cast(kind))
+    dec = dec.withColumn("agency_ids", F.when(F.size("agency_ids") > 0, F.col("agency_ids")))
+    asked = dec.select("url_id").distinct()
+    own = u.withColumnRenamed("id", "url_id").join(asked, "url_id", "left_semi").select(
+        "url_id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("record_type", "name", "description")])
+    agencies = t["confirmed_url_agency"].select("url_id").distinct().withColumn("has_agency_ids", F.lit(True))
+    j = dec.join(own, "url_id", "left").join(agencies, "url_id", "left")
+    lacks = lambda c: F.col(c).isNull() & ~F.coalesce(F.col(f"has_{c}"), F.lit(False))
+    j = j.withColumn("reason", F.when(lacks("record_type"), NO_RECORD_TYPE).when(lacks("agency_ids"), NO_AGENCY)
+                     .when(lacks("name"), NO_NAME).when(lacks("description"), NO_DESCRIPTION))
+    first_valid = j.where("reason is null").groupBy("url_id").agg(F.min("seq").alias("_from"))
+    j = j.join(first_valid, "url_id", "left")
+    stands = F.coalesce(F.col("seq") >= F.col("_from"), F.lit(False))
+    rejects = j.where(~stands).select("url_id", "reason")
+    valid = j.where(stands)
+    ok = last_values(valid, ["url_id"], list(APPROVAL_FIELDS))
+
+    urls2 = overlay(u, ok.select("url_id", F.lit("validated").alias("outcome"), "record_type", "name", "description"), "id", "url_id", as_of)
+    add, remove = agency_set_diff(t["confirmed_url_agency"], ok.select("url_id", F.explode("agency_ids").alias("agency_id")))
+    confirmed2 = t["confirmed_url_agency"].join(remove, ["url_id", "agency_id"], "left_anti").unionByName(_align(add, t["confirmed_url_agency"]))
     meta_new = ok.select("url_id", "record_formats", "data_portal_type", "supplying_entity")
     meta = t["url_optional_data_source_metadata"]
-    meta_existing = overlay(meta, meta_new, "url_id", "url_id")
-    meta2 = meta_existing.unionByName(_align(meta_new.join(meta.select("url_id"), "url_id", "left_anti"), meta))
-    reviewers = ok.select("url_id", "user_id")
-    out = {"urls": urls2, "confirmed_url_agency": confirmed2, "agencies": ag.unionByName(_align(placeholders, ag)),
-           "url_optional_data_source_metadata": meta2, "reviewing_user_url": reviewers}
+    meta2 = overlay(meta, meta_new, "url_id", "url_id").unionByName(_align(meta_new.join(meta.select("url_id"), "url_id", "left_anti"), meta))
+    out = {"urls": urls2, "confirmed_url_agency": confirmed2, "agencies": _with_placeholders(t["agencies"], add),
+           "url_optional_data_source_metadata": meta2, "reviewing_user_url": _reviewed(t, valid, as_of)}
     return out, rejects
 
 
@@ -207,15 +225,14 @@ REJECTION_STATUS = {"individual record": "individual record", "broken page/404 n
 
 
 def apply_rejections(t, decisions: DataFrame, as_of=None) -> tuple[dict, DataFrame]:
-    """M8: decisions (url_id, user_id, reason): the reason maps to the new status (individual record, 404 not
-    found, not relevant) and the reviewer is recorded; unknown reasons go to ``rejects``."""
+    """M8: decisions (url_id, user_id, reason, seq): the reason maps to the new status (individual record, 404 not found, not
+    relevant) and the reviewer is recorded; of several valid decisions for a URL the last by ``seq`` holds. Unknown reasons go to ``rejects``."""
     m = F.create_map(*[F.lit(x) for kv in REJECTION_STATUS.items() for x in kv])
-    d = decisions.withColumn("outcome", F.element_at(m, F.col("reason")))
+    d = _in_order(decisions).withColumn("outcome", F.element_at(m, F.col("reason")))
     ok = d.where(F.col("outcome").isNotNull())
     rejects = d.where(F.col("outcome").isNull()).select("url_id", F.concat(
         F.lit("Invalid rejection reason: "), F.coalesce("reason", F.lit("null"))).alias("reason"))
-    out = {"urls": set_status(t["urls"], ok.select("url_id", "outcome"), as_of),
-           "reviewing_user_url": ok.select("url_id", "user_id")}
+    out = {"urls": set_status(t["urls"], last_values(ok, ["url_id"], ["outcome"]), as_of), "reviewing_user_url": _reviewed(t, ok, as_of)}
     return out, rejects
 
 

@@ -74,6 +74,9 @@ FIXTURE_VIEWS: dict[str, str] = {
  FROM collected WHERE l_linenumber=3""",
     "url_optional_data_source_metadata": """SELECT id AS url_id, ['HTML text'] AS record_formats,
  CASE WHEN id % 2 = 0 THEN 'CKAN' END AS data_portal_type, CAST(NULL AS VARCHAR) AS supplying_entity FROM urls WHERE id % 5 = 0""",
+    "reviewing_user_url": """SELECT u.id AS url_id, o.o_custkey AS user_id, u.created_at FROM urls u
+ JOIN link_batch_urls l ON l.url_id=u.id JOIN orders o ON o.o_orderkey=l.batch_id
+ WHERE u.outcome IN ('validated', 'submitted', 'not relevant')""",
     "web_pages": "SELECT page_id AS url_id, url, html, 'text/html' AS content_type FROM pages",
 }
 

@@ -247,6 +247,13 @@ class Tables:
         return self.urls.where(F.col("id") % 4 == 0).select(F.col("id").alias("url_id"),
                                                             F.col("created_at").alias("last_probed_at"))
 
+    @cached_property
+    def reviewing_user_url(self) -> DataFrame:
+        """One reviewer per reviewed URL: the user of the URL's batch, for URLs whose outcome a review gives."""
+        u = self.urls.where(F.col("outcome").isin("validated", "submitted", "not relevant")).select(F.col("id").alias("url_id"), "created_at")
+        o = self.base("orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_custkey").alias("user_id"))
+        return u.join(self.link_batch_urls, "url_id").join(o, "batch_id").select("url_id", "user_id", "created_at")
+
     # ---- HTML and metadata derived from collections (not in FIXTURES.md; documented in README) ---------------
     @cached_property
     def url_html_content(self) -> DataFrame:
