@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from urlsift.functions.scalars import PAGE_SIZE, days_ago
 from urlsift.operators.ordering import running_total
-from urlsift.operators.sizing import broadcast_if_small
+from urlsift.operators.sizing import broadcast_if_small, skew_left_join
 
 
 def _pending_urls(t) -> DataFrame:
@@ -234,6 +234,21 @@ def paginate(df: DataFrame, order: Sequence[Column | str], page: int | None, siz
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def with_page_context(t, queue: DataFrame, suggestions: bool = False) -> DataFrame:
+    """The rows of a ranked queue (id, ..) with what an annotator sees: the page's HTML content by type and, with
+    ``suggestions``, the automatic agency suggestions (M9). Only the queue's rows of those tables are aggregated."""
+    from urlsift.functions.html import html_content_wide
+    from urlsift.operators.review import agency_auto_info
+
+    ids = queue.select(F.col("id").alias("url_id"))
+    wide = html_content_wide(t["url_html_content"].join(ids, "url_id", "left_semi")).withColumnRenamed("url_id", "id")
+    out = queue.join(wide, "id", "left")
+    if suggestions:
+        own = {"automated_url_agency_suggestions": t["automated_url_agency_suggestions"].join(ids, "url_id", "left_semi"), "agencies": t["agencies"]}
+        out = out.join(agency_auto_info(own).withColumnRenamed("url_id", "id"), "id", "left")
+    return out
+
+
 def urls_by_batch(t, batch_id: int | None = None, page: int | None = None) -> DataFrame:
     """URLs of a batch (or of every batch) with their batch id; optional page by URL id."""
     lb = t["link_batch_urls"]
@@ -276,7 +291,7 @@ def agency_suggestions(t, url_id: int | None = None) -> DataFrame:
     if url_id is not None:
         s = s.where(F.col("url_id") == url_id)
     a = t["agencies"].select("agency_id", F.col("name").alias("agency_name"), "state", "county", "locality")
-    return s.join(a, "agency_id", "left").select(
+    return skew_left_join(s, a, "agency_id").select(
         "url_id", "agency_id",
         F.when(F.col("is_unknown"), F.lit("Unknown")).otherwise(F.lit("Auto Suggestion")).alias("suggestion_type"),
         "agency_name", "state", "county", "locality")

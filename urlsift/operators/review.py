@@ -241,9 +241,10 @@ def agency_auto_info(t) -> DataFrame:
     """M9: per URL with automatic agency suggestions — ``unknown`` and the suggestion list: a single unknown
     suggestion -> unknown + [Unknown]; otherwise Auto suggestions with agency fields (sorted by agency id).
     URLs without suggestions are absent (the reader's default is unknown=true, [])."""
-    s = t["automated_url_agency_suggestions"].join(
-        t["agencies"].select("agency_id", F.col("name").alias("agency_name"), "state", "county", "locality"),
-        "agency_id", "left")
+    from urlsift.operators.sizing import skew_left_join
+
+    s = skew_left_join(t["automated_url_agency_suggestions"],
+                       t["agencies"].select("agency_id", F.col("name").alias("agency_name"), "state", "county", "locality"), "agency_id")
     per = s.groupBy("url_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.col("is_unknown").cast("int")).alias("_u"),
         F.array_sort(F.collect_list(F.struct("agency_id", "agency_name", "state", "county", "locality"))).alias("_l"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from urlsift.operators import ordering
 from urlsift.operators import queues as q
 from urlsift.plans.catalog import AS_OF
 from urlsift.plans.oracle import with_views
@@ -171,3 +172,61 @@ QUERIES["filter_jurisdictions"] = lambda spark, d: q.filter_jurisdictions(
 ORACLES["filter_jurisdictions"] = with_views(
     """SELECT county AS name, MAX(agency_id) AS id FROM agencies
  WHERE county IN (SELECT n_name FROM nation WHERE n_regionkey IN (0, 1)) GROUP BY county""")
+
+
+def _pages(spark, d):
+    """Pages 1, 2 and the last one of the URLs by outcome and id, read by their index."""
+    u, order = load_model(spark, d)["urls"].select("outcome", "id", "url"), ["outcome", "id"]
+    index = ordering.page_index(u, order)
+    last = index.agg(F.max("page")).first()[0] or 0
+    pages = [ordering.read_page(u, order, index, p).withColumn("page", F.lit(p).cast("long")) for p in sorted({1, 2, last})]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _limited_pages(spark, d):
+    """Search hits in pages of 1000 ids; whole pages are kept until 5000 titles match."""
+    hits = load_model(spark, d)["urls"].select("id", "url", F.floor(F.col("id") / 1000000).alias("page"), F.col("url").contains("7").alias("matched"))
+    return q.limit_by_page(hits, 5000, matched="matched").select("id", "page")
+
+
+QUERIES["urls_pages"] = _pages
+QUERIES["limit_by_page"] = _limited_pages
+QUERIES["next_for_relevance_page"] = lambda spark, d: q.with_page_context(load_model(spark, d), q.next_for_relevance(load_model(spark, d), k=100)).select(
+    "id", "url", "auto_relevant", "auto_model_name", "title", "description")
+QUERIES["next_for_record_type_page"] = lambda spark, d: q.with_page_context(load_model(spark, d), q.next_for_record_type(load_model(spark, d), k=100)).select(
+    "id", "url", "auto_record_type", "title", "description")
+QUERIES["next_for_all_page"] = lambda spark, d: q.with_page_context(load_model(spark, d), q.next_for_all(load_model(spark, d), k=100)).select(
+    "id", "url", "title", "description")
+QUERIES["next_for_agency_user"] = lambda spark, d: q.with_page_context(
+    load_model(spark, d), q.next_for_agency(load_model(spark, d), user_id=7, k=100), suggestions=True).select(
+    "id", "url", "title", "description", "unknown", F.array_sort(F.transform("suggestions", lambda x: x["agency_id"])).alias("agency_ids"))
+
+_WIDE = """hw AS (SELECT url_id, MAX(CASE WHEN content_type='Title' THEN content END) AS title,
+ MAX(CASE WHEN content_type='Description' THEN content END) AS description FROM url_html_content GROUP BY url_id)"""
+_TOP = "FROM urls u LEFT JOIN hw ON hw.url_id=u.id"
+ORACLES["urls_pages"] = with_views(
+    """SELECT outcome, id, url, page FROM (SELECT outcome, id, url, CAST((ROW_NUMBER() OVER (ORDER BY outcome, id) - 1) // 100 + 1 AS BIGINT) AS page,
+ COUNT(*) OVER () AS n FROM urls) x WHERE page IN (1, 2, (n + 99) // 100)""")
+ORACLES["limit_by_page"] = with_views(
+    """SELECT id, page FROM (SELECT id, id // 1000000 AS page FROM urls) h WHERE page IN (SELECT page FROM (SELECT page,
+ SUM(m) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+ SELECT id // 1000000 AS page, COUNT(*) FILTER (WHERE url LIKE '%7%') AS m FROM urls GROUP BY 1) a) b WHERE COALESCE(before, 0) < 5000)""")
+ORACLES["next_for_relevance_page"] = with_views(
+    f"""SELECT u.id, u.url, a.relevant AS auto_relevant, a.model_name AS auto_model_name, title, description {_TOP}
+ LEFT JOIN auto_relevant_suggestions a ON a.url_id=u.id WHERE u.outcome='pending' AND {_nx('user_relevant_suggestions')} ORDER BY u.id LIMIT 100""", _WIDE)
+ORACLES["next_for_record_type_page"] = with_views(
+    f"""SELECT u.id, u.url, a.record_type AS auto_record_type, title, description {_TOP}
+ LEFT JOIN auto_record_type_suggestions a ON a.url_id=u.id WHERE u.outcome='pending' AND {_nx('user_record_type_suggestions')}
+ AND NOT EXISTS (SELECT 1 FROM user_relevant_suggestions r WHERE r.url_id=u.id AND r.suggested_status <> 'relevant') ORDER BY u.id LIMIT 100""", _WIDE)
+ORACLES["next_for_all_page"] = with_views(
+    f"""SELECT u.id, u.url, title, description {_TOP} WHERE u.outcome='pending' AND {_nx('user_relevant_suggestions')}
+ AND {_nx('user_record_type_suggestions')} AND {_nx('user_url_agency_suggestions')} ORDER BY u.id LIMIT 100""", _WIDE)
+ORACLES["next_for_agency_user"] = with_views(
+    f"""SELECT u.id, u.url, title, description, s.n = 1 AND s.x = 1 AS unknown,
+ CASE WHEN s.n = 1 AND s.x = 1 THEN [CAST(NULL AS BIGINT)] ELSE list_sort(s.l) END AS agency_ids {_TOP}
+ JOIN (SELECT url_id, COUNT(*) AS n, MAX(CAST(is_unknown AS INT)) AS x, list(agency_id) AS l FROM automated_url_agency_suggestions GROUP BY url_id) s ON s.url_id=u.id
+ WHERE u.outcome='pending' AND {_nx('user_url_agency_suggestions')} AND {_nx('confirmed_url_agency')}
+ AND NOT EXISTS (SELECT 1 FROM user_relevant_suggestions r WHERE r.url_id=u.id AND r.user_id=7 AND r.suggested_status <> 'relevant') ORDER BY u.id LIMIT 100""", _WIDE)

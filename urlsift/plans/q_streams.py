@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from urlsift.plans.catalog import AS_OF
 from urlsift.plans.oracle import with_views
 from urlsift.plans.q_intake import _SUMMARY
-from urlsift.sources.fixtures import ARRIVAL_ORDER
+from urlsift.sources.fixtures import ARRIVAL_ORDER, load_model
 from urlsift.streaming import streams as st
 
 
@@ -75,3 +75,25 @@ def _status(spark, d):
 
 QUERIES["stream_status"] = _status
 ORACLES["stream_status"] = "SELECT user_id AS url_id, arg_max(event_type, event_id) AS outcome FROM events GROUP BY user_id"
+
+
+def _agency_sync(spark, d):
+    """The change pages as three files that hold rows of every page, read one a micro-batch."""
+    from urlsift.plans.q_tasks import _sync_pages
+
+    t = load_model(spark, d)
+    pages = _sync_pages(t)
+    files, out, ck = (st.scratch_path(spark, name) for name in ("sync-files", "sync", "sync-ck"))
+    pages.repartition(3, F.xxhash64("display_name")).write.parquet(files)
+    st.stream_agency_sync(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(files), out, ck)
+    return st.synced_agencies(spark, t["agencies"], out)
+
+
+def _register_sync():
+    from urlsift.plans.q_tasks import _SYNC_PAGES, _SYNCED
+
+    QUERIES["stream_agency_sync"] = _agency_sync
+    ORACLES["stream_agency_sync"] = with_views(_SYNCED, _SYNC_PAGES)
+
+
+_register_sync()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urlsift.functions.html import html_content_wide
+from urlsift.operators import agency_match, sync
 from urlsift.operators import queues as qs
 from urlsift.operators import tasks as tk
 from urlsift.operators.review import upsert
@@ -16,6 +17,7 @@ from urlsift.plans.catalog import AS_OF
 from urlsift.plans.oracle import with_views
 from urlsift.plans.q_html import _P as PARSED_CTE
 from urlsift.sources.fixtures import load_model
+from urlsift.streaming.streams import scratch_path
 
 
 def _fetched(t):
@@ -94,6 +96,29 @@ def _sync_pages(t):
                         F.lit(0), F.lit(0), F.lit(0), F.col("c_custkey").cast("decimal(18,6)"))).alias("updated_at"))
 
 
+def _sync_runs(spark, d, bounds, absent=None):
+    """Runs one after the other, each bounded in pages, from one stored cursor."""
+    t, target = load_model(spark, d), scratch_path(spark, "agency-sync")
+    pages = _sync_pages(t).where(F.col("page") != absent) if absent else _sync_pages(t)
+    for bound in bounds:
+        sync.run_agency_sync(t["agencies"], pages, target, AS_OF, bound)
+    return target
+
+
+def _cursor(spark, d, bounds, absent=None):
+    return spark.read.schema(sync.STATE).parquet(f"{_sync_runs(spark, d, bounds, absent)}/state")
+
+
+def _match(spark, d):
+    """Collected URLs with a FOIA agency id (some not known), whose names equal, resemble or miss catalogue agencies."""
+    t = load_model(spark, d)
+    a = t["agencies"].select(F.col("agency_id").alias("id"), F.when(F.col("agency_id") % 4 == 0, F.concat(F.lit("office "), F.col("name")))
+                             .when(F.col("agency_id") % 4 == 1, F.upper(F.col("name"))).when(F.col("agency_id") % 4 == 2, F.lit("Harbour office"))
+                             .otherwise(F.col("name")).alias("name"))
+    records = t["urls"].select(F.col("id").alias("url_id"), F.when(F.col("id") % 7 != 0, (F.col("id") / 10000000).cast("long")).alias("foia_agency_id"))
+    return agency_match.match_agencies(agency_match.foia_agency_names(records, a), t["agencies"])
+
+
 def _keyword_hits(x: str) -> str:
     return " + ".join(f"((length({x}) - length(replace({x}, '{w}', ''))) // {len(w)})"
                       for w in ("record", "report", "police", "data", "example"))
@@ -122,7 +147,10 @@ QUERIES = {
     "submission_task_updates": lambda spark, d: _submission(spark, d).status_updates,
     "submission_task_errors": lambda spark, d: _submission(spark, d).errors,
     "agency_sync": lambda spark, d: tk.agency_sync(load_model(spark, d)["agencies"], _sync_pages(load_model(spark, d))),
-    "agency_sync_cursor": lambda spark, d: tk.sync_cursor(_sync_pages(load_model(spark, d)), 1, AS_OF),
+    "agency_sync_cursor": lambda spark, d: _cursor(spark, d, [5, 5]),
+    "agency_sync_gap": lambda spark, d: _cursor(spark, d, [2, None], absent=4),
+    "agency_sync_resumed": lambda spark, d: sync.synced(spark, _sync_runs(spark, d, [5, 3, None])),
+    "agency_match": _match,
     "link_task_urls": lambda spark, d: tk.link_task_urls(99999, qs.queue_html(load_model(spark, d))),
 }
 
@@ -144,6 +172,12 @@ _QUEUE_MISC = """q AS (SELECT u.id, b.strategy FROM urls u JOIN link_batch_urls
   MAX(CASE WHEN content_type='Description' THEN content END) AS description FROM url_html_content GROUP BY url_id)"""
 _FOIA = "('muckrock_simple_search','muckrock_county_search','muckrock_all_search')"
 
+_SYNCED = """SELECT a.* FROM agencies a WHERE a.agency_id NOT IN (SELECT agency_id FROM pg)
+ UNION ALL SELECT agency_id, arg_max(display_name, k) AS name, arg_max(state_name, k) AS state,
+  CAST(NULL AS VARCHAR) AS county, CAST(NULL AS VARCHAR) AS locality FROM pg GROUP BY agency_id"""
+_SYNC_PAGES = """pg AS (SELECT CAST(c_custkey // 100 AS INT) + 1 AS page, c_custkey % 150 AS agency_id, c_name AS display_name,
+ c_mktsegment AS state_name, c_custkey AS k FROM customer)"""
+
 ORACLES = {
     "html_task_updates": """SELECT page_id AS url_id, CASE WHEN page_id % 10 = 0 THEN '404 not found' ELSE 'error' END AS outcome
  FROM pages WHERE page_id % 10 IN (0, 1, 2)""",
@@ -160,7 +194,7 @@ ORACLES = {
     "probe_404_task_updates": with_views(
         "SELECT id AS url_id, '404 not found' AS outcome FROM q WHERE id % 7 = 0", _QUEUE_404),
     "probe_404_task_stamps": with_views(
-        f"""SELECT url_id, last_probed_at FROM url_probed_for_404 WHERE url_id NOT IN (SELECT id FROM q)
+        f"""SELECT url_id, last_probed_at FROM url_probed_for_404 p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.id=p.url_id)
  UNION ALL SELECT id AS url_id, TIMESTAMP '{AS_OF}' AS last_probed_at FROM q""", _QUEUE_404),
     "record_type_task_suggestions": with_views(
         "SELECT id AS url_id, CASE WHEN id % 3 = 0 THEN 'Other' ELSE 'Stops' END AS record_type FROM q WHERE id % 3 <> 2",
@@ -198,14 +232,21 @@ ORACLES = {
         "SELECT id AS url_id, 'submitted' AS outcome FROM urls WHERE outcome='validated' AND id % 4 <> 0"),
     "submission_task_errors": with_views(
         "SELECT id AS url_id, 'rejected' AS error FROM urls WHERE outcome='validated' AND id % 4 = 0"),
-    "agency_sync": with_views(
-        """SELECT a.* FROM agencies a WHERE a.agency_id NOT IN (SELECT agency_id FROM pg)
- UNION ALL SELECT agency_id, arg_max(display_name, k) AS name, arg_max(state_name, k) AS state,
-  CAST(NULL AS VARCHAR) AS county, CAST(NULL AS VARCHAR) AS locality FROM pg GROUP BY agency_id""",
-        """pg AS (SELECT CAST(c_custkey // 100 AS INT) + 1 AS page, c_custkey % 150 AS agency_id, c_name AS display_name,
- c_mktsegment AS state_name, c_custkey AS k FROM customer)"""),
-    "agency_sync_cursor": f"""SELECT TIMESTAMP '{AS_OF}' AS last_full_sync_at, DATE '{AS_OF[:10]}' - 1 AS current_cutoff_date,
- CAST(NULL AS INT) AS current_page""",
+    "agency_sync": with_views(_SYNCED, _SYNC_PAGES),
+    "agency_sync_cursor": f"""WITH m AS (SELECT MAX(c_custkey // 100 + 1) AS n FROM customer), r AS (SELECT 0 AS run UNION ALL SELECT 1),
+ s AS (SELECT run, n, CASE WHEN run = 1 AND n <= 5 THEN n ELSE LEAST(n, 5 * (run + 1)) END AS last FROM r, m)
+SELECT run, CAST(last AS INT) AS last_page, CAST(CASE WHEN last < n THEN last + 1 END AS INT) AS current_page, CAST(NULL AS INT) AS missing_page,
+ CASE WHEN last >= n THEN DATE '{AS_OF[:10]}' - 1 END AS current_cutoff_date, CASE WHEN last >= n THEN TIMESTAMP '{AS_OF}' END AS last_full_sync_at FROM s""",
+    "agency_sync_gap": f"""WITH m AS (SELECT MAX(c_custkey // 100 + 1) AS n FROM customer WHERE c_custkey // 100 + 1 <> 4), r AS (SELECT 0 AS run UNION ALL SELECT 1),
+ s AS (SELECT run, n, LEAST(n, run + 2) AS last FROM r, m)
+SELECT run, CAST(last AS INT) AS last_page, CAST(CASE WHEN last < n THEN last + 1 END AS INT) AS current_page,
+ CAST(CASE WHEN last = 3 AND last < n THEN 4 END AS INT) AS missing_page,
+ CASE WHEN last >= n THEN DATE '{AS_OF[:10]}' - 1 END AS current_cutoff_date, CASE WHEN last >= n THEN TIMESTAMP '{AS_OF}' END AS last_full_sync_at FROM s""",
+    "agency_sync_resumed": with_views(_SYNCED, _SYNC_PAGES),
+    "agency_match": with_views(
+        """SELECT u.id AS url_id, CASE WHEN a.agency_id IS NULL THEN 'error' WHEN a.agency_id % 4 = 0 THEN 'partial' WHEN a.agency_id % 4 = 2 THEN 'none' ELSE 'exact' END AS status,
+ CASE WHEN a.agency_id % 4 <> 2 THEN a.agency_id END AS agency_id
+ FROM urls u LEFT JOIN agencies a ON u.id % 7 <> 0 AND a.agency_id = u.id // 10000000"""),
     "link_task_urls": with_views(
         """SELECT 99999 AS task_id, u.id AS url_id FROM urls u WHERE u.outcome='pending'
  AND NOT EXISTS (SELECT 1 FROM url_html_content x WHERE x.url_id=u.id)

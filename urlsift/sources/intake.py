@@ -109,5 +109,8 @@ def store_html(html: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def html_for_url(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """Read stored HTML back for the wanted url ids (semi join; bucket pruning when ``ids`` is a literal list)."""
-    return spark.read.parquet(path).join(ids.select("url_id"), "url_id", "left_semi").drop("bucket")
+    """Read stored HTML back for the wanted url ids: their buckets are listed (64 numbers at most) and no other bucket's
+    folder is read."""
+    wanted = ids.select("url_id").distinct()
+    buckets = [r.bucket for r in wanted.select((F.abs(F.xxhash64("url_id")) % 64).cast("int").alias("bucket")).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(buckets)).join(wanted, "url_id", "left_semi").drop("bucket")

@@ -179,15 +179,16 @@ def stream_log_retention(logs: DataFrame, target: str, checkpoint: str, as_of, d
 
 # ---- S5 agency sync -------------------------------------------------------------------------------------------
 def stream_agency_sync(pages: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Agency change pages arrive as files; each epoch appends the latest change per agency (by page, then
-    updated_at). The checkpoint is the restartable cursor: an interrupted sync resumes at the next unread file."""
+    """Agency change pages arrive as files; each epoch writes the latest change per agency. Later means a later ``sync``
+    (a number, where the pages have it), then page, then updated_at, so pages may come in any order. The checkpoint is the
+    restartable cursor: an interrupted sync resumes at the next unread file, and a replayed epoch replaces itself."""
+    sync = F.col("sync") if "sync" in pages.columns else F.lit(0)
+
     def write(batch: DataFrame, epoch: int):
-        latest = batch.groupBy("agency_id").agg(F.max(F.struct("page", "updated_at", "display_name", "state_name",
-                                                                "county_name", "locality_name")).alias("_l"))
-        latest.select("agency_id", F.col("_l.display_name").alias("name"), F.col("_l.state_name").alias("state"),
-                      F.col("_l.county_name").alias("county"), F.col("_l.locality_name").alias("locality"),
-                      F.col("_l.page").alias("page"), F.col("_l.updated_at").alias("updated_at"),
-                      F.lit(epoch).cast("long").alias("epoch")).write.mode("append").parquet(target)
+        order = F.struct(sync.cast("long").alias("sync"), "page", "updated_at")
+        last_by(batch.select("agency_id", F.col("display_name").alias("name"), F.col("state_name").alias("state"), F.col("county_name").alias("county"),
+                             F.col("locality_name").alias("locality"), order.alias("at"), order.alias("_by")), ["agency_id"], "_by").write.mode(
+            "overwrite").parquet(f"{target}/epoch={epoch}")
 
     return _run(pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
 
@@ -196,7 +197,5 @@ def synced_agencies(spark: SparkSession, agencies: DataFrame, target: str) -> Da
     """Current agencies = base snapshot overlaid by the latest synced change per agency."""
     from urlsift.operators.review import upsert
 
-    s = spark.read.parquet(target)
-    latest = last_by(s.select("agency_id", "name", "state", "county", "locality",
-                              F.struct("epoch", "page", "updated_at").alias("_seq")), ["agency_id"], "_seq")
-    return upsert(agencies, latest, ["agency_id"])
+    s = spark.read.parquet(target).drop("epoch")
+    return upsert(agencies, last_by(s.withColumnRenamed("at", "_seq"), ["agency_id"], "_seq"), ["agency_id"])
