@@ -1,14 +1,12 @@
 """Annotation, review and merge semantics (inventory M1-M12).
 
 Parquet tables reject MERGE/UPDATE, so state is an immutable snapshot: every operator returns the *new*
-DataFrame(s) of the tables it changes; :func:`write_snapshot` persists them to a fresh versioned path (never
-overwriting a path that is being read). Merges are an anti join on the key plus a union — one shuffle of the key
+DataFrame(s) of the tables it changes; :mod:`urlsift.operators.cycle` writes them to versioned paths. Merges are an anti join on the key plus a union — one shuffle of the key
 columns, no full outer join — and "last decision wins" is a partial ``max_by``/``max(struct)`` aggregation.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -75,35 +73,6 @@ def set_status(urls: DataFrame, updates: DataFrame, as_of=None) -> DataFrame:
     return overlay(urls, updates.select("url_id", "outcome"), "id", "url_id", as_of)
 
 
-def apply_changes(state: dict, ch, task_id: int, as_of) -> dict:
-    """Apply a task's :class:`~urlsift.operators.tasks.Changes` to a table dict (plans only)."""
-    from urlsift.operators.tasks import record_errors
-
-    s = dict(state)
-    updates = []
-    if ch.status_updates is not None:
-        updates.append(ch.status_updates.select("url_id", "outcome"))
-    if ch.errors is not None:
-        rows, err_updates = record_errors(ch.errors, task_id, as_of)
-        updates.append(err_updates)
-        s["url_error_info"] = s["url_error_info"].unionByName(rows, allowMissingColumns=True)
-    if updates:
-        u = reduce(DataFrame.unionByName, updates)
-        # an error outranks any other transition of the same run
-        u = u.groupBy("url_id").agg(F.max_by("outcome", F.col("outcome") == "error").alias("outcome"))
-        s["urls"] = set_status(s["urls"], u, as_of)
-    for name, df in ch.appends.items():
-        s[name] = s[name].unionByName(df, allowMissingColumns=True) if name in s else df
-    for name, df in ch.upserts.items():
-        if name == "urls":
-            s["urls"] = overlay(s["urls"], df, "id", "url_id", as_of)
-        elif name in s:
-            s[name] = upsert(s[name], df.dropDuplicates(TABLE_KEYS[name]), TABLE_KEYS[name], as_of)
-        else:
-            s[name] = df
-    return s
-
-
 # ---- decisions -----------------------------------------------------------------------------------------------------
 def last_values(decisions: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str = "seq") -> DataFrame:
     """One row per key: of every field the last non-null value by ``seq``, as if the decisions overlaid one another in
@@ -309,15 +278,3 @@ def expire_logs(t, as_of, days: int = 7) -> DataFrame:
     from urlsift.functions.scalars import days_ago
 
     return t["logs"].where(F.col("created_at") >= days_ago(as_of, days))
-
-
-def write_snapshot(tables: dict, root: str, version: int, names: Sequence[str] | None = None) -> dict:
-    """Persist the given tables to ``root/v{version}/<name>`` (zstd Parquet) and return DataFrames that read the
-    written files — this also cuts the lineage of a long task chain (executor loss recomputes from files)."""
-    spark = next(iter(tables.values())).sparkSession
-    out = {}
-    for name in (names or list(tables)):
-        path = f"{root.rstrip('/')}/v{version}/{name}"
-        tables[name].write.mode("errorifexists").option("compression", "zstd").parquet(path)
-        out[name] = spark.read.parquet(path)
-    return out

@@ -302,7 +302,7 @@ def record_errors(errors: DataFrame, task_id: int, as_of) -> tuple[DataFrame, Da
     return rows, errors.select("url_id", F.lit("error").alias("outcome")).distinct()
 
 
-# ---- J15 / U4 the cycle -------------------------------------------------------------------------------------------
+# ---- U4 tasks (J15, the cycle, is in urlsift.operators.cycle) -----------------------------------------------------
 @dataclass
 class Task:
     """U4: a task = its queue (prerequisite: non-empty) + how to turn the queue into changes."""
@@ -310,21 +310,3 @@ class Task:
     name: str
     queue: Callable[[dict], DataFrame]
     apply: Callable[[DataFrame, dict], Changes]
-
-
-def run_cycle(t: dict, tasks: list[Task], task_ids: dict[str, int], as_of) -> dict:
-    """Apply the tasks in order; each sees the tables as left by the previous one. A task whose queue is
-    empty is skipped (the prerequisite probe is a LIMIT 1, not a count). Returns the new table dict — plans
-    only; the caller decides where and when to write them."""
-    from urlsift.operators.review import apply_changes
-
-    state = dict(t)
-    for task in tasks:
-        q = task.queue(state)
-        if q.isEmpty():
-            continue
-        ch = task.apply(q, state)
-        state = apply_changes(state, ch, task_ids[task.name], as_of)
-        links = link_task_urls(task_ids[task.name], q)
-        state["link_task_urls"] = state["link_task_urls"].unionByName(links)
-    return state

@@ -209,6 +209,12 @@ class Tables:
         return e.select(e.event_id.alias("id"), t.alias("task_type"), s.alias("task_status"),
                         e.ts.alias("updated_at"))
 
+    @cached_property
+    def task_errors(self) -> DataFrame:
+        """One error row per failed task."""
+        return self.tasks.where(F.col("task_status") == "error").select(
+            F.col("id").alias("task_id"), F.concat(F.lit("failed: "), F.col("task_type")).alias("error"), "updated_at")
+
     @cached_property
     def link_task_urls(self) -> DataFrame:
         return self.collected.select((F.col("batch_id") % 1000).alias("task_id"), "url_id").distinct()
