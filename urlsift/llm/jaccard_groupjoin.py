@@ -9,13 +9,15 @@ only then are groups expanded to members, and members bounded by their own count
 Order. Any global order of shingles gives the right result; a good one puts rare shingles first. Frequencies are
 estimated over all documents in a sketch of fixed size (``SKETCH_COUNTERS``, 4 MB, broadcast), ties broken by hash.
 
-Scale and skew. The largest group of copies is one class after a partially aggregated grouping. Candidates are not all verified: first
-each class against its smallest candidate, then components are formed, and of the other candidates only those that still
-lie in two components. A shingle in the prefixes of more than ``WIDE`` groups does not meet itself pair by pair: its
-groups are held against one pivot, and then only those with a member outside the pivot's component against the rest. So a
-large group of near copies costs in proportion to its size, and no link is lost. Whole sets are made again from the
-text, and only for classes that have a candidate, found by a bit filter of bounded size. Components come from
-label propagation with pointer jumping over stored tables; nothing but filter blocks and counts reaches the driver.
+Scale and skew. The largest group of copies is one class after a partially aggregated grouping. Groups meet pair by pair only at
+a shingle that at most ``WIDE`` of them have; at any other shingle they meet one pivot. So candidates grow with the postings.
+Not all are verified: first each class against its smallest candidate and its pivots, then components are formed. What may then still
+link, members of groups that met the same group or pivot, makes that one's family; of families that lie in several
+components only members that can reach the threshold with one of another component are kept, and their exact overlaps
+come from their differences from the centre, block by block (:mod:`urlsift.llm.setsketch_dedup`). A block gives one link
+to a component at most, so a large group of near copies is never paired out as rows, and no link is lost. Whole sets are
+made again from the text, and only for classes that have a candidate, found by a bit filter of bounded size. Components
+come from label propagation with pointer jumping over stored tables; nothing but filter blocks and counts reaches the driver.
 
 Defined results. Fewer words than a shingle: the whole sequence is the one shingle. No words or null text: empty set,
 linked with nothing, alone in its component. Null ids are never a component's id unless the component has no other.
@@ -39,7 +41,7 @@ SKETCH_COUNTERS = 1 << 20
 SKETCH_BLOCK = 1 << 14
 PARTS = 64
 _PART_SHIFT = np.uint64(58)
-WIDE = 1000
+WIDE = 16
 MAX_FILTER_BITS = 1 << 28
 CHUNK_BYTES = 1 << 18
 
@@ -178,17 +180,15 @@ def frequency_sketch(source: DataFrame, words: int) -> np.ndarray:
 
 def signatures(source: DataFrame, words: int, percent: int) -> DataFrame:
     """``row, id, n, key, group_key, parts, prefix``: set size, digests of the set and of (size, prefix), the number of
-    shingles in each of ``PARTS`` parts of the hash space (255 stands for more), and the prefix in global order as
-    (shingle, estimated frequency)."""
+    shingles in each of ``PARTS`` parts of the hash space (255 stands for more), and the prefix in global order."""
     sketch = source.sparkSession.sparkContext.broadcast(frequency_sketch(source, words))
 
     def sign(batches):
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int32())]))
         for batch in batches:
-            size, key, group, parts, tokens, counts, ends = [], [], [], [], [], [], [0]
+            size, key, group, parts, tokens, ends = [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), words):
                 size.append(len(s))
                 key.append(digest(s.tobytes()))
@@ -198,15 +198,13 @@ def signatures(source: DataFrame, words: int, percent: int) -> DataFrame:
                 order = np.argsort(c, kind="stable")[:take]  # shingles are sorted, so ties stay in their order
                 group.append(digest(s[order].tobytes() + len(s).to_bytes(8, "little")))
                 tokens.append(s[order].view(np.int64))
-                counts.append(c[order])
                 ends.append(ends[-1] + take)
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((tokens, np.int64), (counts, np.int32))]
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1])], fields=list(kind.value_type)))
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(group, pa.binary()),
                                               pa.array(parts, pa.binary()), prefix], names=["id", "n", "key", "group_key", "parts", "prefix"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return stored(source.mapInArrow(sign, f"id {kind}, n long, key binary, group_key binary, parts binary, prefix array<struct<t:long,c:int>>")
+    return stored(source.mapInArrow(sign, f"id {kind}, n long, key binary, group_key binary, parts binary, prefix array<long>")
                   .withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -231,11 +229,11 @@ def _ahead(a: str, b: str) -> Column:
     return (na < nb) | ((na == nb) & (F.col(f"{a}.g") < F.col(f"{b}.g")))
 
 
-def _meet(small: DataFrame, large: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
+def _meet(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     on = (F.col("x.t") == F.col("y.t")) & _ahead("x", "y") & _may_link("x", "y", percent)
     n = _size("na")
     short = small.where(_place("na") < n - F.ceil(2 * percent * n / (100 + percent)) + 1)  # enough for the smaller set
-    return short.alias("x").join(large.alias("y"), on if more is None else on & more).select(
+    return short.alias("x").join(large.alias("y"), on).select(
         F.col("x.g").alias("a"), F.col("y.g").alias("b"))
 
 
@@ -360,56 +358,116 @@ def similar_classes(source: DataFrame, words: int = WORDS, percent: int = PERCEN
     member_of = stored(classes.select("row", "group_key").join(groups, "group_key").select("row", "g"), "group-members")
     heads = classes.join(member_of.where("row != g").select("row"), "row", "left_anti")
     # size and place share one long, so a posting is three of them
-    postings = heads.select(F.col("row").alias("g"), "n", F.posexplode("prefix").alias("at", "p")).select(
-        "g", (F.shiftleft("n", 32) + F.col("at")).alias("na"), F.col("p.t").alias("t"), F.col("p.c").alias("c"))
-    # wide shingles: the sketch never underestimates, so only those above the bound can be
-    maybe_wide = stored(postings.where(F.col("c") > WIDE), "wide-postings")
-    wide = stored(maybe_wide.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(_place("na"), _size("na"), "g")).alias("pivot")).where(F.col("k") > WIDE), "wide")
-    narrow = postings.where(F.col("c") <= WIDE).unionByName(maybe_wide.join(wide.select("t"), "t", "left_anti")).drop("c")
+    postings = heads.select(F.col("row").alias("g"), "n", F.posexplode("prefix").alias("at", "t")).select(
+        "g", (F.shiftleft("n", 32) + F.col("at")).alias("na"), "t")
+    met_at = postings.groupBy("t").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(_place("na"), _size("na"), "g")).alias("pivot")).where("k > 1")
+    shared = stored(postings.join(met_at.select("t", "k", F.col("pivot.g").alias("c")), "t"), "shared-postings")
+    narrow = shared.where(F.col("k") <= WIDE)
     group_parts = _group_parts(heads, member_of, classes)
     met = _possible(_meet(narrow, narrow, percent).distinct(), group_parts, percent)
-    in_wide = maybe_wide.join(wide.select("t"), "t", "left_semi").drop("c")
-    at_pivot = maybe_wide.alias("y").join(wide.alias("w"), F.col("y.t") == F.col("w.t")).where(F.col("y.g") != F.col("w.pivot.g")).select(
-        F.least("y.g", "w.pivot.g").alias("a"), F.greatest("y.g", "w.pivot.g").alias("b")).distinct()
+    at_pivot = stored(shared.where((F.col("k") > WIDE) & (F.col("c") != F.col("g"))).select("c", "g").distinct(), "at-pivot")
     in_group = member_of.where("row != g").select(F.col("g").alias("a"), F.col("row").alias("b"))
     nearest = _possible(met, classes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    to_pivot = _possible(at_pivot.select(F.col("c").alias("a"), F.col("g").alias("b")), classes, percent)
 
-    first_pairs = stored(nearest.unionByName(_possible(at_pivot, classes, percent)).unionByName(in_group).distinct(), "first-pairs")
-    rest_rows = met.unionByName(first_pairs)
-    sets = whole_sets(source, classes, rest_rows, words)
+    first_pairs = stored(nearest.unionByName(to_pivot).unionByName(in_group).distinct(), "first-pairs")
+    sets = whole_sets(source, classes, first_pairs.unionByName(met), words)
     links = _verify(first_pairs, sets, percent)
     labels = components(links)
+    # other candidates that still lie in two components, heads alone: those of groups are members of families
+    second = _possible(_labelled(met.join(first_pairs, ["a", "b"], "left_anti"), labels), classes, percent)
+    links = links.unionByName(_verify(second, sets, percent))
+    families = _families(at_pivot, met, in_group, member_of)
+    late = _family_links(source, classes, families, labels, words, percent)
+    return signed.join(of_class, "key", "left"), components(links if late is None else links.unionByName(late))
+
+
+def _families(at_pivot: DataFrame, met: DataFrame, in_group: DataFrame, member_of: DataFrame) -> DataFrame:
+    """``c, row``: all classes that may link with one another because their groups meet at c: c and the members of its group,
+    of the groups whose shingles have c as their pivot, and of the groups that met c's group where either has members."""
+    grouped = member_of.select("g").distinct()
+    of_groups = met.join(grouped.withColumnRenamed("g", "a"), "a", "left_semi").unionByName(met.join(grouped.withColumnRenamed("g", "b"), "b", "left_semi")).distinct()
+    centres = at_pivot.select("c", "g").unionByName(of_groups.select(F.col("a").alias("c"), F.col("b").alias("g")))
+    own = centres.select("c").distinct().select("c", F.col("c").alias("g"))
+    of_centres = centres.unionByName(own).join(member_of, "g", "left").select("c", F.coalesce("row", "g").alias("row"))
+    groups = in_group.select(F.col("a").alias("c"), F.col("b").alias("row"))
+    return stored(of_centres.unionByName(groups).unionByName(groups.select("c", F.col("c").alias("row"))).distinct(), "families")
+
+
+def _family_links(source: DataFrame, classes: DataFrame, families: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links between members of a family that lie in two components; only families with a member outside the centre's
+    component are looked at, and in them only members that can reach the threshold with one of another component."""
+    from urlsift.llm.setsketch_dedup import _blocks, _differences, _stray_links
+
+    named = families.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")).join(
+        labels.toDF("c", "of_c"), "c", "left").select("c", "row", "label", (F.col("label") != F.coalesce("of_c", "c")).alias("stray"))
+    named = stored(named, "family-labels")
+    mixed = named.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max("stray").alias("any")).where("k > 1 and any").select("c")
+    members = _with_partners(named.join(mixed, "c", "left_semi").join(classes.select("row", "n", "parts"), "row"), percent)
+    if members.isEmpty():
+        return None
+    sets = whole_sets(source, classes, members.select(F.col("c").alias("a"), F.col("row").alias("b")), words)
+    return _stray_links(_blocks(_differences(members, sets)), percent)
+
+
+PARTNER_BLOCK = 512
+
+
+def _with_partners(members: DataFrame, percent: int) -> DataFrame:
+    """The members (c, row, label, stray, n, parts) that may link with a member of another component, one of the two a
+    stray: in blocks of one family by size, by the smaller counts of each part."""
+    names = ("row", "label", "n")
+
+    def pack(batches):
+        held, key = [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (key != (r["c"], r["stray"]) or len(held) == PARTNER_BLOCK):
+                    yield _packed(held)
+                    held = []
+                key = (r["c"], r["stray"])
+                held.append(r)
+        if held:
+            yield _packed(held)
 
-    # what may still join two components: other candidates, wide shingles outside the pivot's, members of groups
-    named = lambda df, col: df.join(labels.select(F.col("row").alias(col), "label"), col, "left").withColumn("label", F.coalesce("label", col))
-    members = named(member_of, "row")
-    # the lowest and the highest label in a group; a head alone has its own
-    ranges = stored(members.groupBy("g").agg(F.min("label").alias("glo"), F.max("label").alias("ghi")), "group-labels")
-    ranged = lambda df, col: named(df, col).join(ranges.withColumnRenamed("g", col), col, "left").withColumns(
-        {"lo": F.coalesce("glo", "label"), "hi": F.coalesce("ghi", "label")}).drop("label", "glo", "ghi")
-    wide_named = stored(ranged(in_wide, "g"), "wide-named")
-    pivots = named(wide.select("t", F.col("pivot.g").alias("g")), "g").select("t", F.col("label").alias("main"))
-    outside = wide_named.join(pivots, "t").where("lo != main or hi != main").drop("main")
-    apart = F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")
-    strays = _possible(_meet(outside, wide_named, percent, apart).unionByName(_meet(wide_named, outside, percent, apart)).distinct(), group_parts, percent)
-    mixed = ranges.where("glo != ghi").select("g")
-    mixed_members = members.join(mixed, "g", "left_semi")
-    within = mixed_members.alias("x").join(mixed_members.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.row") < F.col("y.row")) & (
-        F.col("x.label") != F.col("y.label"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    # pairs of groups whose members all lie in one component have nothing to add
-    group_pairs = ranged(ranged(met.unionByName(strays).distinct(), "a").withColumnsRenamed({"lo": "alo", "hi": "ahi"}), "b").where(
-        F.least("alo", "lo") != F.greatest("ahi", "hi")).select("a", "b")
-    # expand pairs of groups to members where a group has several (a head alone stands for itself)
-    spread = members.select("row", "g")
-    left = group_pairs.join(spread.select(F.col("g").alias("a"), F.col("row").alias("ra")), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
-    both = left.join(spread.select(F.col("g").alias("b"), F.col("row").alias("rb")), "b", "left").select("a", F.coalesce("rb", "b").alias("b"))
-    apart_pairs = _labelled(both.unionByName(within).distinct().join(first_pairs, ["a", "b"], "left_anti"), labels)
-    second = _possible(apart_pairs, classes, percent)
-    late = second.join(sets.select(F.col("row").alias("a")), "a", "left_anti").select("a", "b").unionByName(
-        second.join(sets.select(F.col("row").alias("b")), "b", "left_anti").select("a", "b")).distinct()
-    all_sets = sets if late.isEmpty() else whole_sets(source, classes, second, words)
-    links = links.unionByName(_verify(second, all_sets, percent))
-    return signed.join(of_class, "key", "left"), components(links)
+    def _packed(rows):
+        sizes = [r["n"] for r in rows]
+        cols = [pa.array([np.array([r[c] for r in rows], np.int64).tobytes()], pa.binary()) for c in names]
+        return pa.RecordBatch.from_arrays([pa.array([rows[0]["c"]], pa.int64()), pa.array([rows[0]["stray"]]), pa.array([min(sizes)], pa.int64()), pa.array([max(sizes)], pa.int64()),
+                                           *cols, pa.array([b"".join(r["parts"] for r in rows)], pa.binary())], names=["c", "stray", "low", "high", *names, "parts"])
+
+    def meet(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = ({c: np.frombuffer(r[f"{side}_{c}"], np.int64) for c in names} for side in "xy")
+                px, py = (np.frombuffer(r[f"{side}_parts"], np.uint8).reshape(-1, PARTS).astype(np.int32) for side in "xy")
+                partner = np.zeros(len(py), bool)
+                found = []
+                for k in range(len(px)):
+                    both = x["n"][k] + y["n"]
+                    most = np.minimum(px[k], py).sum(axis=1)
+                    full = (px[k] == 255) & (py == 255)  # 255 stands for more
+                    most = np.where(full.any(axis=1), both, most)
+                    may = ((100 + percent) * most >= percent * both) & (x["label"][k] != y["label"])
+                    if may.any():
+                        partner |= may
+                        found.append(x["row"][k])
+                rows = np.concatenate([np.array(found, np.int64), y["row"][partner]])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), r["c"])), pa.array(rows)], names=["c", "row"])
+
+    members = stored(members, "mixed")
+    ordered = members.repartitionByRange("c", "stray", "n", "row").sortWithinPartitions("c", "stray", "n", "row")
+    blocks = stored(ordered.mapInArrow(pack, "c long, stray boolean, low long, high long, row binary, label binary, n binary, parts binary")
+                    .withColumn("block", F.monotonically_increasing_id()), "partner-blocks")
+    light = blocks.select("c", "block", "stray", "low", "high")
+    near = (F.lit(100) * F.col("x_high") >= percent * F.col("y_low")) & (F.lit(100) * F.col("y_high") >= percent * F.col("x_low"))
+    pairs = light.where("stray").toDF("c", "x_block", "x_stray", "x_low", "x_high").join(light.toDF("c", "y_block", "y_stray", "y_low", "y_high"), "c").where(
+        near & F.expr("not y_stray or x_block <= y_block"))
+    side = lambda s: blocks.select(F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in (*names, "parts")])
+    joined = pairs.select("c", "x_block", "y_block").repartition("x_block", "y_block").join(side("x"), "x_block").join(side("y"), "y_block")
+    found = joined.mapInArrow(meet, "c long, row long").distinct()
+    return stored(members.join(found, ["c", "row"], "left_semi").select("c", "row", "label", "stray"), "partners")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
