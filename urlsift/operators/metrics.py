@@ -348,14 +348,7 @@ def url_annotation_flags(t) -> DataFrame:
         ("has_user_relevant_suggestion", "user_relevant_suggestions"),
         ("has_user_agency_suggestion", "user_url_agency_suggestions"),
         ("has_confirmed_agency", "confirmed_url_agency"),
+        ("was_reviewed", "reviewing_user_url"),
     ]
-    try:
-        t["reviewing_user_url"]
-        models.append(("was_reviewed", "reviewing_user_url"))
-    except (KeyError, AttributeError):
-        pass
     f = url_flags(t, t["urls"].select(F.col("id").alias("url_id")), models)
-    out = f.select("url_id", *[(F.col(n) == 1).alias(n) for n, _ in models])
-    if "was_reviewed" not in out.columns:
-        out = out.withColumn("was_reviewed", F.lit(False))
-    return out
+    return f.select("url_id", *[(F.col(n) == 1).alias(n) for n, _ in models])

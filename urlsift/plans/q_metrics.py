@@ -160,7 +160,7 @@ _FLAG8 = [("has_auto_record_type_suggestion", "auto_record_type_suggestions"),
 ORACLES["url_annotation_flags"] = with_views(
     "SELECT u.id AS url_id, "
     + ", ".join(f"EXISTS (SELECT 1 FROM {t} x WHERE x.url_id=u.id) AS {n}" for n, t in _FLAG8)
-    + ", FALSE AS was_reviewed FROM urls u")
+    + ", EXISTS (SELECT 1 FROM reviewing_user_url x WHERE x.url_id=u.id) AS was_reviewed FROM urls u")
 ORACLES["task_url_counts"] = with_views("SELECT task_id, COUNT(*) AS url_count FROM link_task_urls GROUP BY task_id")
 ORACLES["error_info_distinct"] = with_views(
     "SELECT COUNT(DISTINCT url_id) AS distinct_urls, CAST(SUM(DISTINCT task_id) AS BIGINT) AS task_id_sum FROM url_error_info")
