@@ -55,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 NEAR = {"words": 5, "percent": 80}
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("personal_data", personal_data), ("packing", packing)]
-ORACLE_SQL = None  # tokenisation cannot be expressed in SQL; tested against a brute-force version
+ORACLE_SQL = None  # tokenisation cannot be expressed in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
