@@ -10,7 +10,8 @@ naive-Bayes model over span features, which decides which proposals are spans.
 Scale. Everything per document is DataFrame expressions in one scan without a shuffle. Matches come with their
 positions from splitting the text at the same pattern. Only proposals leave the scan; the driver sees vote patterns
 (at most 3 to the number of labelers) and feature counts (a fixed set), never spans. Patterns are written so that a long
-run of letters or digits costs linear time.
+run of letters or digits costs linear time, and positions, overlaps and cuts of a text with very many matches are
+running folds in blocks, which copy at most a block for each match.
 
 Defined results. Null or empty text: no spans, and the digest of nothing. Positions are code points, end exclusive.
 Ids may be null or repeat: results go by row. An empty table gives an empty result. Without proposals no model is
@@ -58,25 +59,51 @@ ANNOUNCED = {
     "name": "name|signed|contact|regards|by|from|author",
 }
 _BEFORE = 40  # characters of context kept on either side
+_BLOCK = 256  # elements that running folds append to one another
+_CHUNK = 4096  # characters of a text from which a piece is cut
 
 _SPAN = "array<struct<kind:string,s:int,e:int,m:string,before:string,after:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, an outer expression is worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, combine) -> Column:
+    """``values`` (ints) folded from the first to each one, in blocks, so that appending copies no more than a block."""
+
+    def few(block):
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(
+            F.coalesce(combine(F.get(acc, F.size(acc) - 1), v), v))))
+
+    def blocks(a):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(_BLOCK))
+        return F.transform(starts, lambda at: few(F.slice(a, at + 1, F.lit(_BLOCK))))
+
+    def join(folded):
+        def shift(before):
+            return F.flatten(F.transform(folded, lambda block, k: _let(F.get(before, k - 1), lambda own: F.transform(
+                block, lambda v: F.coalesce(combine(own, v), v)))))
+
+        return _let(few(F.transform(folded, lambda block: F.element_at(block, -1))), shift)
+
+    return F.when(F.size(values) == 0, values).otherwise(_let(_let(values, blocks), join))
+
+
 def _spans(text: Column, kind: str, pattern: str, hint: str) -> Column:
     """All matches with positions: the text is split at the pattern, and the lengths of gaps and matches add up."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(found, lambda m, k: F.struct(F.element_at(gaps, k + 1).alias("gap"), m.alias("m"), F.element_at(gaps, k + 2).alias("next")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(acc, x):
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["gap"], F.lit(_BEFORE)).alias("before"),
-            F.left(x["next"], F.lit(_BEFORE)).alias("after")))).alias("out"))
+    def place(t):
+        gaps, found = t["gaps"], t["found"]
+        ends = _running(F.transform(found, lambda m, k: F.char_length(F.get(gaps, k)) + F.char_length(m)), lambda x, y: x + y)
+        return _let(ends, lambda end: F.transform(found, lambda m, k: F.struct(
+            F.lit(kind).alias("kind"), (F.get(end, k) - F.char_length(m)).alias("s"), F.get(end, k).alias("e"), m.alias("m"),
+            F.right(F.get(gaps, k), F.lit(_BEFORE)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(_BEFORE)).alias("after"))))
 
+    split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     has = text.contains(hint) if kind == "email" else text.rlike(hint)
-    return F.when(has, F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    return F.when(has, _let(split, place).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(m: Column) -> Column:
@@ -197,11 +224,26 @@ def _scan(docs: DataFrame, keep: list[Column], text: Column) -> DataFrame:
     return docs.select(*keep, *[c.alias(k) for k, c in base.items()], wide.alias("wide"))
 
 
+def _apart(base: Column, wide: Column) -> Column:
+    """The elements of ``wide`` that overlap no element of ``base``: in the order of starts, no base span before one may
+    reach beyond its start, and none behind it may start before its end."""
+    last = F.lit(2147483647)
+    mixed = F.array_sort(F.concat(F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(-1).alias("k"))),
+                                  F.transform(wide, lambda x, k: F.struct(x["s"].alias("s"), x["e"].alias("e"), k.alias("k")))))
+
+    def pick(items):
+        reach = _running(F.transform(items, lambda x: F.when(x["k"] < 0, x["e"]).otherwise(F.lit(0))), F.greatest)
+        following = F.reverse(_running(F.reverse(F.transform(items, lambda x: F.when(x["k"] < 0, x["s"]).otherwise(last))), F.least))
+        return _let(F.struct(reach.alias("reach"), following.alias("next")), lambda t: F.transform(F.filter(
+            items, lambda x, i: (x["k"] >= 0) & (F.get(t["reach"], i) <= x["s"]) & (F.get(t["next"], i) >= x["e"])), lambda x: F.get(wide, x["k"])))
+
+    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(_let(mixed, pick))
+
+
 def _found(scanned: DataFrame) -> DataFrame:
     """``row, method``: accepted proposals that do not overlap a base span, as (kind, s, e)."""
-    proposals = stored(scanned.where(F.size("wide") > 0).select("row", F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in BASE]).alias("base"),
-                                                               F.explode("wide").alias("x"))
-                       .where(~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"])))
+    base = F.concat(*[_bare(k) for k in BASE])
+    proposals = stored(scanned.where(F.size("wide") > 0).select("row", F.explode(_apart(base, F.col("wide"))).alias("x"))
                        .select("row", "x.kind", "x.s", "x.e", _votes().alias("votes"), _features().alias("features")), "proposals")
     return classify(proposals).where("accepted").groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("method"))
 
@@ -238,14 +280,24 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     spans = F.array_sort(F.transform(F.concat(*[_bare(k) for k in BASE], F.coalesce("method", F.array().cast(_NONE))),
                                      lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     text = F.coalesce(F.col("doc")[text_col], F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHUNK), F.lit(0))
+
+    def piece(held, a, b):
+        first = F.floor(a / _CHUNK).cast("int")
+        own = F.slice(held, first + 1, F.floor((b - 1) / _CHUNK).cast("int") - first + 1)
+        return F.when(a >= b, F.lit("")).otherwise(F.substring(F.array_join(own, ""), a % _CHUNK + 1, b - a))
+
+    def cut(t):
+        marks, held, reach = t["spans"], t["chunks"], t["reach"]
+
+        def replaced(x, k):
+            at = F.coalesce(F.get(reach, k - 1), F.lit(0))
+            return F.when(x["s"] < at, F.lit("")).otherwise(F.concat(piece(held, at, x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
 
-    def cut(acc, x):
-        inside = x["s"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("out"))
+        return F.concat(F.array_join(F.transform(marks, replaced), ""), piece(held, F.get(reach, F.size(reach) - 1), t["size"]))
 
-    clean = F.when(F.size("all") == 0, F.col("doc")[text_col]).otherwise(
-        F.aggregate("all", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647)))))
+    whole = F.struct(F.col("all").alias("spans"), chunks.alias("chunks"), F.char_length(text).alias("size"),
+                     _running(F.transform("all", lambda x: x["e"]), F.greatest).alias("reach"))
+    clean = F.when(F.size("all") == 0, F.col("doc")[text_col]).otherwise(_let(whole, cut))
     return joined.withColumn("all", spans).withColumn("clean", clean).select(
         *[F.col("clean").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in columns])
