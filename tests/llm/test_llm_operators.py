@@ -25,7 +25,8 @@ def _texts():
     base = say(120)
     out = [None, "", " \t\n", "one", "two words", base, base, base.replace(" ", "  ", 5), base + " end", say(30), "日本語 テキスト x y \r\n a\x1cb",
            "a  b\n\n\nc ", "word " * 3000, "MIT License and GNU General Public License\nLicensed under CC BY-NC 4.0.", "😀" * 50 + " é̀",
-           'mail a.b@c.example.org, 10.0.0.300 1.2.3.4, 4539 1488 0343 6467 +1 (212) 555-0100 token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "+1 2", "x@y"]
+           'mail a.b@c.example.org, 10.0.0.300 1.2.3.4, 4539 1488 0343 6467 +1 (212) 555-0100 token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "+1 2", "x@y",
+           "one <|endoftext|>two  <|endoftext|> <|startoftext|><|ENDOFTEXT|> \n<|endoftext|>"]
     return [(k, t) for k, t in enumerate(out + [say(200)] * 3)] + [(None, "no id"), (4, "two words")]
 
 
@@ -64,7 +65,6 @@ def _ids(path, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 

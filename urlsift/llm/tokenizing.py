@@ -93,19 +93,37 @@ def _pack(ids) -> bytes:
     return array("I", ids).tobytes()
 
 
+class SpecialTokens:
+    """Ids of texts that may spell added tokens of a ``tokenizer.json``: those get their own ids, as the library gives
+    them, and the parts between go to ``parts``. Tokens with options of their own leave such texts to the library."""
+
+    def __init__(self, spec: dict, tokenizer, parts):
+        added = spec.get("added_tokens") or []
+        self._ids = {t["content"]: _pack([t["id"]]) for t in added if t["content"]}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._ids, key=len, reverse=True))) + ")").split
+        self._bare = not any(t.get(option) for t in added for option in ("single_word", "lstrip", "rstrip", "normalized"))
+        self._tok, self._parts = tokenizer, parts
+
+    def __call__(self, text: str) -> bytes:
+        if not any([t in text for t in self._ids]):
+            return self._parts(text)
+        if not self._bare:
+            return _pack(self._tok.encode(text, add_special_tokens=False).ids)
+        return b"".join([self._ids[part] if k % 2 else self._parts(part) for k, part in enumerate(self._split(text))])
+
+
 class ByteLevelEncoder:
-    """Ids by a byte-level BPE ``tokenizer.json`` without special tokens; their strings in a text are text."""
+    """Ids by a byte-level BPE ``tokenizer.json``; none are added, and special tokens spelled in a text get their ids."""
 
     def __init__(self, path: str, pattern: str):
         import tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tok = tokenizers.Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._ranks = self._rank_encoder(spec, pattern)
-        self.ids = UnitIds(self._encode_unit)
+        self.ids = SpecialTokens(spec, self._tok, UnitIds(self._encode_unit))
 
     @staticmethod
     def _rank_encoder(spec: dict, pattern: str):
@@ -147,13 +165,13 @@ class WordEndEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tok = tokenizers.Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self._split = regex.compile(self._PIECES).findall
         self._core, self._to_id = self._rank_encoder(spec)
         self._code = self._core and self._core._core_bpe.encode_single_piece
         self._memo = Memo(self._encode_unit, 2 * MEMO_ENTRIES)
+        self.ids = SpecialTokens(spec, self._tok, self._units)
 
     def _rank_encoder(self, spec: dict):
         import tiktoken
@@ -198,7 +216,7 @@ class WordEndEncoder:
             return b"".join([to_id[r] for r in code(word.encode() + b"\xff")]) + self._memo[text[len(word):]]
         return b"".join([to_id[r] for piece in self._split(text) for r in code(piece.encode() + b"\xff")])
 
-    def ids(self, text: str) -> bytes:
+    def _units(self, text: str) -> bytes:
         return b"".join(map(self._memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
