@@ -1,34 +1,39 @@
 """Quality rules: base rules, then distribution divergence against language references.
 
 References are learned from the corpus itself, over every document that passes the base rules: per language, the
-histogram of character classes and the ``COMMON_WORDS`` most frequent words with their shares. A document is held
-against the reference of its language and, since language marks may be wrong, against all others; the nearest counts.
+histogram of character classes and the ``COMMON_WORDS`` most frequent words with their shares. Only a language with at
+least ``MIN_TEXTS`` distinct passing texts and ``MIN_REFERENCE_WORDS`` words makes a reference, and rows without a
+language mark never do, so no stray code vouches for the few rows that bear it. A document is held against the
+reference of its language less its own share in it and, since language marks may be wrong, against all others; the
+nearest counts. A language without a reference is judged by character classes alone, since its words are in none.
 Both histograms are compared by Jensen-Shannon divergence (base 2, 0 to 1) behind minimum-length guards, since short
 texts diverge by chance.
 
 Scale. Pass one counts words per task in a bounded table (flushed when full), sums them with a shuffle on (language,
 word) that no single word can make hot, because every task sends each word about once, and keeps the top words of
-each language by a ranked window with early limiting. Only that reference is broadcast: at most ``COMMON_WORDS`` words
+each language by a ranked window with early limiting. Distinct texts are counted up to ``MIN_TEXTS`` from the smallest
+hashes of each task. Only that reference is broadcast: at most ``COMMON_WORDS`` words
 for each language code, and codes are two or three letters (others count as one), which bounds it whatever the input.
 Pass two scores documents where they lie. Repeated windows are found by doubling (1, 2, 4, 8 words) on positions that
 still repeat, exactly and in memory linear in the document.
 
-Defined results. Null or empty text: no words, base_failed. Null language: compared with all references. Without any
-passing document there is no reference, and no document fails by divergence. Rows are judged one by one, so repeated
+Defined results. Null or empty text: no words, base_failed. Null language: compared with all references. Where no language
+has enough passing texts there is no reference, and no document fails by divergence. Rows are judged one by one, so repeated
 rows get equal verdicts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsift.llm.common import id_text, narrow_batches, stored, text_of, words_of
+from urlsift.llm.common import narrow_batches, stored, text_of, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -39,6 +44,8 @@ GUARD_CHARS = 400  # shorter texts are not judged by character classes
 GUARD_WORDS = 50  # nor by common words
 MAX_CLASS_DIVERGENCE = 0.1  # clean labelled texts stay below 0.07, symbol-ridden ones begin near 0.11
 MAX_WORD_DIVERGENCE = 0.26  # clean labelled texts stay below 0.19, tables and lists begin near 0.3
+MIN_TEXTS = 50  # distinct passing texts that a language needs to make a reference
+MIN_REFERENCE_WORDS = 5_000
 TABLE_WORDS = 150_000  # entries of a task's counting table before it is flushed
 
 CLASSES = ("lower", "upper", "digit", "space", "sentence", "symbol", "wide", "other")
@@ -135,14 +142,24 @@ def _language(col):
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.lit("und"))
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, kind ('class' or 'word'), key, n, total`` over all documents that pass the base rules."""
+def _lang_column(docs: DataFrame, lang_col: str) -> Column:
+    return F.coalesce(_language(F.col(f"`{lang_col}`")), F.lit("und")) if lang_col in docs.columns else F.lit("und")
+
+
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_texts: int = MIN_TEXTS,
+                        min_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
+    """``lang, kind ('class', 'word' or 'total'), key, n`` over all documents that pass the base rules, for the languages
+    with at least ``min_texts`` distinct such texts and ``min_words`` words."""
     narrow_batches(docs.sparkSession)
-    lang = _language(F.col(f"`{lang_col}`")) if lang_col in docs.columns else F.lit("und")
-    source = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
+    source = docs.select(_lang_column(docs, lang_col).alias("lang"), text_of(text_col).alias("text")).where("lang != 'und'")
 
     def count(batches):
-        counts, classes, totals = {}, {}, Counter()
+        import xxhash
+
+        counts, classes, totals, texts = {}, {}, Counter(), {}
+
+        def smallest(hashes):
+            return set(heapq.nsmallest(min_texts, hashes))
 
         def rows(table, kind):
             out = [(lang, kind, k, n) for lang, c in table.items() for k, n in c.items()]
@@ -159,28 +176,37 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                 if fails_base(len(words), repeated_words(words)):
                     continue
                 lang = langs[k]
+                own = texts.setdefault(lang, set())
+                own.add(xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")))
+                if len(own) > 2 * min_texts + 1000:
+                    texts[lang] = smallest(own)
                 counts.setdefault(lang, Counter()).update(words_of(text.lower()))
                 totals[lang] += len(words)
                 classes[lang] = classes.get(lang, 0) + class_counts(text)
             if sum(map(len, counts.values())) > TABLE_WORDS:
                 yield rows(counts, "word")
         yield rows(counts, "word")
-        yield rows({"total": totals}, "total")
+        yield rows({lang: {"": n} for lang, n in totals.items()}, "total")
+        yield rows({lang: dict.fromkeys(smallest(own), 1) for lang, own in texts.items()}, "text")
         yield rows({lang: dict(zip(CLASSES, map(int, c), strict=True)) for lang, c in classes.items()}, "class")
 
     raw = source.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
     raw = stored(raw, "reference-counts")
+    enough = (raw.where("kind in ('text', 'total')").groupBy("lang")
+              .agg(F.count_if(F.col("kind") == "text").alias("texts"), F.sum(F.when(F.col("kind") == "total", F.col("n"))).alias("words"))
+              .where((F.col("texts") >= min_texts) & (F.col("words") >= min_words)).select("lang"))
+    raw = raw.where("kind != 'text'").join(F.broadcast(enough), "lang", "left_semi")  # codes of two or three letters
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     top = raw.where("kind = 'word'").withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).drop("rank")  # limited before the shuffle
     return stored(raw.where("kind != 'word'").unionByName(top), "references")
 
 
-def _collect_references(references: DataFrame) -> list[tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """(class histogram, word to bin, word histogram with all other words last) per language. Bounded: see above."""
+def _collect_references(references: DataFrame) -> list[tuple[str, np.ndarray, dict[str, int], np.ndarray]]:
+    """(language, class histogram, word to bin, word histogram with all other words last). Bounded: see above."""
     classes, words, totals = {}, {}, {}
     for r in references.collect():
         if r.kind == "total":
-            totals[r.key] = r.n
+            totals[r.lang] = r.n
         elif r.kind == "class":
             classes.setdefault(r.lang, {})[r.key] = r.n
         else:
@@ -189,25 +215,30 @@ def _collect_references(references: DataFrame) -> list[tuple[np.ndarray, dict[st
     for lang in sorted(classes):
         top = sorted(words.get(lang, []))
         seen = sum(-n for n, _ in top)
-        out.append((np.array([classes[lang].get(c, 0) for c in CLASSES], float), {w: k for k, (_, w) in enumerate(top)},
+        out.append((lang, np.array([classes[lang].get(c, 0) for c in CLASSES], float), {w: k for k, (_, w) in enumerate(top)},
                     np.array([-n for n, _ in top] + [max(0, totals.get(lang, 0) - seen)], float)))
     return out
 
 
-def nearest(text: str, words: list[str], references) -> tuple[float, float]:
-    """Divergences of classes and of common words from the reference that is nearest by their sum."""
+def nearest(text: str, words: list[str], references, lang: str | None = None) -> tuple[float, float]:
+    """Divergences of classes and of common words from the reference that is nearest by their sum. The text's own counts
+    are taken out of the reference of its language, ``lang``."""
     best = (math.inf, 0.0, 0.0)
-    classes = class_counts(text).astype(float) if len(text) >= GUARD_CHARS else None
-    counts = Counter(words) if len(words) >= GUARD_WORDS else None
-    for ref_classes, bins, ref_words in references:
-        c = divergence(classes, ref_classes) if classes is not None else 0.0
+    unknown = lang not in (None, "und") and all(name != lang for name, *_ in references)
+    classes = class_counts(text).astype(float)
+    judge_classes = len(text) >= GUARD_CHARS
+    counts = Counter(words) if len(words) >= GUARD_WORDS and not unknown else None
+    for name, ref_classes, bins, ref_words in references:
+        c = 0.0
+        if judge_classes:
+            c = divergence(classes, np.maximum(ref_classes - classes, 0) if name == lang else ref_classes)
         w = 0.0
         if counts is not None:
             own = np.zeros(len(ref_words))
             for word, k in bins.items():
                 own[k] = counts.get(word, 0)
             own[-1] = len(words) - own.sum()
-            w = divergence(own, ref_words)
+            w = divergence(own, np.maximum(ref_words - own, 0) if name == lang else ref_words)
         best = min(best, (c / MAX_CLASS_DIVERGENCE + w / MAX_WORD_DIVERGENCE, c, w))
     return best[1:]
 
@@ -217,14 +248,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base counts, ``base_failed``, the two divergences and ``kept`` for every row of ``docs``."""
     found = references if references is not None else language_references(docs, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(_collect_references(found))
-    source = id_text(docs, id_col, text_col)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), _lang_column(docs, lang_col).alias("lang"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def judge(batches):
         for batch in batches:
             out = {n: [] for n in (*counts, "base_failed", "class_divergence", "word_divergence", "kept")}
-            for text in batch.column(1):
-                row = judged(text.as_py(), shared.value)
+            for text, lang in zip(batch.column(1), batch.column(2), strict=True):
+                row = judged(text.as_py(), shared.value, lang.as_py())
                 for n, column in out.items():
                     column.append(row[n])
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
@@ -236,10 +267,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                              + ", base_failed boolean, class_divergence double, word_divergence double, kept boolean").withColumnRenamed("id", id_col)
 
 
-def judged(text: str, references) -> dict:
+def judged(text: str, references, lang: str | None = None) -> dict:
     row = base_counts(text)
     failed = fails_base(row["n_words"], row["n_repeat_words"])
-    c, w = (0.0, 0.0) if failed or not references else nearest(text, words_of(text.lower()), references)
+    c, w = (0.0, 0.0) if failed or not references else nearest(text, words_of(text.lower()), references, lang)
     return row | {"base_failed": failed, "class_divergence": c, "word_divergence": w,
                   "kept": not failed and c <= MAX_CLASS_DIVERGENCE and w <= MAX_WORD_DIVERGENCE}
 
@@ -249,9 +280,9 @@ def keep_passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     shared = docs.sparkSession.sparkContext.broadcast(_collect_references(language_references(docs, text_col, lang_col)))
 
     @F.pandas_udf("boolean")
-    def passes(text):
+    def passes(text, lang):
         import pandas as pd
 
-        return pd.Series([judged(t, shared.value)["kept"] for t in text], dtype=bool)
+        return pd.Series([judged(t, shared.value, x)["kept"] for t, x in zip(text, lang, strict=True)], dtype=bool)
 
-    return docs.where(passes(text_of(text_col)))
+    return docs.where(passes(text_of(text_col), _lang_column(docs, lang_col)))
