@@ -56,6 +56,11 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, an outer expression is worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lower_az(col: Column) -> Column:
     """Lower-case the letters A-Z only."""
     return F.translate(col, UPPER_AZ, UPPER_AZ.lower())

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsift.llm.common import stored, text_of
+from urlsift.llm.common import let, stored, text_of
 
 # fixed values: the base patterns. A match can only begin where a run of its characters begins or the last match
 # ended, which the look-behind says, so that runs are not tried again from each of their characters.
@@ -65,11 +65,6 @@ _CHUNK = 4096  # characters of a text from which a piece is cut
 _SPAN = "array<struct<kind:string,s:int,e:int,m:string,before:string,after:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once: inside a lambda, an outer expression is worked out for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(values: Column, combine) -> Column:
     """``values`` (ints) folded from the first to each one, in blocks, so that appending copies no more than a block."""
 
@@ -83,12 +78,12 @@ def _running(values: Column, combine) -> Column:
 
     def join(folded):
         def shift(before):
-            return F.flatten(F.transform(folded, lambda block, k: _let(F.get(before, k - 1), lambda own: F.transform(
+            return F.flatten(F.transform(folded, lambda block, k: let(F.get(before, k - 1), lambda own: F.transform(
                 block, lambda v: F.coalesce(combine(own, v), v)))))
 
-        return _let(few(F.transform(folded, lambda block: F.element_at(block, -1))), shift)
+        return let(few(F.transform(folded, lambda block: F.element_at(block, -1))), shift)
 
-    return F.when(F.size(values) == 0, values).otherwise(_let(_let(values, blocks), join))
+    return F.when(F.size(values) == 0, values).otherwise(let(let(values, blocks), join))
 
 
 def _spans(text: Column, kind: str, pattern: str, hint: str) -> Column:
@@ -97,13 +92,13 @@ def _spans(text: Column, kind: str, pattern: str, hint: str) -> Column:
     def place(t):
         gaps, found = t["gaps"], t["found"]
         ends = _running(F.transform(found, lambda m, k: F.char_length(F.get(gaps, k)) + F.char_length(m)), lambda x, y: x + y)
-        return _let(ends, lambda end: F.transform(found, lambda m, k: F.struct(
+        return let(ends, lambda end: F.transform(found, lambda m, k: F.struct(
             F.lit(kind).alias("kind"), (F.get(end, k) - F.char_length(m)).alias("s"), F.get(end, k).alias("e"), m.alias("m"),
             F.right(F.get(gaps, k), F.lit(_BEFORE)).alias("before"), F.left(F.get(gaps, k + 1), F.lit(_BEFORE)).alias("after"))))
 
     split = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     has = text.contains(hint) if kind == "email" else text.rlike(hint)
-    return F.when(has, _let(split, place).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return F.when(has, let(split, place).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(m: Column) -> Column:
@@ -234,10 +229,10 @@ def _apart(base: Column, wide: Column) -> Column:
     def pick(items):
         reach = _running(F.transform(items, lambda x: F.when(x["k"] < 0, x["e"]).otherwise(F.lit(0))), F.greatest)
         following = F.reverse(_running(F.reverse(F.transform(items, lambda x: F.when(x["k"] < 0, x["s"]).otherwise(last))), F.least))
-        return _let(F.struct(reach.alias("reach"), following.alias("next")), lambda t: F.transform(F.filter(
+        return let(F.struct(reach.alias("reach"), following.alias("next")), lambda t: F.transform(F.filter(
             items, lambda x, i: (x["k"] >= 0) & (F.get(t["reach"], i) <= x["s"]) & (F.get(t["next"], i) >= x["e"])), lambda x: F.get(wide, x["k"])))
 
-    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(_let(mixed, pick))
+    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(let(mixed, pick))
 
 
 def _found(scanned: DataFrame) -> DataFrame:
@@ -298,6 +293,6 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
     whole = F.struct(F.col("all").alias("spans"), chunks.alias("chunks"), F.char_length(text).alias("size"),
                      _running(F.transform("all", lambda x: x["e"]), F.greatest).alias("reach"))
-    clean = F.when(F.size("all") == 0, F.col("doc")[text_col]).otherwise(_let(whole, cut))
+    clean = F.when(F.size("all") == 0, F.col("doc")[text_col]).otherwise(let(whole, cut))
     return joined.withColumn("all", spans).withColumn("clean", clean).select(
         *[F.col("clean").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in columns])
