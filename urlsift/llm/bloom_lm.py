@@ -8,8 +8,10 @@ bigrams share the filter, and the probability of a word after another interpolat
 Scale. Counting: every task reduces its bigrams to sorted 48-bit keys per shard before they are shuffled as arrays, so
 a frequent bigram costs one key per task, and the number of shards follows the input. Each shard then builds its own
 segment of the filter alone, with ``BITS_PER_ENTRY`` bits for each entry whatever their number. A filter of at most
-``max_bits`` (64 MB) is broadcast. A larger one stays where it is: each run of texts sends its distinct n-grams to their
-segments, once, as arrays, and gets their levels back. Both ways probe the same segments, so scores do not depend on it.
+``max_bits`` (64 MB) is broadcast. A larger one stays where it is: texts are taken in runs, each run sends its distinct
+n-grams to their segments, once, as sorted differences of four bytes, and gets their levels back, a byte each. What waits
+for them is the run's words as numbers in order of first use; its bigrams follow from those. Both ways probe the same
+segments, so scores do not depend on it. Shuffle files are released as soon as what they served is written.
 Every training bigram is stored, those seen once at level 1.
 The exact base score needs every word's count. Words at or above a count threshold, chosen from the histogram of counts
 so that at most ``TOP_WORDS`` are at or above it, are broadcast; the rest of each text's words, rare by construction, meet their
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from urlsift.llm.common import id_text, lower_words, partitions_for, stored
 
@@ -41,7 +44,8 @@ MAX_FILTER_BITS = 1 << 29
 TASK_KEYS = 2_000_000  # bigram keys a task gathers before it sends them
 TASK_WORDS = 300_000
 SHARD_KEYS = 2_000_000
-RUN_TOKENS = 300_000  # tokens scored together
+RUN_TOKENS = 1_000_000  # tokens scored together ...
+RUN_WORDS = 300_000  # ... and distinct words
 MU = 200.0
 KEY_BITS = 48
 
@@ -160,30 +164,60 @@ def word_counts(source: DataFrame) -> DataFrame:
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by shard, the bounds of each shard in it)"""
+    """(order of the keys by shard and value, the bounds of each shard in it)"""
     shard = keys % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((keys, shard))
     return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
-def _raw_keys(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def coded_keys(keys: np.ndarray, shards: int) -> bytes:
+    """Sorted keys of one shard as differences of four bytes; behind them the few that are wider, and how many these are."""
+    steps = np.diff(keys // np.uint64(shards), prepend=np.uint64(0))
+    wide = np.flatnonzero(steps >> np.uint64(32))
+    return b"".join((steps.astype("<u4").tobytes(), wide.astype("<u4").tobytes(), (steps[wide] >> np.uint64(32)).astype("<u4").tobytes(),
+                     np.array([len(wide)], "<u4").tobytes()))
 
 
-def _keys_of(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
+def keys_of(data: bytes, shard: int, shards: int) -> np.ndarray:
+    raw = np.frombuffer(data, "<u4")
+    wide = int(raw[-1])
+    n = len(raw) - 1 - 2 * wide
+    steps = raw[:n].astype(np.uint64)
+    steps[raw[n:n + wide]] += raw[n + wide:n + 2 * wide].astype(np.uint64) << np.uint64(32)
+    return np.cumsum(steps, dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+
+
+class _Numbers(dict):
+    """Words numbered in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def run_ngrams(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of a run's distinct words, then of its distinct bigrams; at which of them each word and each bigram is)"""
+    pairs, at = np.unique(bigram_keys(hashes[words]), return_inverse=True)
+    return np.concatenate([unigram_keys(hashes), pairs]), words, at + len(hashes)
+
+
+def _planes(words: np.ndarray) -> bytes:
+    """Word numbers byte by byte, all low bytes first: the high ones are nearly all zero and compress."""
+    return words.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def filter_segments(source: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
     """``shard, data, bits``: segments of the filter over all training bigrams and all unigrams."""
 
     def blobs(keys: np.ndarray, n: np.ndarray):
-        """Sorted 48-bit keys, per shard, as arrays of 6 bytes; counts beyond one apart."""
+        """Sorted 48-bit keys, per shard, as differences; counts beyond one apart."""
         order, cuts = _by_shard(keys, shards)
-        n, raw = n[order], _raw_keys(keys[order])
-        out = [(s, raw[a:b].tobytes(), (many := np.flatnonzero(n[a:b] > 1)).astype("<u4").tobytes(), n[a:b][many].astype("<i8").tobytes())
+        n, keys = n[order], keys[order]
+        out = [(s, coded_keys(keys[a:b], shards), (many := np.flatnonzero(n[a:b] > 1)).astype("<u4").tobytes(), n[a:b][many].astype("<i8").tobytes())
                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
@@ -230,9 +264,10 @@ def filter_segments(source: DataFrame, counts: DataFrame, shards: int) -> DataFr
                     yield close()
                     held = []
                 shard = s
-                own = np.ones(len(keys) // 6, np.int64)
+                keys = keys_of(keys, s, shards)
+                own = np.ones(len(keys), np.int64)
                 own[np.frombuffer(many, "<u4")] = np.frombuffer(n, "<i8")
-                held.append((_keys_of(keys), own))
+                held.append((keys, own))
         if held:
             yield close()
 
@@ -265,7 +300,7 @@ def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataF
                 if run is None:
                     bloom = LogBloom([np.frombuffer(data, np.uint8)], 1)
                     continue
-                keys = _keys_of(data)
+                keys = keys_of(data, shard, shards)
                 levels = bloom.levels(keys) if bloom is not None else np.zeros(len(keys), np.int64)
                 for column, value in zip(out, (run, shard, levels.astype(np.uint8).tobytes()), strict=True):
                     column.append(value)
@@ -276,31 +311,32 @@ def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataF
             .mapInArrow(answer, "run long, shard int, levels binary"))
 
 
-def run_scores(runs: DataFrame, levels: DataFrame, probabilities, parts: int) -> DataFrame:
-    """``row, score``: each run (``run, at, lengths``) meets the levels of its distinct n-grams, in the order of shards."""
+def run_scores(runs: DataFrame, levels: DataFrame, probabilities, shards: int, parts: int) -> DataFrame:
+    """``row, score``: each run (``run, words, hashes, lengths``) meets the levels of its distinct n-grams, which come by shard."""
 
-    def close(run, at, lengths, held):
-        level = np.frombuffer(b"".join(held), np.uint8)[np.frombuffer(at, "<u4")].astype(np.int64)
-        lengths = np.frombuffer(lengths, "<i8")
-        n = int(lengths.sum())
-        scores = probabilities(level[:n], level[n:], lengths)
+    def close(run, words, hashes, lengths, held):
+        keys, uni_at, pair_at = run_ngrams(np.frombuffer(hashes, "<u8"), _numbers(words))
+        level = np.empty(len(keys), np.int64)
+        level[_by_shard(keys, shards)[0]] = np.frombuffer(b"".join(held), np.uint8)
+        scores = probabilities(level[uni_at], level[pair_at], np.frombuffer(lengths, "<i8"))
         return pa.RecordBatch.from_arrays([pa.array(run + np.arange(len(scores)), pa.int64()), pa.array(scores, pa.float64())], names=["row", "score"])
 
     def score(batches):
         now, held = None, []
         for batch in batches:
-            for run, _, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at is None:
+            for run, _, words, hashes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if words is None:
                     held.append(data)
                     continue
                 if now is not None:
                     yield close(*now, held)
-                now, held = (run, at, data), []
+                now, held = (run, words, hashes, data), []
         if now is not None:
             yield close(*now, held)
 
-    both = runs.select("run", F.lit(-1).alias("shard"), "at", F.col("lengths").alias("data")).unionByName(
-        levels.select("run", "shard", F.lit(None).cast("binary").alias("at"), F.col("levels").alias("data")))
+    none = F.lit(None).cast("binary")
+    both = runs.select("run", F.lit(-1).alias("shard"), "words", "hashes", F.col("lengths").alias("data")).unionByName(
+        levels.select("run", "shard", none.alias("words"), none.alias("hashes"), F.col("levels").alias("data")))
     return both.repartition(parts, "run").sortWithinPartitions("run", "shard").mapInArrow(score, "row long, score double")
 
 
@@ -333,64 +369,60 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     space = max(n_train + 0.5 * (vocabulary + 1), 1.0)
     log_space = math.log10(space)
     kind = source.schema["id"].dataType.simpleString()
+    id_type = to_arrow_type(source.schema["id"].dataType)
 
     def score(batches):
         from pyspark import TaskContext
 
         bloom, top = model.value
         row = TaskContext.get().partitionId() << 33
+        numbers, texts, ids, held = _Numbers(), [], [], []
+        size = 0
         for batch in batches:
-            out, run, size, first = [[] for _ in range(9)], [], 0, row
-            for text in batch.column(1):
+            for key, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = tokens(text.as_py())
-                rare: Counter = Counter()
-                known, base = 0, 0.0
-                own = Counter(words)
-                own[END] += 1
-                for w, n in own.items():
-                    c = top.get(w)
-                    if c is None:
-                        rare[w] = n
-                    else:
-                        known += n
-                        base += n * math.log10(c + 0.5)
-                for column, value in zip(out, (len(words) + 1, known, base, list(rare), list(rare.values())), strict=False):
-                    column.append(value)
-                run.append(words)
-                row += 1
+                texts.append(np.fromiter(map(numbers.__getitem__, (END, *words, END)), np.int64, len(words) + 2))
+                ids.append(key)
+                held.append(out)
                 size += len(words) + 2
-                if size > RUN_TOKENS:
-                    close(out, run, bloom)
-                    run, size = [], 0
-            if run:
-                close(out, run, bloom)
-            rows = pa.array(np.arange(first, row), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(out, (
-                pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary(),
-                pa.list_(pa.struct([("shard", pa.int32()), ("keys", pa.binary())]))), strict=True)), rows],
-                names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score", "at", "lengths", "asked", "row"])
-
-    def close(out: list[list], run: list[list[bytes]], bloom: LogBloom | None) -> None:
-        """Scores of a run, or what it asks the segments for, beside the run's first text."""
-        hashes = word_hashes([w for words in run for w in (END, *words, END)])
-        lengths = np.array([len(words) + 2 for words in run], np.int64)
-        uni_keys, uni_at = np.unique(unigram_keys(hashes), return_inverse=True)
-        pair_keys, pair_at = np.unique(bigram_keys(hashes), return_inverse=True)
-        rest = [None] * (len(run) - 1)
+                if size > RUN_TOKENS or len(numbers) > RUN_WORDS:
+                    yield close(row, numbers, texts, ids, held, bloom, top)
+                    row += len(ids)
+                    numbers, texts, ids, held = _Numbers(), [], [], []
+                    size = 0
+        if ids:
+            yield close(row, numbers, texts, ids, held, bloom, top)
+
+    def close(row: int, numbers: dict, texts: list, ids: list, held: list, bloom: LogBloom | None, top: dict) -> pa.RecordBatch:
+        """The rows of a run: sums over the frequent words, the rare ones, and scores, or, beside its first row, what it asks the segments for."""
+        vocab = list(numbers)
+        counts = np.array([top.get(w, 0) for w in vocab], np.int64)
+        logs = np.where(counts > 0, np.log10(counts + 0.5), 0.0)
+        known, base, rare, rare_n = [], [], [], []
+        for own in texts:
+            own = own[1:]  # a text's own tokens: words and the end
+            found = counts[own] > 0
+            words, n = np.unique(own[~found], return_counts=True)
+            known.append(int(found.sum()))
+            base.append(float(logs[own].sum()))
+            rare.append([vocab[w] for w in words])
+            rare_n.append(n)
+        hashes, words, lengths = word_hashes(vocab), np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
+        keys, uni_at, pair_at = run_ngrams(hashes, words)
+        rest = [None] * (len(ids) - 1)
         if bloom is not None:  # each distinct n-gram of the run is probed once
-            out[5] += probabilities(bloom.levels(uni_keys)[uni_at], bloom.levels(pair_keys)[pair_at], lengths)
-            request = (None, None, None)
+            level = bloom.levels(keys)
+            scores, request = probabilities(level[uni_at], level[pair_at], lengths), [None] * 4
         else:
-            keys = np.concatenate([uni_keys, pair_keys])
             order, cuts = _by_shard(keys, shards)
-            place = np.empty(len(keys), np.int64)
-            place[order] = np.arange(len(keys))
-            raw = _raw_keys(keys[order])
-            out[5] += [None] * len(run)
-            request = (place[np.concatenate([uni_at, pair_at + len(uni_keys)])].astype("<u4").tobytes(), lengths.astype("<i8").tobytes(),
-                       [{"shard": s, "keys": raw[a:b].tobytes()} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
-        for column, value in zip(out[6:], request, strict=True):
-            column += [value, *rest]
+            keys, scores = keys[order], [None] * len(ids)
+            request = [_planes(words), hashes.astype("<u8").tobytes(), lengths.astype("<i8").tobytes(),
+                       [{"shard": s, "keys": coded_keys(keys[a:b], shards)} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            (ids, held, lengths - 1, known, base, rare, rare_n, scores, *([r, *rest] for r in request), row + np.arange(len(ids))), (
+                id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary(),
+                pa.binary(), pa.list_(pa.struct([("shard", pa.int32()), ("keys", pa.binary())])), pa.int64()), strict=True)],
+            names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score", "words", "hashes", "lengths", "asked", "row"])
 
     def probabilities(uni: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> list[float]:
         """Log10 probabilities of several texts from the levels of their words and of their pairs of words."""
@@ -403,13 +435,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     scored = stored(source.select("id", "text", "held_out").mapInArrow(
         score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double, "
-               "at binary, lengths binary, asked array<struct<shard: int, keys: binary>>, row long"), "scored")
+               "words binary, hashes binary, lengths binary, asked array<struct<shard: int, keys: binary>>, row long"), "scored")
     if apart:
-        runs = scored.where("at is not null").withColumnRenamed("row", "run")
+        runs = scored.where("words is not null").withColumnRenamed("row", "run")
         levels = levels_at_segments(built, runs.select("run", F.inline("asked")), shards)
-        scores = run_scores(runs, levels, probabilities, partitions_for(n_train, SHARD_KEYS, 16))
+        scores = run_scores(runs, levels, probabilities, shards, partitions_for(n_train, SHARD_KEYS, 16))
         scored = scored.drop("score").join(stored(scores, "scores"), "row")
-    scored = scored.drop("at", "lengths", "asked")
+    scored = scored.drop("words", "hashes", "lengths", "asked")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
     met = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("base"), "times")
     unmet = scored.select("row", "known", "base", F.lit(0).cast("long").alias("times"))

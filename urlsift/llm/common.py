@@ -20,6 +20,7 @@ from urlsift.session import checkpoint_dir
 
 # the six ASCII white-space characters of the text contracts
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,7 +28,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, keeps column pruning."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/urlsift-llm/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")  # the shuffle files of this write serve nothing else
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
