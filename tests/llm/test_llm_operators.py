@@ -168,10 +168,10 @@ def test_quality_counts_against_brute_force(docs, empty):
 def test_main_text_of_awkward_pages(spark):
     page = ('<html><head><title>t</title></head><body><nav>menu</nav><div class="sidebar">side</div><article><h1>A &amp; B</h1><p>one\n two<br>three'
             '<p>four <b>five</b></p><div class="comments"><p>reader</p></div><form><p>f</p></form><script>var a="<p>x</p>";</script></article><footer>foot</footer>')
-    assert template_extract.main_text(page) == "A & B\none two three\nfour five"
     shell = "<body><div>Site name</div><div>Log in</div><div>About us</div><p>Text {k} here</p></body>"
     rows = [(k, "http://h.example.org/a", shell.replace("{k}", str(k))) for k in range(6)] + [(9, None, None), (10, None, ""), (3, "http://z.example.org", page)]
     got = {(r.page_id, r.url): (r.text, r.n_chars) for r in template_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3, "http://z.example.org"][0] == "A & B\none two three\nfour five"
     assert got[2, "http://h.example.org/a"] == ("Text 2 here", 11) and got[9, None] == ("", 0)
     assert template_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -183,7 +183,7 @@ def test_articles_in_furniture_do_not_hide_the_main_text(spark):
     rows = [(k, "http://h.example.org/a", f"<body>{shapes[k % 2]}</body>".replace("{k}", str(k))) for k in range(6)]
     for r in template_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         want = " ".join([f"A long first paragraph of page {r.page_id}."] * 5) + f"\nSecond of {r.page_id}"
-        assert r.text == want + f"\nteaser {r.page_id}" * (r.page_id % 2) == template_extract.main_text(rows[r.page_id][2])
+        assert r.text == want + f"\nteaser {r.page_id}" * (r.page_id % 2)
 
 
 def test_lm_base_score_is_exact_and_model_learns(spark, docs, empty, monkeypatch):

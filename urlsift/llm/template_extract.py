@@ -1,22 +1,28 @@
 """Main text of HTML pages by template deduction.
 
-Tokens are tags (by their path of open elements) and text blocks (by path and text). Tokens that have the same
-occurrence vector over the pages of a host, the same number of times on the same pages, form an equivalence class.
-A class is valid if it occurs on enough pages of its host, has enough tokens, and its tokens come in one order,
-without crossing, on all of them. The valid classes, nested, are the host's template: tag tokens are its skeleton and
-text tokens its fixed wording; what lies between them are the slots. The main text is read from the slots inside the
-article (or main) element; without one, or if its text is under ``MIN_MARKED`` of it, from all slots outside elements that are furniture by their meaning (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), leaving out the template's own wording.
-
-Scale. An occurrence vector is never gathered: its fingerprint is the sum of hash(page, count) over pages, so classes
-come from one aggregation per (host, token) with partial sums, and a host with a third of all pages is no special
-case. Order is checked the same way, from one hash of a class's token order for each page. Only token hashes move, never page
-text. A token's path has bounded influence (its hash), and only tokens outside the article are candidates. The template wording that is left is joined back
-as a list of block hashes per page.
+Tokens of a page are its start tags (by their path of open elements with their classes, digits left out) and its text
+blocks (by path and text). Over the distinct pages of a host, copies counting once, tokens with the same occurrence
+vector (the same number of times on the same pages) form an equivalence class. A class is valid if it is on at least
+``MIN_PAGES`` distinct pages, has ``MIN_TOKENS`` tokens and these come in one order on every page. Valid classes nest: a
+token hangs from the start tag of the element it stands in. Tag tokens of valid classes are the template's skeleton;
+a text token is its fixed wording if it is on at least ``MIN_SHARE`` of the pages that have its element, so that several
+layouts on one host each have their own wording; inside an article wording needs more support (``MAIN_PAGES``, ``MAIN_SHARE``),
+for the copies of a passage are not a template. What is left of a page, wording taken out, are the slots, each under the
+innermost skeleton element around it.
+
+Which slots are the main text is checked by what elements mean (names, classes, roles): never those of menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments; of the others, those in article or main
+elements. If these hold no first-level heading and under ``MIN_MARKED`` of the running text (blocks of ``RUNNING_WORDS`` words) they
+are teasers or the like, and all slots are the main text.
+
+Scale. Every page is parsed once. An occurrence vector is never gathered: its fingerprint is the sum of hash(page, count)
+over pages, so classes come from one aggregation per (host, token) with partial sums, and a host with a third of all pages
+is no special case. Copies are found by a hash of a page's tokens. Order is checked the same way, from one hash of a class's
+token order for each page. Only token hashes move; a page's blocks wait for the list of those that are wording.
 
 Defined results. Null or empty html: empty text. Null urls share one host. Repeated page ids are judged one by one, by
-row. White space inside a block becomes one space; blocks are joined in page order by a line feed. An empty table
-gives an empty result.
+row. White space inside a block becomes one space; blocks are joined in page order by a line feed. Hosts with under
+``MIN_PAGES`` distinct pages have no template: their pages are one slot. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +37,12 @@ from pyspark.sql import functions as F
 
 from urlsift.llm.common import narrow_batches, stored
 
-MIN_PAGES = 3  # pages of a host a class must cover ...
-MIN_SHARE = 0.5  # ... and the share of its pages
+MIN_PAGES = 3  # distinct pages of a host a class must cover
 MIN_TOKENS = 3
-MIN_MARKED = 0.25  # share of the slots' text that marked main text must have; teasers and comments may be articles too
+MIN_SHARE = 0.5  # of the pages that have its element, the share with a text that is wording
+MAIN_PAGES, MAIN_SHARE = 20, 0.9  # the same two bounds for wording inside an article
+MIN_MARKED = 0.25  # share of the running text that marked text without a first-level heading must have
+RUNNING_WORDS = 8
 
 # elements without an end tag, elements that end a block, elements whose content is not text, and furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,27 +63,30 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*
 _ATTRIBUTE = re.compile(r"(?<!\S)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/>]|\Z)", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 # an open paragraph or list item is closed by the start of these
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 
 
 class Block:
-    __slots__ = ("text", "path", "furniture", "main")
+    __slots__ = ("text", "path", "furniture", "main", "heading", "at")
 
-    def __init__(self, text, path, furniture, main):
-        self.text, self.path, self.furniture, self.main = text, path, furniture, main
+    def __init__(self, text, path, furniture, main, heading, at):
+        self.text, self.path, self.furniture, self.main, self.heading, self.at = text, path, furniture, main, heading, at
 
 
-def _traits(name: str, attributes: str) -> tuple[bool, bool]:
-    """(furniture, main) of an element by its name, class, id and role."""
-    furniture, main = name in FURNITURE, name in ("article", "main")
+def _traits(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """(furniture, main, label) of an element by its name, class, id and role."""
+    furniture, main, label = name in FURNITURE, name in ("article", "main"), name
     if attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 furniture |= FURNITURE_MARKS.search(value) is not None and name not in ("body", "html", "article", "main")
                 main |= MAIN_MARKS.search(value) is not None
+                if key == "class" and name not in ("body", "html"):
+                    label = f"{name}.{_DIGITS.sub('', value)}"
             elif key == "role":
                 furniture |= value.lower() in FURNITURE_ROLES
                 main |= value.lower() in ("main", "article")
@@ -83,23 +94,23 @@ def _traits(name: str, attributes: str) -> tuple[bool, bool]:
                 main |= value.lower() == "articlebody"
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 furniture = True
-    return furniture, main
+    return furniture, main, label
 
 
-def parse(html: str) -> tuple[list[Block], list[str]]:
-    """Text blocks in page order and the tag tokens (paths of start tags) of a page. Unclosed, crossing and cut-off
+def parse(html: str) -> tuple[list[Block], list[tuple[str, int]]]:
+    """Text blocks in page order and the start tags (path, place) of a page; places count both. Unclosed, crossing and cut-off
     markup is read leniently: an end tag without a start is ignored."""
     blocks, tags = [], []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, silent, furniture, main
+    stack = [("", False, False, False, False, "")]  # name, silent, furniture, main, heading, path
     run: list[str] = []
 
     def close_block():
         if run:
             text = _SPACE.sub(" ", htmllib.unescape("".join(run)).replace("\x00", "")).strip()
             run.clear()
-            name, silent, furniture, main = stack[-1]
+            _, silent, furniture, main, heading, path = stack[-1]
             if text and not silent:
-                blocks.append(Block(text, "/".join(s[0] for s in stack[1:]), furniture, main))
+                blocks.append(Block(text, path, furniture, main, heading, len(blocks) + len(tags)))
 
     def pop_to(k: int):
         del stack[k:]
@@ -156,12 +167,13 @@ def parse(html: str) -> tuple[list[Block], list[str]]:
             if name in _RAW_END:
                 stop = _RAW_END[name].search(html, at)
                 at = stop.end() if stop else end
-                tags.append("/".join([*(s[0] for s in stack[1:]), name]))
+                tags.append((f"{stack[-1][5]}/{name}", len(blocks) + len(tags)))
                 continue
-            furniture, main = _traits(name, attributes)
-            _, silent, in_furniture, in_main = stack[-1]
-            stack.append((name, silent or name in SILENT, furniture or in_furniture, main or in_main))
-            tags.append("/".join(s[0] for s in stack[1:]))
+            furniture, main, label = _traits(name, attributes)
+            _, silent, in_furniture, in_main, in_heading, path = stack[-1]
+            path = f"{path}/{label}"
+            stack.append((name, silent or name in SILENT, furniture or in_furniture, main or in_main, in_heading or name == "h1", path))
+            tags.append((path, len(blocks) + len(tags)))
     close_block()
     return blocks, tags
 
@@ -170,69 +182,75 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _block_hash(block: Block) -> int:
-    return _hash("text", block.path, block.text)
-
-
-def _marked(blocks: list[Block]) -> tuple[str, bool]:
-    """The text that elements mark as main content, and whether it may be too little to be the page's main text."""
-    own = [b for b in blocks if not b.furniture]
-    text = "\n".join(b.text for b in own if b.main)
-    return text, not text or len(text) < MIN_MARKED * len("\n".join(b.text for b in own))
-
-
-def page_tokens(html: str) -> list[tuple[int, bool, int, int]]:
-    """(token, is text, times on the page, first position) of all tokens outside main content."""
-    blocks, tags = parse(html)
-    little = _marked(blocks)[1]
+def page_tokens(blocks: list[Block], tags: list[tuple[str, int]]) -> tuple[int, list[tuple[int, int, bool, bool, int, int]]]:
+    """(hash of the whole token list, its distinct tokens as (token, token of the element around it, is text, in main
+    content, times on the page, first place))"""
+    every = sorted([(at, _hash("tag", path), _hash("tag", path.rpartition("/")[0]), False, False) for path, at in tags]
+                   + [(b.at, _hash("text", b.path, b.text), _hash("tag", b.path), True, b.main) for b in blocks])
     seen: dict[int, list] = {}
-    for k, (token, is_text) in enumerate([*((_hash("tag", t), False) for t in tags),
-                                          *((_block_hash(b), True) for b in blocks if little or not b.main)]):
-        own = seen.setdefault(token, [is_text, 0, k])
-        own[1] += 1
-    return [(token, t, n, at) for token, (t, n, at) in seen.items()]
+    for at, token, parent, is_text, main in every:
+        seen.setdefault(token, [parent, is_text, main, 0, at])[3] += 1
+    return _hash(*(str(t[1]) for t in every)), [(token, *own) for token, own in seen.items()]
 
 
-def main_text(html: str, template: set[int] | frozenset = frozenset()) -> str:
-    blocks, _ = parse(html)
-    text, little = _marked(blocks)
-    slots = "\n".join(b.text for b in blocks if not b.furniture and _block_hash(b) not in template) if little else ""
-    return slots if len(text) < MIN_MARKED * len(slots) else text
+TOKEN = "struct<token: bigint, parent: bigint, is_text: boolean, main: boolean, times: int, at: int>"
+BLOCK_ROW = "struct<token: bigint, text: string, furniture: boolean, main: boolean, heading: boolean, running: boolean>"
 
 
-def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``host, token, is_text`` of all valid equivalence classes."""
-    source = pages.select(_host(url_col).alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
+def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``row, id, url, host, copy, tokens, blocks``, stored: each page's tokens and text blocks; ``copy`` is the hash of its tokens."""
+    source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), _host(url_col).alias("host"),
+                          F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    own_types = [pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("main", pa.bool_()), ("times", pa.int32()), ("at", pa.int32())]),
+                 pa.struct([("token", pa.int64()), ("text", pa.string()), ("furniture", pa.bool_()), ("main", pa.bool_()), ("heading", pa.bool_()), ("running", pa.bool_())])]
 
-    def tokens(batches):
+    def read(batches):
         from pyspark import TaskContext
 
-        page = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            host, rows = [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                page += 1
-                own = page_tokens(text.as_py())
-                host += [h] * len(own)
-                rows += [(page, *r) for r in own]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array(c, t) for c, t in zip(
-                columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()), strict=True))], names=["host", "page", "token", "is_text", "times", "at"])
-
-    seen = stored(source.mapInArrow(tokens, "host string, page long, token long, is_text boolean, times int, at int"), "page-tokens")
-    n_pages = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+            copies, tokens, texts = [], [], []
+            for html in batch.column(3):
+                blocks, tags = parse(html.as_py())
+                copy, own = page_tokens(blocks, tags)
+                copies.append(copy)
+                tokens.append([dict(zip(("token", "parent", "is_text", "main", "times", "at"), t, strict=True)) for t in own])
+                texts.append([{"token": _hash("text", b.path, b.text), "text": b.text, "furniture": b.furniture, "main": b.main, "heading": b.heading,
+                               "running": len(b.text.split(None, RUNNING_WORDS)) >= RUNNING_WORDS} for b in blocks])
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, *(batch.column(k) for k in range(3)), pa.array(copies, pa.int64()), pa.array(tokens, pa.list_(own_types[0])),
+                                              pa.array(texts, pa.list_(own_types[1]))], names=["row", "id", "url", "host", "copy", "tokens", "blocks"])
+
+    return stored(source.mapInArrow(read, f"row long, id {kinds['id']}, url {kinds['url']}, host string, copy long, tokens array<{TOKEN}>, blocks array<{BLOCK_ROW}>"),
+                  "page-blocks")
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """``host, token, parent, is_text, class``: the template of each host, from the pages of ``parsed_pages``. ``parent`` is
+    the start tag a token hangs from; of the text tokens only wording is listed."""
+    first = parsed.groupBy("host", "copy").agg(F.min("row").alias("row"))
+    seen = parsed.select("row", "tokens").join(first.select("row", "host"), "row").select("host", F.col("row").alias("page"), F.inline("tokens"))
     # the fingerprint of the occurrence vector: two sums of 31-bit hashes that cannot overflow
-    vector = seen.groupBy("host", "token", "is_text").agg(
-        F.count(F.lit(1)).alias("support"), F.sum(F.shiftrightunsigned(F.xxhash64("page", "times"), 33)).alias("f1"),
-        F.sum(F.shiftrightunsigned(F.xxhash64("times", "page", F.lit(7)), 33)).alias("f2"))
-    frequent = vector.where(F.col("support") >= MIN_PAGES).join(n_pages, "host").where(F.col("support") >= MIN_SHARE * F.col("pages"))
-    member = stored(frequent.select("host", "token", "is_text", F.xxhash64("support", "f1", "f2").alias("class")), "classes")
+    vector = stored(seen.groupBy("host", "token").agg(
+        F.first("parent").alias("parent"), F.first("is_text").alias("is_text"), F.max("main").alias("main"), F.count(F.lit(1)).alias("support"),
+        F.sum(F.shiftrightunsigned(F.xxhash64("page", "times"), 33)).alias("f1"),
+        F.sum(F.shiftrightunsigned(F.xxhash64("times", "page", F.lit(7)), 33)).alias("f2")).where(F.col("support") >= MIN_PAGES), "vectors")
+    member = vector.withColumn("class", F.xxhash64("support", "f1", "f2"))
     sizes = member.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= MIN_TOKENS)
-    # one order on every page: positions of a class's tokens on a page, sorted, hashed; one hash per class if valid
-    per_page = seen.join(member.join(sizes.select("host", "class"), ["host", "class"], "left_semi"), ["host", "token", "is_text"]).groupBy("host", "class", "page").agg(
+    member = stored(member.join(sizes.select("host", "class"), ["host", "class"], "left_semi"), "classes")
+    # one order on every page: a class's tokens by first place on a page, hashed; one hash per class if valid
+    per_page = seen.select("host", "page", "token", "at").join(member.select("host", "class", "token"), ["host", "token"]).groupBy("host", "class", "page").agg(
         F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order"))
     valid = per_page.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b")
-    return member.join(valid.select("host", "class"), ["host", "class"], "left_semi").select("host", "token", "is_text")
+    member = member.join(valid.select("host", "class"), ["host", "class"], "left_semi")
+    around = vector.where("not is_text").select("host", F.col("token").alias("parent"), F.col("support").alias("pages"))
+    share = F.col("support") / F.col("pages")
+    wording = F.when(F.col("main"), (F.col("support") >= MAIN_PAGES) & (share >= MAIN_SHARE)).otherwise(share >= MIN_SHARE)
+    # text outside any element hangs from nothing and is held against its own pages
+    return member.join(around, ["host", "parent"], "left").withColumn("pages", F.coalesce("pages", "support")).where(~F.col("is_text") | wording).select(
+        "host", "token", "parent", "is_text", "class")
 
 
 def _host(url_col: str):
@@ -242,29 +260,20 @@ def _host(url_col: str):
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, text, n_chars`` for every row of ``pages``."""
     narrow_batches(pages.sparkSession)
-    wording = stored(templates(pages, html_col, url_col).where("is_text").select("host", "token"), "wording")
-    source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), _host(url_col).alias("host"),
-                          F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-
-    def split(batches):
-        """The marked main text and, where there is none or little of it, each block with its hash."""
-        for batch in batches:
-            texts, loose = [], []
-            for html in batch.column(3):
-                blocks, _ = parse(html.as_py())
-                text, little = _marked(blocks)
-                texts.append(text)
-                loose.append([] if not little else [{"token": _block_hash(b), "text": b.text} for b in blocks if not b.furniture])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array(
-                loose, pa.list_(pa.struct([("token", pa.int64()), ("text", pa.string())])))], names=["id", "url", "host", "text", "loose"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    parts = stored(source.mapInArrow(split, f"id {kinds['id']}, url {kinds['url']}, host string, text string, loose array<struct<token: bigint, text: string>>")
-                   .withColumn("row", F.monotonically_increasing_id()), "page-blocks")
-    blocks = parts.where("size(loose) > 0").select("row", "host", F.posexplode("loose").alias("at", "b")).select("row", "host", "at", "b.token", "b.text")
-    slots = blocks.join(wording, ["host", "token"], "left_anti").groupBy("row").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("slots"))
-    text = F.when(F.char_length("text") < MIN_MARKED * F.char_length("slots"), F.col("slots")).otherwise(F.col("text"))
-    whole = (parts.where("size(loose) = 0").select("id", "url", "text")
-             .unionByName(parts.where("size(loose) > 0").select("row", "id", "url", "text").join(slots, "row", "left").select("id", "url", text.alias("text"))))
-    return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    parsed = parsed_pages(pages, id_col, url_col, html_col)
+    wording = stored(templates(parsed).where("is_text").select("host", "token"), "wording")
+    fixed = (parsed.select("row", "host", F.inline("tokens")).where("is_text").join(wording, ["host", "token"])
+             .groupBy("row").agg(F.collect_set("token").alias("fixed")))  # a page's own wording, at most its tokens
+
+    def joined(blocks):
+        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+
+    none = F.array().cast("array<bigint>")
+    slots = parsed.select("row", "id", "url", "blocks").join(fixed, "row", "left").select("id", "url", F.filter(
+        "blocks", lambda b: ~b["furniture"] & ~F.array_contains(F.coalesce("fixed", none), b["token"])).alias("slots"))
+    marked = slots.select("id", "url", "slots", F.filter("slots", lambda b: b["main"]).alias("marked"))
+    main, every = joined(F.col("marked")), joined(F.col("slots"))
+    running = F.char_length(joined(F.filter("slots", lambda b: b["running"] & ~b["main"])))
+    enough = F.exists("marked", lambda b: b["heading"]) | (F.size("marked") > 0) & (F.char_length(main) >= MIN_MARKED * (F.char_length(main) + running))
+    return marked.select("id", "url", F.when(enough, main).otherwise(every).alias("text")).select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
