@@ -8,9 +8,9 @@ bigrams share the filter, and the probability of a word after another interpolat
 Scale. Counting: every task reduces its bigrams to sorted 48-bit keys per shard before they are shuffled as arrays, so
 a frequent bigram costs one key per task, and the number of shards follows the input. Each shard then builds its own
 segment of the filter alone, with ``BITS_PER_ENTRY`` bits for each entry whatever their number. A filter of at most
-``max_bits`` (64 MB) is broadcast. A larger one stays where it is: texts are taken in runs, each run sends its distinct
-n-grams to their segments, once, as sorted differences of four bytes, and gets their levels back, a byte each. What waits
-for them is the run's words as numbers in order of first use; its bigrams follow from those. Both ways probe the same
+``max_bits`` (8 MB) is broadcast. A larger one stays where it is: texts are taken in runs, each run sends its distinct
+n-grams to their segments, once, as packed sorted differences, and gets their levels back. What waits for them is the run's
+words, stored as numbers in order of first use; its bigrams are made from those where they are asked for. Both ways probe the same
 segments, so scores do not depend on it. Shuffle files are released as soon as what they served is written.
 Every training bigram is stored, those seen once at level 1.
 The exact base score needs every word's count. Words at or above a count threshold, chosen from the histogram of counts
@@ -40,7 +40,7 @@ TOP_WORDS = 200_000
 LOG_BASE = 1.5  # counts 1, 2, 3, 4-5, 6-7, ... share a level
 BITS_PER_ENTRY = 10
 PROBES = 3
-MAX_FILTER_BITS = 1 << 29
+MAX_FILTER_BITS = 1 << 26  # broadcast up to here (8 MB): every Python worker holds a copy of its own
 TASK_KEYS = 2_000_000  # bigram keys a task gathers before it sends them
 TASK_WORDS = 300_000
 SHARD_KEYS = 2_000_000
@@ -170,16 +170,29 @@ def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit values byte by byte, all low bytes first, compressed: high bytes hold little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def coded_keys(keys: np.ndarray, shards: int) -> bytes:
     """Sorted keys of one shard as differences of four bytes; behind them the few that are wider, and how many these are."""
     steps = np.diff(keys // np.uint64(shards), prepend=np.uint64(0))
     wide = np.flatnonzero(steps >> np.uint64(32))
-    return b"".join((steps.astype("<u4").tobytes(), wide.astype("<u4").tobytes(), (steps[wide] >> np.uint64(32)).astype("<u4").tobytes(),
-                     np.array([len(wide)], "<u4").tobytes()))
+    return packed(np.concatenate([steps.astype("<u4"), wide.astype("<u4"), (steps[wide] >> np.uint64(32)).astype("<u4"), np.array([len(wide)], "<u4")]))
 
 
 def keys_of(data: bytes, shard: int, shards: int) -> np.ndarray:
-    raw = np.frombuffer(data, "<u4")
+    raw = unpacked(data)
     wide = int(raw[-1])
     n = len(raw) - 1 - 2 * wide
     steps = raw[:n].astype(np.uint64)
@@ -201,15 +214,6 @@ def run_ngrams(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([unigram_keys(hashes), pairs]), words, at + len(hashes)
 
 
-def _planes(words: np.ndarray) -> bytes:
-    """Word numbers byte by byte, all low bytes first: the high ones are nearly all zero and compress."""
-    return words.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def filter_segments(source: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
     """``shard, data, bits``: segments of the filter over all training bigrams and all unigrams."""
 
@@ -287,7 +291,7 @@ def whole_filter(built: DataFrame, shards: int, max_bits: int) -> LogBloom | Non
 
 
 def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """``run, shard, levels`` (a byte each) for ``asked``: ``run, shard, keys``. Every segment meets the keys of its shard
+    """``run, shard, levels`` (packed) for ``asked``: ``run, shard, keys``. Every segment meets the keys of its shard
     behind it in one sorted partition; one segment is held at a time."""
 
     def answer(batches):
@@ -302,7 +306,7 @@ def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataF
                     continue
                 keys = keys_of(data, shard, shards)
                 levels = bloom.levels(keys) if bloom is not None else np.zeros(len(keys), np.int64)
-                for column, value in zip(out, (run, shard, levels.astype(np.uint8).tobytes()), strict=True):
+                for column, value in zip(out, (run, shard, packed(levels)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["run", "shard", "levels"])
 
@@ -311,13 +315,29 @@ def levels_at_segments(built: DataFrame, asked: DataFrame, shards: int) -> DataF
             .mapInArrow(answer, "run long, shard int, levels binary"))
 
 
+def asked_keys(runs: DataFrame, shards: int) -> DataFrame:
+    """``run, shard, keys``: the distinct n-grams of each run (``run, words, hashes``) for each segment."""
+
+    def ask(batches):
+        for batch in batches:
+            for run, words, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = run_ngrams(np.frombuffer(hashes, "<u8"), unpacked(words).astype(np.int64))[0]
+                order, cuts = _by_shard(keys, shards)
+                keys = keys[order]
+                out = [(run, s, coded_keys(keys[a:b], shards)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                                                 names=["run", "shard", "keys"])
+
+    return runs.select("run", "words", "hashes").mapInArrow(ask, "run long, shard int, keys binary")
+
+
 def run_scores(runs: DataFrame, levels: DataFrame, probabilities, shards: int, parts: int) -> DataFrame:
     """``row, score``: each run (``run, words, hashes, lengths``) meets the levels of its distinct n-grams, which come by shard."""
 
     def close(run, words, hashes, lengths, held):
-        keys, uni_at, pair_at = run_ngrams(np.frombuffer(hashes, "<u8"), _numbers(words))
+        keys, uni_at, pair_at = run_ngrams(np.frombuffer(hashes, "<u8"), unpacked(words).astype(np.int64))
         level = np.empty(len(keys), np.int64)
-        level[_by_shard(keys, shards)[0]] = np.frombuffer(b"".join(held), np.uint8)
+        level[_by_shard(keys, shards)[0]] = np.concatenate([unpacked(h) for h in held])
         scores = probabilities(level[uni_at], level[pair_at], np.frombuffer(lengths, "<i8"))
         return pa.RecordBatch.from_arrays([pa.array(run + np.arange(len(scores)), pa.int64()), pa.array(scores, pa.float64())], names=["row", "score"])
 
@@ -408,21 +428,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             rare.append([vocab[w] for w in words])
             rare_n.append(n)
         hashes, words, lengths = word_hashes(vocab), np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
-        keys, uni_at, pair_at = run_ngrams(hashes, words)
-        rest = [None] * (len(ids) - 1)
         if bloom is not None:  # each distinct n-gram of the run is probed once
+            keys, uni_at, pair_at = run_ngrams(hashes, words)
             level = bloom.levels(keys)
-            scores, request = probabilities(level[uni_at], level[pair_at], lengths), [None] * 4
+            scores, request = probabilities(level[uni_at], level[pair_at], lengths), [None] * 3
         else:
-            order, cuts = _by_shard(keys, shards)
-            keys, scores = keys[order], [None] * len(ids)
-            request = [_planes(words), hashes.astype("<u8").tobytes(), lengths.astype("<i8").tobytes(),
-                       [{"shard": s, "keys": coded_keys(keys[a:b], shards)} for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]]
+            scores, request = [None] * len(ids), [packed(words), hashes.astype("<u8").tobytes(), lengths.astype("<i8").tobytes()]
+        rest = [None] * (len(ids) - 1)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             (ids, held, lengths - 1, known, base, rare, rare_n, scores, *([r, *rest] for r in request), row + np.arange(len(ids))), (
                 id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.binary(), pa.binary(),
-                pa.binary(), pa.list_(pa.struct([("shard", pa.int32()), ("keys", pa.binary())])), pa.int64()), strict=True)],
-            names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score", "words", "hashes", "lengths", "asked", "row"])
+                pa.binary(), pa.int64()), strict=True)],
+            names=["id", "held_out", "n_tokens", "known", "base", "rare", "rare_n", "score", "words", "hashes", "lengths", "row"])
 
     def probabilities(uni: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> list[float]:
         """Log10 probabilities of several texts from the levels of their words and of their pairs of words."""
@@ -435,18 +452,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     scored = stored(source.select("id", "text", "held_out").mapInArrow(
         score, f"id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<binary>, rare_n array<long>, score double, "
-               "words binary, hashes binary, lengths binary, asked array<struct<shard: int, keys: binary>>, row long"), "scored")
+               "words binary, hashes binary, lengths binary, row long"), "scored")
     if apart:
         runs = scored.where("words is not null").withColumnRenamed("row", "run")
-        levels = levels_at_segments(built, runs.select("run", F.inline("asked")), shards)
-        scores = run_scores(runs, levels, probabilities, shards, partitions_for(n_train, SHARD_KEYS, 16))
-        scored = scored.drop("score").join(stored(scores, "scores"), "row")
-    scored = scored.drop("words", "hashes", "lengths", "asked")
+        levels = levels_at_segments(built, asked_keys(runs, shards), shards)
+        scores = stored(run_scores(runs, levels, probabilities, shards, partitions_for(n_train, SHARD_KEYS, 16)), "scores")
+    else:
+        scores = scored.select("row", "score")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times"))
-    met = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("base"), "times")
-    unmet = scored.select("row", "known", "base", F.lit(0).cast("long").alias("times"))
-    sums = met.unionByName(unmet).groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base"))
-    return scored.drop("known", "base", "rare", "rare_n").join(sums, "row").select(
+    none = F.lit(None).cast("double").alias("score")
+    met = rare.join(counts, "word").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + F.lit(0.5))).alias("base"), none)
+    sums = (met.unionByName(scored.select("row", "known", "base", none)).unionByName(scores.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score"))
+            .groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score")))
+    return scored.select("row", "id", "held_out", "n_tokens").join(sums, "row").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + (F.col("n_tokens") - F.col("n_known")) * F.lit(math.log10(0.5)) - F.col("n_tokens") * F.lit(log_space)).alias("base_score"),
         "score")
