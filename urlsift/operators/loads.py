@@ -22,10 +22,12 @@ from urlsift.session import written
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One row per key: the row that sorts first by ``order`` (ties broken by ``carry``); columns keys+order+carry.
 
-    A single hash aggregation with partial aggregation, so a hot key is pre-reduced on every map task."""
+    A minimum of structs is found by sorting, so rows are dealt by their content first: what a task sorts is a shuffle
+    partition, however large the files or row groups are, and a hot key's rows are reduced in many of them."""
     fields = [*order, *[c for c in carry if c not in order]]
     best = F.min(F.struct(*[F.col(c) for c in fields])).alias("_first")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields])
+    dealt = df.select(*dict.fromkeys([*keys, *fields])).repartition(*dict.fromkeys([*keys, *order]))
+    return dealt.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields])
 
 
 def repeated(df: DataFrame, n: str) -> DataFrame:

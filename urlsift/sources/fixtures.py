@@ -6,8 +6,9 @@ from base tables to model tables is the fixture definition in FIXTURES.md §3; t
 text, feed the DuckDB oracle in :mod:`urlsift.plans.oracle`.
 
 Scale notes
-- ``urls``/``link_batch_urls`` come from :func:`first_rows` (one partial aggregation keyed by url) rather than a
-  ``row_number`` window, so a URL collected a billion times is pre-reduced on every map task.
+- ``urls``/``link_batch_urls`` come from :func:`first_rows` (a partial aggregation keyed by url, over rows dealt by
+  content) rather than a ``row_number`` window, so a URL collected a billion times is reduced in many tasks first.
+- Tables that are row-by-row views of others (:func:`view_property`) are not stored, only what is aggregated or joined.
 - The ``user_*`` suggestion tables join ``collected`` to ``orders`` on the batch key; both sides are large at
   scale, so this is a shuffle join on ``batch_id`` (AQE may switch it to broadcast when the filtered side is
   small at run time). ``part`` joins use the part key; ``agencies`` is supplier ⋈ nation ⋈ region, where nation
@@ -47,6 +48,21 @@ def cached_property(fn):
     getter.__doc__ = fn.__doc__
     return property(getter)
 
+
+def view_property(fn):
+    """A model table that is a row-by-row view (columns and conditions) of a given or stored table: built once per
+    :class:`Tables` and never written, as a copy would only be written and read again."""
+    name = fn.__name__
+
+    def getter(self):
+        cache = self.__dict__.setdefault("_cache", {})
+        if name not in cache:
+            cache[name] = fn(self)
+        return cache[name]
+
+    getter.__doc__ = fn.__doc__
+    return property(getter)
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -54,6 +70,10 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 ARRIVAL_ORDER = ["batch_id", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
+def _url(suppkey, partkey):
+    return F.concat(F.lit("https://s"), suppkey.cast("string"), F.lit(".example.org/p/"), partkey.cast("string"))
+
+
 def _strategy(key):
     names = ["example", "auto_googler", "common_crawler", "muckrock_simple_search", "muckrock_county_search",
              "muckrock_all_search", "ckan", "manual"]
@@ -106,7 +126,7 @@ class Tables:
             s.s_suppkey.alias("agency_id"), s.s_name.alias("name"), F.col("r_name").alias("state"),
             F.col("n_name").alias("county"), F.lit(None).cast("string").alias("locality"))
 
-    @cached_property
+    @view_property
     def batches(self) -> DataFrame:
         o = self.base("orders")
         status = (F.when(o.o_orderstatus == "F", "ready to label").when(o.o_orderstatus == "O", "in-process")
@@ -116,28 +136,27 @@ class Tables:
                         o.o_totalprice.alias("compute_time"))
 
     # ---- URL intake --------------------------------------------------------------------------------------------
-    @cached_property
+    @view_property
     def collected(self) -> DataFrame:
         li = self.base("lineitem")
         return li.select(
             (li.l_suppkey * 10000000 + li.l_partkey).alias("url_id"),
-            F.concat(F.lit("https://s"), li.l_suppkey.cast("string"), F.lit(".example.org/p/"),
-                     li.l_partkey.cast("string")).alias("url"),
-            li.l_orderkey.alias("batch_id"), "l_suppkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity",
+            _url(li.l_suppkey, li.l_partkey).alias("url"), li.l_orderkey.alias("batch_id"), "l_suppkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
     @cached_property
     def _firsts(self) -> DataFrame:
-        c = self.collected.select("url_id", "url", "l_partkey", "l_suppkey", *ARRIVAL_ORDER)
-        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["url", "l_partkey", "l_suppkey"])
+        # without the URL itself: it is made again from the two keys where it is read
+        c = self.collected.select("url_id", "l_partkey", "l_suppkey", *ARRIVAL_ORDER)
+        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["l_partkey", "l_suppkey"])
 
-    @cached_property
+    @view_property
     def urls(self) -> DataFrame:
         f = self._firsts
-        return f.select(F.col("url_id").alias("id"), "url", F.col("l_shipdate").alias("created_at"),
+        return f.select(F.col("url_id").alias("id"), _url(F.col("l_suppkey"), F.col("l_partkey")).alias("url"), F.col("l_shipdate").alias("created_at"),
                         _outcome(F.col("l_partkey"), F.col("l_suppkey")).alias("outcome"))
 
-    @cached_property
+    @view_property
     def link_batch_urls(self) -> DataFrame:
         return self._firsts.select("batch_id", "url_id")
 
@@ -198,7 +217,7 @@ class Tables:
         return c.select("url_id", F.col("l_suppkey").alias("agency_id")).distinct()
 
     # ---- tasks, errors, audit ----------------------------------------------------------------------------------
-    @cached_property
+    @view_property
     def tasks(self) -> DataFrame:
         e = self.base("events")
         t = (F.when(e.event_type == "click", "HTML").when(e.event_type == "view", "Relevancy")
@@ -209,7 +228,7 @@ class Tables:
         return e.select(e.event_id.alias("id"), t.alias("task_type"), s.alias("task_status"),
                         e.ts.alias("updated_at"))
 
-    @cached_property
+    @view_property
     def task_errors(self) -> DataFrame:
         """One error row per failed task."""
         return self.tasks.where(F.col("task_status") == "error").select(
@@ -227,28 +246,28 @@ class Tables:
             "url_id", (F.col("batch_id") % 1000).alias("task_id"),
             F.concat(F.lit("error "), F.col("l_linenumber").cast("string")).alias("error")).distinct()
 
-    @cached_property
+    @view_property
     def url_data_sources(self) -> DataFrame:
         return self.urls.where(F.col("outcome") == "submitted").select(
             F.col("id").alias("url_id"), F.col("id").alias("data_source_id"), "created_at")
 
-    @cached_property
+    @view_property
     def backlog_snapshot(self) -> DataFrame:
         o = self.base("orders")
         return o.select(o.o_orderkey.alias("id"), o.o_orderdate.alias("created_at"),
                         F.floor(o.o_totalprice).cast("int").alias("count_pending_total"))
 
-    @cached_property
+    @view_property
     def logs(self) -> DataFrame:
         e = self.base("events")
         return e.select(e.event_id.alias("id"), e.user_id.alias("batch_id"), e.event_type.alias("log"),
                         e.ts.alias("created_at"))
 
-    @cached_property
+    @view_property
     def url_checked_for_duplicate(self) -> DataFrame:
         return self.urls.where(F.col("id") % 3 == 0).select(F.col("id").alias("url_id"), "created_at")
 
-    @cached_property
+    @view_property
     def url_probed_for_404(self) -> DataFrame:
         return self.urls.where(F.col("id") % 4 == 0).select(F.col("id").alias("url_id"),
                                                             F.col("created_at").alias("last_probed_at"))
@@ -275,7 +294,7 @@ class Tables:
                         F.col("url"), F.lit("</div></body></html>"))
         return c.select("url_id", html.alias("html")).distinct()
 
-    @cached_property
+    @view_property
     def url_optional_data_source_metadata(self) -> DataFrame:
         u = self.urls.where(F.col("id") % 5 == 0)
         return u.select(F.col("id").alias("url_id"), F.array(F.lit("HTML text")).alias("record_formats"),
@@ -283,7 +302,7 @@ class Tables:
                         F.lit(None).cast("string").alias("supplying_entity"))
 
     # ---- HTML --------------------------------------------------------------------------------------------------
-    @cached_property
+    @view_property
     def web_pages(self) -> DataFrame:
         """Raw pages as fetch answers: (url_id, url, html, content_type)."""
         p = self.base("pages")
