@@ -1,8 +1,13 @@
 """What a task sorts, reads and writes does not grow with the table: plans and files of the shared steps."""
 
+import glob
 import random
 
+import pyarrow.parquet as pq
+
 from urlsift.operators.loads import first_rows
+from urlsift.plans import q_streams
+from urlsift.session import checkpoint_dir
 from urlsift.sources import fixtures
 
 
@@ -37,3 +42,18 @@ def test_first_rows_sort_shuffle_partitions_only(spark):
     dealt = [i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x]
     assert dealt and dealt[0] > max(i for i, x in enumerate(lines) if "Aggregate" in x)
 
+
+def test_stream_files_stay_small(spark, monkeypatch):
+    """Three micro-batches whatever the table's size; each in as many files as its rows need."""
+    monkeypatch.setattr(q_streams, "FILE_ROWS", 100)
+    name = "sizes-files"
+    rows = spark.range(3000).withColumnRenamed("id", "a")
+    source = q_streams._three_loads(spark, rows, name, "a")
+    files = glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/urlsift-streams/{name}-*/*.parquet")
+    counts = [pq.ParquetFile(f).metadata.num_rows for f in files]
+    assert sum(counts) == 3000 and len(counts) == 30 and max(counts) < 200
+    seen = []
+    query = source.writeStream.foreachBatch(lambda batch, epoch: seen.append(batch.count())).trigger(availableNow=True).option(
+        "checkpointLocation", q_streams.st.scratch_path(spark, "sizes-ck")).start()
+    query.awaitTermination()
+    assert len(seen) == 3 and sum(seen) == 3000

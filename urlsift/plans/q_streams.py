@@ -18,6 +18,18 @@ def _stream(spark, d, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
 
 
+# rows of a stream's input file
+FILE_ROWS = 250_000
+
+
+def _three_loads(spark, rows, name, *by):
+    """A stream of ``rows`` in three micro-batches of every third row each, by hash of ``by``. A micro-batch has as many files
+    as it takes for about ``FILE_ROWS`` rows a file, so neither writing nor reading one grows with the table."""
+    files, each = st.scratch_path(spark, name), max(1, -(-rows.count() // (3 * FILE_ROWS)))
+    rows.repartition(3 * each, F.xxhash64(*by)).write.parquet(files)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(files)
+
+
 def _daily(spark, d):
     out, ck = st.scratch_path(spark, "daily"), st.scratch_path(spark, "daily-ck")
     st.stream_daily_counts(_stream(spark, d, "events"), out, ck, key="event_type")
@@ -25,16 +37,15 @@ def _daily(spark, d):
 
 
 def _intake(spark, d):
-    """The collections as three files that hold every third row each, whatever its batch and sequence, read one a micro-batch."""
+    """The collections in three micro-batches of every third row each, whatever its batch and sequence."""
     li = spark.read.parquet(f"{d.rstrip('/')}/lineitem.parquet")
     c = li.select(F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.org/p/"),
                            F.col("l_partkey").cast("string")).alias("url"),
                   (F.col("l_suppkey") * 10000000 + F.col("l_partkey")).alias("url_id"),
                   F.col("l_orderkey").alias("batch_id"),
                   F.struct(F.col("l_orderkey").alias("batch_id"), *ARRIVAL_ORDER[1:]).alias("seq"))
-    files, out, ck = (st.scratch_path(spark, name) for name in ("intake-files", "intake", "intake-ck"))
-    c.repartition(3, F.xxhash64("seq", "url")).write.parquet(files)
-    st.stream_intake(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(files), out, ck, id_col="url_id", buckets=16)
+    out, ck = (st.scratch_path(spark, name) for name in ("intake", "intake-ck"))
+    st.stream_intake(_three_loads(spark, c, "intake-files", "seq", "url"), out, ck, id_col="url_id", buckets=16)
     return out
 
 
@@ -78,14 +89,13 @@ ORACLES["stream_status"] = "SELECT user_id AS url_id, arg_max(event_type, event_
 
 
 def _agency_sync(spark, d):
-    """The change pages as three files that hold rows of every page, read one a micro-batch."""
+    """The change pages in three micro-batches that hold rows of every page."""
     from urlsift.plans.q_tasks import _sync_pages
 
     t = load_model(spark, d)
     pages = _sync_pages(t)
-    files, out, ck = (st.scratch_path(spark, name) for name in ("sync-files", "sync", "sync-ck"))
-    pages.repartition(3, F.xxhash64("display_name")).write.parquet(files)
-    st.stream_agency_sync(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(files), out, ck)
+    out, ck = (st.scratch_path(spark, name) for name in ("sync", "sync-ck"))
+    st.stream_agency_sync(_three_loads(spark, pages, "sync-files", "display_name"), out, ck)
     return st.synced_agencies(spark, t["agencies"], out)
 
 

@@ -86,8 +86,12 @@ def stream_intake(source: DataFrame, target: str, checkpoint: str, seq: str = "s
     return _run(w, available_now)
 
 
+# files that an epoch's bucket is written as, so that no task writes a whole bucket
+BUCKET_FILES = 8
+
+
 def _put(rows: DataFrame, path: str) -> DataFrame:
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.repartition("bucket", F.pmod(F.hash("url"), F.lit(BUCKET_FILES))).write.mode("overwrite").partitionBy("bucket").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
