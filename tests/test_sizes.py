@@ -2,9 +2,11 @@
 
 import glob
 import random
+import uuid
 
 import pyarrow.parquet as pq
 
+from urlsift.operators import loads
 from urlsift.operators.loads import first_rows
 from urlsift.plans import q_streams
 from urlsift.session import checkpoint_dir
@@ -46,7 +48,7 @@ def test_first_rows_sort_shuffle_partitions_only(spark):
 def test_stream_files_stay_small(spark, monkeypatch):
     """Three micro-batches whatever the table's size; each in as many files as its rows need."""
     monkeypatch.setattr(q_streams, "FILE_ROWS", 100)
-    name = "sizes-files"
+    name = f"sizes-{uuid.uuid4().hex}"
     rows = spark.range(3000).withColumnRenamed("id", "a")
     source = q_streams._three_loads(spark, rows, name, "a")
     files = glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/urlsift-streams/{name}-*/*.parquet")
@@ -57,3 +59,21 @@ def test_stream_files_stay_small(spark, monkeypatch):
         "checkpointLocation", q_streams.st.scratch_path(spark, "sizes-ck")).start()
     query.awaitTermination()
     assert len(seen) == 3 and sum(seen) == 3000
+
+
+def test_arrivals_are_dealt_before_they_are_sorted(spark, monkeypatch):
+    """Arrivals of one URL in one batch go to several tasks, and the load is that of a plain recount."""
+    plans, write = {}, loads.written
+    monkeypatch.setattr(loads, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().sparkPlan().toString()}) or write(df, tag))
+    dice = random.Random(3)
+    rows = [(f"u{dice.randrange(20)}", dice.randrange(4), k, 100 + k) for k in range(200)] + [("hot", 1, 500 + k, 900) for k in range(300)] + [(None, 1, 0, 0)]
+    dice.shuffle(rows)
+    out = loads.insert_urls(spark.createDataFrame(rows, "url string, batch_id long, seq long, extra long"), spark.createDataFrame([(7, "u3")], "id long, url string"))
+    want = {}
+    for url, batch, seq, extra in rows:
+        if url and url != "u3":
+            want[url] = min(want.get(url, (seq, batch, extra)), (seq, batch, extra))
+    assert {r.url: (r.seq, r.batch_id, r.extra) for r in out.new_urls.collect()} == want
+    assert sum(r.total_count for r in out.summary.collect()) == 500 and out.duplicates.count() == 500 - len(want)
+    lines = plans["offers"].splitlines()
+    assert max(i for i, x in enumerate(lines) if "Aggregate" in x) < next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)

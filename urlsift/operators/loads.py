@@ -106,6 +106,10 @@ class Load:
         return repeated(self.duplicate_runs, "n")
 
 
+# places to which the arrivals of one URL in one batch are dealt before they are reduced
+SPREAD = 64
+
+
 def insert_urls(incoming: DataFrame, urls: DataFrame, seq: str = "seq", id_col: str | None = None,
                 id_widths: Sequence[int] = ID_WIDTHS) -> Load:
     """First arrival of each URL becomes an original; every later arrival (same or other batch) and every
@@ -114,14 +118,19 @@ def insert_urls(incoming: DataFrame, urls: DataFrame, seq: str = "seq", id_col:
     ``incoming`` needs ``url, batch_id`` and an arrival order column ``seq``; other columns ride along into ``new_urls``.
     New ids are ``id_col`` when given, else :func:`assign_ids`. Rows without a URL are left out.
 
-    Plan: arrivals are reduced to one row per URL and batch (stored), those to one per URL, which alone meets the catalogue;
+    Plan: arrivals are dealt to tasks (a URL's of one batch to up to ``SPREAD``), so that what a task sorts does not grow with
+    the files it reads, reduced to one row per URL and batch (stored), those to one per URL, which alone meets the catalogue;
     all results are read from these two tables."""
     rest = [c for c in incoming.columns if c not in ("url", "batch_id", seq)]
-    offers = written(incoming.where("url is not null").groupBy("url", "batch_id").agg(
+    dealt = incoming.where("url is not null").repartition("url", "batch_id", F.pmod(F.hash(seq), F.lit(SPREAD)))
+    offers = written(dealt.groupBy("url", "batch_id").agg(
         F.min(F.struct(seq, *rest)).alias("first"), F.count(F.lit(1)).alias("n")), "offers")
-    per_url = offers.groupBy("url").agg(F.min(F.struct(F.col(f"first.{seq}").alias("seq"), "batch_id", "first")).alias("o"))
+    # by arrival, batch, then what rides along; the arrival travels once
+    per_url = offers.groupBy("url").agg(F.min(F.struct(
+        F.col(f"first.{seq}").alias("_0"), F.col("batch_id").alias("_1"), *[F.col(f"first.{c}").alias(f"r_{c}") for c in rest])).alias("o"))
     known = urls.select("url", F.col("id").alias("known_id"))
-    met = per_url.join(known, "url", "left").select("url", F.col("o.batch_id").alias("first_batch"), "o.first", "known_id")
+    first = F.struct(F.col("o._0").alias(seq), *[F.col(f"o.r_{c}").alias(c) for c in rest])
+    met = per_url.select("url", F.col("o._1").alias("first_batch"), first.alias("first")).join(known, "url", "left")
     if id_col:
         originals = written(met.withColumn("id", F.coalesce("known_id", F.col(f"first.{id_col}"))), "originals")
     else:
