@@ -3,6 +3,7 @@
 import glob
 import random
 import uuid
+from collections import Counter
 
 import pyarrow.parquet as pq
 
@@ -77,3 +78,39 @@ def test_arrivals_are_dealt_before_they_are_sorted(spark, monkeypatch):
     assert sum(r.total_count for r in out.summary.collect()) == 500 and out.duplicates.count() == 500 - len(want)
     lines = plans["offers"].splitlines()
     assert max(i for i, x in enumerate(lines) if "Aggregate" in x) < next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
+
+
+def test_distinct_rows_are_counted_in_dealt_parts(spark, tmp_path, monkeypatch):
+    """What is counted or made distinct over a scan is dealt first, and only rows that share their key are joined."""
+    plans, write = {}, loads.written
+    monkeypatch.setattr(loads, "written", lambda df, tag: plans.update({tag: df._jdf.queryExecution().sparkPlan().toString()}) or write(df, tag))
+    dice = random.Random(11)
+    rows = [(dice.choice([None, *range(90)]), dice.choice([None, 1, 2, 3]), dice.randrange(2)) for _ in range(200)] + [(7, 1, 0)] * 300 + [(500, 9, 9)] * 5
+    runs = loads.occurrence_runs(spark.createDataFrame(rows, "k long, a long, b long"), ["k"], ["a"])
+
+    def rank(r):
+        return [(v is not None, v or 0) for v in r[1:]]
+
+    count, want = Counter(rows), {}
+    for r in count:
+        want[r[0]] = min(want.get(r[0], r), r, key=rank)
+    got = Counter(((r.k, r.a, r.b), r.n_first, r.n_repeat) for r in runs.collect())
+    assert got == Counter((r, int(want[r[0]] == r), n - int(want[r[0]] == r)) for r, n in count.items())
+    _lineitem(spark, tmp_path)
+    t = fixtures.load_model(spark, str(tmp_path), materialize=False)
+    views = {x: t[x]._jdf.queryExecution().sparkPlan().toString() for x in ("url_html_content", "confirmed_url_agency", "automated_url_agency_suggestions")}
+    for plan in [plans["occurrences"], *views.values()]:
+        lines = plan.splitlines()
+        assert max(i for i, x in enumerate(lines) if "Aggregate" in x) < next(i for i, x in enumerate(lines) if "REPARTITION_BY_COL" in x)
+
+
+def test_texts_of_urls_with_null_keys(spark, tmp_path):
+    """Collections without a part or supplier have no URL and are one row for each kind."""
+    rows = [(1, 3), (1, 3), (None, 3), (None, 3), (2, 4)]
+    spark.createDataFrame([(k, part, supp, line, 1.0, 2.0, 0.1, 0.05, "A", "F") for k, (part, line) in enumerate(rows) for supp in (5, None)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string").selectExpr(
+        "*", "timestamp_ntz '2024-01-01 00:00:00' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Counter(map(tuple, fixtures.load_model(spark, str(tmp_path), materialize=False)["url_html_content"].collect()))
+    assert got == Counter([(50000001, "Title", "Title https://s5.example.org/p/1"), (50000002, "Description", "About https://s5.example.org/p/2"),
+                           (None, "Title", None), (None, "Description", None)])

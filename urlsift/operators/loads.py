@@ -42,16 +42,29 @@ def repeated(df: DataFrame, n: str) -> DataFrame:
     return out.withColumn("_low", F.expr("explode(sequence(1L, _rows))")).select(*cols)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows, dealt by their content and by the task that read them, for an aggregation to follow.
+
+    What that task's map of distinct rows holds is then a shuffle partition, however large the files or row groups are;
+    copies of one row go to as many tasks as there were to read them."""
+    return df.withColumn("_task", F.spark_partition_id()).repartition(*df.columns, "_task").drop("_task")
+
+
 def occurrence_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """E2 as counts: every distinct row once with ``n_first`` (1 if it holds its key's first row, else 0) and
-    ``n_repeat`` (its other copies). The input is aggregated once and stored; only distinct rows are joined."""
+    ``n_repeat`` (its other copies). The input is aggregated once, in parts that do not grow with its files, and stored;
+    of the distinct rows only those that share their key with others are joined."""
     cols = df.columns
     rest = [*order, *[c for c in cols if c not in keys and c not in order]]
-    runs = written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "occurrences")
-    best = runs.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    runs = written(dealt(df).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "occurrences")
+    best = runs.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"), F.count(F.lit(1)).alias("_runs"), F.sum("_n").alias("_rows"))
+    field = {c: F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in cols}
+    alone = best.where("_runs = 1").select(*field.values(), F.lit(1).cast("long").alias("n_first"), (F.col("_rows") - 1).alias("n_repeat"))
+    # both parts ask for the same columns, so that the aggregation is shuffled once
+    among = best.where("_runs > 1 and _rows > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     first = F.struct(*rest).eqNullSafe(F.col("_first")).cast("long")
-    return runs.join(best, same).select(*cols, first.alias("n_first"), (F.col("_n") - first).alias("n_repeat"))
+    return alone.unionByName(runs.join(among, same).select(*cols, first.alias("n_first"), (F.col("_n") - first).alias("n_repeat")))
 
 
 def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -23,7 +23,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsift.operators.loads import first_occurrence, first_rows
+from urlsift.operators.loads import dealt, first_occurrence, first_rows
 from urlsift.session import checkpoint_dir
 
 # (application id, data dir, table) -> path of the written table, filled after a successful write
@@ -70,6 +70,10 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 ARRIVAL_ORDER = ["batch_id", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
+def _url_id(suppkey, partkey):
+    return suppkey * 10000000 + partkey
+
+
 def _url(suppkey, partkey):
     return F.concat(F.lit("https://s"), suppkey.cast("string"), F.lit(".example.org/p/"), partkey.cast("string"))
 
@@ -140,7 +144,7 @@ class Tables:
     def collected(self) -> DataFrame:
         li = self.base("lineitem")
         return li.select(
-            (li.l_suppkey * 10000000 + li.l_partkey).alias("url_id"),
+            _url_id(li.l_suppkey, li.l_partkey).alias("url_id"),
             _url(li.l_suppkey, li.l_partkey).alias("url"), li.l_orderkey.alias("batch_id"), "l_suppkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity",
             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
@@ -208,13 +212,13 @@ class Tables:
     @cached_property
     def automated_url_agency_suggestions(self) -> DataFrame:
         c = self.collected.where(F.col("l_linestatus") == "O")
-        return c.select("url_id", F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("agency_id"),
-                        (F.col("l_returnflag") == "N").alias("is_unknown")).distinct()
+        return dealt(c.select("url_id", F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("agency_id"),
+                              (F.col("l_returnflag") == "N").alias("is_unknown"))).distinct()
 
     @cached_property
     def confirmed_url_agency(self) -> DataFrame:
         c = self.collected.where((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"))
-        return c.select("url_id", F.col("l_suppkey").alias("agency_id")).distinct()
+        return dealt(c.select("url_id", F.col("l_suppkey").alias("agency_id"))).distinct()
 
     # ---- tasks, errors, audit ----------------------------------------------------------------------------------
     @view_property
@@ -282,10 +286,14 @@ class Tables:
     # ---- HTML and metadata derived from collections (not in FIXTURES.md; documented in README) ---------------
     @cached_property
     def url_html_content(self) -> DataFrame:
-        c = self.collected.where(F.col("l_linenumber").isin(3, 4))
+        # distinct by what the texts are made of: a URL by its two keys, which both count as null where one is
+        c = self.collected.where(F.col("l_linenumber").isin(3, 4)).select(
+            "l_linenumber", F.when(F.col("l_partkey").isNotNull(), F.col("l_suppkey")).alias("l_suppkey"),
+            F.when(F.col("l_suppkey").isNotNull(), F.col("l_partkey")).alias("l_partkey"))
+        url_id, url = _url_id(F.col("l_suppkey"), F.col("l_partkey")), _url(F.col("l_suppkey"), F.col("l_partkey"))
         kind = F.when(F.col("l_linenumber") == 3, "Title").otherwise("Description")
-        text = F.concat(F.when(F.col("l_linenumber") == 3, F.lit("Title ")).otherwise(F.lit("About ")), F.col("url"))
-        return c.select("url_id", kind.alias("content_type"), text.alias("content")).distinct()
+        text = F.concat(F.when(F.col("l_linenumber") == 3, F.lit("Title ")).otherwise(F.lit("About ")), url)
+        return dealt(c).distinct().select(url_id.alias("url_id"), kind.alias("content_type"), text.alias("content"))
 
     @cached_property
     def url_compressed_html(self) -> DataFrame:
