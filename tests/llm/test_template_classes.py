@@ -84,3 +84,18 @@ def test_repeated_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 1), (1, "u", "<p>a</p>", "y", 2), (None, None, None, None, None)],
                                "page_id long, url string, html string, host string, row long")
     assert sorted((r.page_id or 0, r.text) for r in te.extract_main_text(df).collect()) == [(0, ""), (1, "a"), (1, "a")]
+
+
+def test_blocks_stay_where_they_are_and_any_list_gives_the_same(spark, monkeypatch):
+    rows = [_page(k) for k in range(5)] + [_page(10 + k, "other") for k in range(4)] + [_page(20, "single"), (30, None, None)]
+    rows += [(40 + k, "http://few.example.org/", f"<body><div>One</div><div>Two</div><div>Three</div><article><p>Own {k}</p></article></body>") for k in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = te.extract_main_text(df)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Aggregate" not in plan and "SortMergeJoin" not in plan
+    want = sorted(map(tuple, out.collect()), key=str)
+    assert len(want) == len(rows) and (0, "http://h.example.org/0", "Short 0", 7) in want
+    for host_wording, listed in ((10, te.LISTED), (0, te.LISTED), (te.HOST_WORDING, 0)):
+        monkeypatch.setattr(te, "HOST_WORDING", host_wording)
+        monkeypatch.setattr(te, "LISTED", listed)
+        assert sorted(map(tuple, te.extract_main_text(df).collect()), key=str) == want

@@ -18,7 +18,10 @@ are teasers or the like, and all slots are the main text.
 Scale. Every page is parsed once. An occurrence vector is never gathered: its fingerprint is the sum of hash(page, count)
 over pages, so classes come from one aggregation per (host, token) with partial sums, and a host with a third of all pages
 is no special case. Copies are found by a hash of a page's tokens. Order is checked the same way, from one hash of a class's
-token order for each page. Only token hashes move; a page's blocks wait for the list of those that are wording.
+token order for each page. Only token hashes move; a page's blocks wait for the list of those that are wording. The lists of
+all hosts are sent to the stored blocks, up to ``LISTED`` entries and ``HOST_WORDING`` tokens a host. Beyond these bounds lists
+and blocks meet by page in a join, with the same result: there the text outside furniture moves once, of the hosts with longer
+lists only or, with more entries, of all.
 
 Defined results. Null or empty html: empty text. Null urls share one host. Repeated page ids are judged one by one, by
 row. White space inside a block becomes one space; blocks are joined in page order by a line feed. Hosts with under
@@ -43,6 +46,8 @@ MIN_SHARE = 0.5  # of the pages that have its element, the share with a text tha
 MAIN_PAGES, MAIN_SHARE = 20, 0.9  # the same two bounds for wording inside an article
 MIN_MARKED = 0.25  # share of the running text that marked text without a first-level heading must have
 RUNNING_WORDS = 8
+HOST_WORDING = 1000  # wording tokens of a host that are looked through for each block
+LISTED = 2_000_000  # hosts and wording tokens that are sent to all tasks
 
 # elements without an end tag, elements that end a block, elements whose content is not text, and furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,20 +262,39 @@ def _host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def wording_lists(wording: DataFrame) -> DataFrame:
+    """``host, fixed``, stored: the wording of each host that has any, null if it is more than ``HOST_WORDING`` tokens."""
+    counts = wording.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    short = wording.join(counts.where(F.col("n") <= HOST_WORDING).select("host"), "host", "left_semi").groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    return stored(short.unionByName(counts.where(F.col("n") > HOST_WORDING).select("host", F.lit(None).cast("array<bigint>").alias("fixed"))), "host-wording")
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, text, n_chars`` for every row of ``pages``."""
     narrow_batches(pages.sparkSession)
     parsed = parsed_pages(pages, id_col, url_col, html_col)
     wording = stored(templates(parsed).where("is_text").select("host", "token"), "wording")
-    fixed = (parsed.select("row", "host", F.inline("tokens")).where("is_text").join(wording, ["host", "token"])
-             .groupBy("row").agg(F.collect_set("token").alias("fixed")))  # a page's own wording, at most its tokens
+    lists = wording_lists(wording)
+    hosts, tokens, long = lists.agg(F.count("host"), F.coalesce(F.sum(F.size("fixed")), F.lit(0)), F.count(F.when(F.col("fixed").isNull(), 1))).first()
 
     def joined(blocks):
         return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
 
-    none = F.array().cast("array<bigint>")
-    slots = parsed.select("row", "id", "url", "blocks").join(fixed, "row", "left").select("id", "url", F.filter(
-        "blocks", lambda b: ~b["furniture"] & ~F.array_contains(F.coalesce("fixed", none), b["token"])).alias("slots"))
+    def slots_of(df):
+        return df.select("id", "url", F.filter("blocks", lambda b: ~b["furniture"] & ~F.coalesce(F.array_contains("fixed", b["token"]), F.lit(False))).alias("slots"))
+
+    def moved(df):
+        """Pages to which their own wording, at most their tokens, comes by a join."""
+        fixed = df.select("row", "host", F.inline("tokens")).where("is_text").join(wording, ["host", "token"]).groupBy("row").agg(F.collect_set("token").alias("fixed"))
+        return df.select("row", "id", "url", F.filter("blocks", lambda b: ~b["furniture"]).alias("blocks")).join(fixed, "row", "left")
+
+    if hosts + tokens > LISTED:
+        slots = slots_of(moved(parsed))
+    else:
+        known = F.broadcast(lists.withColumn("long", F.col("fixed").isNull()))
+        slots = slots_of(parsed.select("host", "id", "url", "blocks").join(known, "host", "left").where("long is not true"))
+        if long:
+            slots = slots.unionByName(slots_of(moved(parsed.join(F.broadcast(lists.where("fixed is null").select("host")), "host", "left_semi"))))
     marked = slots.select("id", "url", "slots", F.filter("slots", lambda b: b["main"]).alias("marked"))
     main, every = joined(F.col("marked")), joined(F.col("slots"))
     running = F.char_length(joined(F.filter("slots", lambda b: b["running"] & ~b["main"])))
