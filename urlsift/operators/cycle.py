@@ -1,11 +1,17 @@
 """The task cycle (J15) over versioned snapshots.
 
-Every task reads stored tables and writes the ones it changes to ``root/v<NN>/<table>``, then a manifest row; so a
+Every task reads stored tables and writes what it changes to ``root/v<NN>/<table>``, then a manifest row; so a
 plan never grows with the tasks before it, and a cycle that was cut off goes on behind its last finished task.
+
+Bytes follow what changes: rows that a task appends are written alone and read together with the table's last whole
+version; ``urls`` and each queue lie in buckets of their key, as many as there are shuffle partitions, so that a join by URL
+moves the other side only. What a task stores for itself is deleted when it ends, shuffle files with the statement that made them.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +21,12 @@ from urlsift.functions.html import html_content_wide
 from urlsift.operators import queues as qs
 from urlsift.operators import tasks as tk
 from urlsift.operators.review import TABLE_KEYS, _align, overlay, set_status, upsert
-from urlsift.session import written
+from urlsift.session import RELEASE, checkpoint_dir, settings, written
 
-MANIFEST = "task_id long, task_type string, outcome string, changed array<string>"
+# changed: whole tables, appended: new rows only, buckets: those of ``urls``
+MANIFEST = "task_id long, task_type string, outcome string, changed array<string>, appended array<string>, buckets int"
+# a table in buckets is read by them in every plan, so that what is made from it row by row lies in them too
+IN_BUCKETS = {**RELEASE, "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 Answers = dict[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -37,32 +46,69 @@ def standard_tasks(answers: Answers, as_of) -> list[tk.Task]:
     ]
 
 
-def _merged(state: dict, ch: tk.Changes, task_id: int, as_of) -> dict:
-    """The tables a task changes. What the task made is stored first, as several tables are made from it."""
-    updates = written(ch.status_updates.select("url_id", "outcome"), "task-updates") if ch.status_updates is not None else None
-    new: dict[str, DataFrame] = {}
+def _merged(state: dict, ch: tk.Changes, task_id: int, as_of, store: Callable[[DataFrame, str], DataFrame]) -> tuple[dict, dict]:
+    """The tables a task changes, and the rows it appends to others. What several tables are made from is stored first."""
+    updates = store(ch.status_updates.select("url_id", "outcome"), "task-updates") if ch.status_updates is not None else None
+    whole: dict[str, DataFrame] = {}
+    rows: dict[str, DataFrame] = {}
     urls = state["urls"]
     if "urls" in ch.upserts:
-        urls = overlay(urls, written(ch.upserts["urls"], "task-urls"), "id", "url_id", as_of)
-        new["urls"] = urls
+        urls = overlay(urls, store(ch.upserts["urls"], "task-urls"), "id", "url_id", as_of)
+        whole["urls"] = urls
     if ch.errors is not None:
-        errors = written(ch.errors.groupBy("url_id").agg(F.min("error").alias("error")), "task-errors")
-        rows, failed = tk.record_errors(errors, task_id, as_of)
-        new["url_error_info"] = state["url_error_info"].unionByName(_align(rows, state["url_error_info"]))
+        errors = store(ch.errors.groupBy("url_id").agg(F.min("error").alias("error")), "task-errors")
+        error_rows, failed = tk.record_errors(errors, task_id, as_of)
+        rows["url_error_info"] = error_rows
         # an error outranks any other transition of the same run
         updates = failed if updates is None else updates.join(failed, "url_id", "left_anti").unionByName(failed)
-    if updates is not None:
-        new["urls"] = set_status(urls, updates.distinct(), as_of)
-    for name, df in ch.appends.items():
-        new[name] = state[name].unionByName(_align(written(df, "task-rows"), state[name]))
+    if updates is not None and not updates.isEmpty():
+        whole["urls"] = set_status(urls, updates.distinct(), as_of)
+    rows |= ch.appends
     for name, df in ch.upserts.items():
         if name != "urls":
-            new[name] = upsert(state[name], _align(written(df.dropDuplicates(TABLE_KEYS[name]), "task-rows"), state[name]), TABLE_KEYS[name])
-    return new
+            whole[name] = upsert(state[name], _align(store(df.dropDuplicates(TABLE_KEYS[name]), "task-rows"), state[name]), TABLE_KEYS[name])
+    for name in whole.keys() & rows.keys():
+        whole[name] = whole[name].unionByName(_align(rows.pop(name), state[name]))
+    return whole, rows
+
+
+def _row(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).alias(c) for c, v in values.items()])
+
+
+class _Versions:
+    """The tables between two tasks: the last whole version of each with the rows appended since."""
 
+    def __init__(self, spark: SparkSession, tables: dict):
+        self.spark, self.whole, self.added, self.catalogued = spark, dict(tables), {}, []
+        self.urls_path: str | None = None
 
-def _row(spark: SparkSession, table: DataFrame, **values) -> DataFrame:
-    return table.unionByName(_align(spark.range(1).select(*[F.lit(v).alias(c) for c, v in values.items()]), table))
+    def take(self, folder: str) -> int | None:
+        """What a finished task left in ``folder``; returns the number of buckets of its ``urls``."""
+        row = self.spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
+        for name in row.changed:
+            path = f"{folder}/{name}"
+            if name == "urls" and row.buckets:
+                self.urls_path, (table, self.whole[name]) = path, _bucketed(self.spark, path, self.whole[name], "id", row.buckets)
+                self.catalogued.append(table)
+            else:
+                self.whole[name] = self.spark.read.parquet(path)
+            self.added.pop(name, None)
+        for name in row.appended or []:
+            self.added.setdefault(name, []).append(f"{folder}/{name}")
+        return row.buckets
+
+    def tables(self) -> dict:
+        return {name: df if name not in self.added else df.unionByName(self.spark.read.schema(df.schema).parquet(*self.added[name]))
+                for name, df in self.whole.items()}
+
+    def close(self) -> dict:
+        """The last versions, ``urls`` as plain files; no table stays in the session's catalogue."""
+        if self.urls_path:
+            self.whole["urls"] = self.spark.read.schema(self.whole["urls"].schema).parquet(self.urls_path)
+        for table in self.catalogued:
+            _forget(self.spark, table)
+        return self.tables()
 
 
 def run_cycle(spark: SparkSession, tables: dict, tasks: list[tk.Task], root: str, first_task_id: int, as_of) -> dict:
@@ -70,44 +116,108 @@ def run_cycle(spark: SparkSession, tables: dict, tasks: list[tk.Task], root: str
 
     A task with an empty queue is skipped. One that fails changes nothing but gets its row in ``tasks`` with status
     'error' and its message in ``task_errors``; the next task goes on from the tables before it. Otherwise its URLs are linked to it
-    and its row says 'ready to label'. Run again over the same ``root``, finished tasks are read and not repeated."""
-    state = dict(tables)
-    for k, task in enumerate(tasks):
-        folder, task_id = f"{root.rstrip('/')}/v{k:02d}", first_task_id + k
-        if not _finished(spark, folder):
-            _run_task(spark, state, task, folder, task_id, as_of)
-        row = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
-        for name in row.changed:
-            state[name] = spark.read.parquet(f"{folder}/{name}")
-    return state
+    and its row says 'ready to label'. Run again over the same ``root`` and tables, finished tasks are read and not repeated."""
+    root = _qualified(spark, root.rstrip("/"))
+    versions = _Versions(spark, tables)
+    try:
+        if not _finished(spark, f"{root}/start"):
+            _start(spark, tables, f"{root}/start")
+        buckets = versions.take(f"{root}/start")
+        for k, task in enumerate(tasks):
+            folder, task_id = f"{root}/v{k:02d}", first_task_id + k
+            if not _finished(spark, folder):
+                _run_task(spark, versions.tables(), task, folder, task_id, as_of, buckets)
+            versions.take(folder)
+    finally:
+        last = versions.close()
+    return last
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    place, fs = _path(spark, path)
+    return fs.makeQualified(place).toString()
 
 
 def _finished(spark: SparkSession, folder: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest/_SUCCESS")
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    place, fs = _path(spark, f"{folder}/manifest/_SUCCESS")
+    return fs.exists(place)
+
+
+def _start(spark: SparkSession, tables: dict, folder: str) -> None:
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, IN_BUCKETS):
+        _put({"urls": tables["urls"].repartition(buckets, "id")}, folder, buckets)
+    _manifest(spark, folder, None, "start", "ready", ["urls"], [], buckets)
 
 
-def _run_task(spark: SparkSession, state: dict, task: tk.Task, folder: str, task_id: int, as_of) -> None:
+def _run_task(spark: SparkSession, state: dict, task: tk.Task, folder: str, task_id: int, as_of, buckets: int) -> None:
     now, outcome = F.lit(as_of).cast("timestamp_ntz"), "ready to label"
-    queue = written(task.queue(state), "task-queue")
+    scratch = _qualified(spark, f"{checkpoint_dir(spark).rstrip('/')}/urlsift-tables/cycle-{uuid.uuid4().hex}")
     changed: list[str] = []
-    if queue.isEmpty():
-        outcome = "skipped"
-    else:
-        try:
-            new = _merged(state, task.apply(queue, state), task_id, as_of)
-            new["link_task_urls"] = state["link_task_urls"].unionByName(_align(tk.link_task_urls(task_id, queue), state["link_task_urls"]))
-            changed = _put(new, folder)
-        except Exception as failure:  # whatever stops a task is recorded as its error
-            outcome = "error"
-            errors = state["task_errors"]
-            changed = _put({"task_errors": _row(spark, errors, task_id=task_id, error=str(failure)[:2000], updated_at=now)}, folder)
-        changed += _put({"tasks": _row(spark, state["tasks"], id=task_id, task_type=task.name, task_status=outcome, updated_at=now)}, folder)
-    spark.range(1).select(F.lit(task_id).cast("long").alias("task_id"), F.lit(task.name).alias("task_type"), F.lit(outcome).alias("outcome"),
-                          F.array(*map(F.lit, changed)).cast("array<string>").alias("changed")).write.mode("overwrite").parquet(f"{folder}/manifest")
-
-
-def _put(tables: dict, folder: str) -> list[str]:
+    appended: list[str] = []
+    held = None
+    try:
+        with settings(spark, IN_BUCKETS):
+            queue = task.queue(state)
+            key = "url_id" if "url_id" in queue.columns else "id"
+            _write_bucketed(queue, f"{scratch}/queue", key, buckets)
+            held, queue = _bucketed(spark, f"{scratch}/queue", queue, key, buckets)
+            if queue.isEmpty():
+                outcome = "skipped"
+            else:
+                try:
+                    whole, rows = _merged(state, task.apply(queue, state), task_id, as_of, partial(written, folder=scratch))
+                    rows["link_task_urls"] = tk.link_task_urls(task_id, queue)
+                    changed, appended = _put(_like(whole, state), folder, buckets), _put(_like(rows, state), folder)
+                except Exception as failure:  # whatever stops a task is recorded as its error
+                    outcome, changed = "error", []
+                    appended = _put(_like({"task_errors": _row(spark, task_id=task_id, error=str(failure)[:2000], updated_at=now)}, state), folder)
+                appended += _put(_like({"tasks": _row(spark, id=task_id, task_type=task.name, task_status=outcome, updated_at=now)}, state), folder)
+    finally:
+        if held:
+            _forget(spark, held)
+        place, fs = _path(spark, scratch)
+        fs.delete(place, True)
+    _manifest(spark, folder, task_id, task.name, outcome, changed, appended, buckets)
+
+
+def _manifest(spark: SparkSession, folder: str, task_id: int | None, name: str, outcome: str, changed: list[str], appended: list[str], buckets: int) -> None:
+    names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    spark.range(1).select(F.lit(task_id).cast("long").alias("task_id"), F.lit(name).alias("task_type"), F.lit(outcome).alias("outcome"), names(changed).alias("changed"),
+                          names(appended).alias("appended"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/manifest")
+
+
+def _like(tables: dict, state: dict) -> dict:
+    return {name: _align(df, state[name]) for name, df in tables.items()}
+
+
+def _put(tables: dict, folder: str, buckets: int | None = None) -> list[str]:
     for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        if name == "urls":
+            _write_bucketed(df, f"{folder}/{name}", "id", buckets)
+        else:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
     return list(tables)
+
+
+def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    table = f"urlsift_{uuid.uuid4().hex}"
+    df.write.mode("overwrite").option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    _forget(df.sparkSession, table)
+
+
+def _bucketed(spark: SparkSession, path: str, like: DataFrame, key: str, buckets: int) -> tuple[str, DataFrame]:
+    """The stored buckets as a table of the session's catalogue, which alone tells a plan of them: (its name, its rows)."""
+    table, quoted = f"urlsift_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in like.schema.fields)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+    return table, spark.table(table)
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files lie outside the warehouse and stay

@@ -19,15 +19,17 @@ from urlsift.functions.scalars import surrogate_key
 from urlsift.session import written
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the row that sorts first by ``order`` (ties broken by ``carry``); columns keys+order+carry.
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """One row per key: the row that sorts first by ``order`` (ties broken by ``carry``); columns keys+order+carry, and the
+    number of the key's rows as ``count`` where that is named.
 
     A minimum of structs is found by sorting, so rows are dealt by their content first: what a task sorts is a shuffle
     partition, however large the files or row groups are, and a hot key's rows are reduced in many of them."""
     fields = [*order, *[c for c in carry if c not in order]]
     best = F.min(F.struct(*[F.col(c) for c in fields])).alias("_first")
     dealt = df.select(*dict.fromkeys([*keys, *fields])).repartition(*dict.fromkeys([*keys, *order]))
-    return dealt.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields])
+    rows = [F.count(F.lit(1)).alias(count)] if count else []
+    return dealt.groupBy(*keys).agg(best, *rows).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields], *[count] * bool(count))
 
 
 def repeated(df: DataFrame, n: str) -> DataFrame:
@@ -76,6 +78,20 @@ def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return firsts.unionByName(repeated(runs.drop("n_first"), "n_repeat").withColumn("is_first", F.lit(False)))
 
 
+def without_firsts(df: DataFrame, keys: Sequence[str], firsts: DataFrame, count: str) -> DataFrame:
+    """The rows of E2 that are not first, in the columns a result needs: ``df`` less one copy of every row of ``firsts``, which
+    has the same columns and the number of its key's rows (``first_rows``).
+
+    Rows are counts until they are listed. What decides who is first is not moved again, and rows that are alone under their
+    key meet the keys that have several and go no further."""
+    cols, one = df.columns, F.lit(1).cast("long")
+    several = firsts.where(F.col(count) > 1).select(*cols)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = df.join(several.select(*[F.col(k).alias(f"_{k}") for k in keys]), same, "left_semi")
+    counts = dealt(rows).withColumn("_n", one).unionByName(several.withColumn("_n", -one))
+    return repeated(counts.groupBy(*cols).agg(F.sum("_n").alias("_n")), "_n")
+
+
 # widths of generated ids: the first is used unless an id is taken, then the next; the last is tried with new seeds
 ID_WIDTHS = (52, 57, 61)
 

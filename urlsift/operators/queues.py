@@ -188,8 +188,9 @@ def queue_record_type(t, k: int | None = None) -> DataFrame:
     return _rank(q.join(html, "id"), ["id"], k)
 
 
-def _url_batch(t) -> DataFrame:
-    return t["link_batch_urls"].join(
+def _url_batch(t, q: DataFrame) -> DataFrame:
+    """The batches of a queue's URLs; only their links meet the batches."""
+    return t["link_batch_urls"].join(q.select(F.col("id").alias("url_id")), "url_id", "left_semi").join(
         t["batches"].select(F.col("id").alias("batch_id"), "strategy"), "batch_id").select(
         F.col("url_id").alias("id"), "batch_id", "strategy")
 
@@ -200,7 +201,7 @@ def queue_agency(t, k: int | None = None) -> DataFrame:
     u = _pending_urls(t)
     q = user_suggestion_not_exists(u, t["automated_url_agency_suggestions"])
     q = user_suggestion_not_exists(q, t["confirmed_url_agency"])
-    q = q.select("id", "url", _opt(q, "collector_metadata")).join(_url_batch(t), "id", "left")
+    q = q.select("id", "url", _opt(q, "collector_metadata")).join(_url_batch(t, q), "id", "left")
     return _rank(q, ["id"], k)
 
 
@@ -209,7 +210,7 @@ def queue_misc_metadata(t, k: int | None = None) -> DataFrame:
     u = _pending_urls(t)
     u = u.where(_opt(u, "name").isNull() & _opt(u, "description").isNull())
     q = user_suggestion_not_exists(u, t["url_optional_data_source_metadata"])
-    q = q.select("id", "url", _opt(q, "collector_metadata")).join(_url_batch(t), "id")
+    q = q.select("id", "url", _opt(q, "collector_metadata")).join(_url_batch(t, q), "id")
     return _rank(q, ["id"], k)
 
 

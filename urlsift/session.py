@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from typing import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +61,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or local
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+# shuffle files are deleted when the statement that made them ends, not when the driver happens to collect its plan
+RELEASE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the statements run inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: what several results are made from is
-    computed once, and a lost executor costs tasks, not the lineage."""
+    computed once, and a lost executor costs tasks, not the lineage. The shuffle files of the write serve nothing else and
+    go with it. ``folder``: where a caller that deletes its tables wants them."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/urlsift-tables/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{folder or checkpoint_dir(spark).rstrip('/') + '/urlsift-tables'}/{tag}-{uuid.uuid4().hex}"
+    with settings(spark, RELEASE):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

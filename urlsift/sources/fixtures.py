@@ -23,8 +23,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsift.operators.loads import dealt, first_occurrence, first_rows
-from urlsift.session import checkpoint_dir
+from urlsift.operators.loads import dealt, first_rows, without_firsts
+from urlsift.session import RELEASE, checkpoint_dir, settings
 
 # (application id, data dir, table) -> path of the written table, filled after a successful write
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -111,7 +111,8 @@ class Tables:
         if path is None:
             tag = hashlib.sha1(f"{key[0]}|{self.sf_dir}".encode()).hexdigest()[:16]
             path = f"{checkpoint_dir(self.spark).rstrip('/')}/urlsift-model/{tag}/{name}"
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            with settings(self.spark, RELEASE):
+                df.write.mode("overwrite").option("compression", "zstd").parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(path)
 
@@ -152,7 +153,7 @@ class Tables:
     def _firsts(self) -> DataFrame:
         # without the URL itself: it is made again from the two keys where it is read
         c = self.collected.select("url_id", "l_partkey", "l_suppkey", *ARRIVAL_ORDER)
-        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["l_partkey", "l_suppkey"])
+        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["l_partkey", "l_suppkey"], count="collections")
 
     @view_property
     def urls(self) -> DataFrame:
@@ -166,9 +167,8 @@ class Tables:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        c = self.collected.select("url_id", *ARRIVAL_ORDER)
-        ranked = first_occurrence(c, ["url_id"], ARRIVAL_ORDER)
-        return ranked.where(~F.col("is_first")).select("batch_id", F.col("url_id").alias("original_url_id"))
+        later = without_firsts(self.collected.select("batch_id", "url_id"), ["url_id"], self._firsts.select("batch_id", "url_id", "collections"), "collections")
+        return later.select("batch_id", F.col("url_id").alias("original_url_id"))
 
     # ---- annotations -------------------------------------------------------------------------------------------
     def _collected_by_user(self, cols, cond) -> DataFrame:
