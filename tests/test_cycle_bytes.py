@@ -51,7 +51,9 @@ def test_cycle_writes_what_changes(spark, tmp_path):
     assert sorted(map(tuple, out["url_error_info"].where("error = 'bad'").collect())) == [(2, 72, "bad"), (7, 72, "bad")] and out["url_error_info"].count() == 302
     rows = lambda *at: sum(ds.dataset(f).count_rows() for f in glob.glob(os.path.join(tmp_path, "c", *at, "*.parquet")))
     assert [rows(f"v{k:02d}", "link_task_urls") for k in range(3)] == [41, 31, 31] and rows("v*", "url_error_info") == 2
-    assert not os.path.exists(f"{tmp_path}/c/v01/urls")
+    assert not os.path.exists(f"{tmp_path}/c/v01/urls") and rows("v00", "urls") == 20 and rows("v02", "urls") == 31
+    again = cycle.run_cycle(spark, _tables(spark, urls), tasks, f"{tmp_path}/c", 70, NOW)
+    assert Counter(map(tuple, again["urls"].collect())) == want and again["link_task_urls"].count() == out["link_task_urls"].count()
     # nothing that a task stores for itself outlives it
     assert set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/urlsift-tables/*")) == before
     assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("urlsift_")]
@@ -65,14 +67,16 @@ def test_joins_by_url_do_not_move_the_urls(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     seen = []
     try:
-        write = cycle._write_bucketed
-        monkeypatch.setattr(cycle, "_write_bucketed", lambda df, path, key, n: (seen.append((path, df._jdf.queryExecution().executedPlan().toString())), write(df, path, key, n)) and None)
+        write = cycle.write_bucketed
+        monkeypatch.setattr(cycle, "write_bucketed", lambda df, path, key, n: (seen.append((path, df._jdf.queryExecution().executedPlan().toString())), write(df, path, key, n)) and None)
         out = cycle.run_cycle(spark, {**tables, "url_error_info": tables["url_error_info"].where("url_id < 50")}, [task], f"{tmp_path}/c", 70, NOW)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r.outcome for r in out["urls"].where("id >= 50").collect()} == {"seen"} and out["urls"].where("outcome = 'pending'").count() == 50
     queue = next(plan for path, plan in seen if path.endswith("/queue"))
     assert "SortMergeJoin" in queue and queue.count("Exchange hashpartitioning") == 1
+    whole = out["urls"].inputFiles()
+    assert whole and all("/c/end01/urls/" in f for f in whole)
 
 
 def _lineitem(spark, folder, rows):

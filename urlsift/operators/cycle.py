@@ -4,8 +4,9 @@ Every task reads stored tables and writes what it changes to ``root/v<NN>/<table
 plan never grows with the tasks before it, and a cycle that was cut off goes on behind its last finished task.
 
 Bytes follow what changes: rows that a task appends are written alone and read together with the table's last whole
-version; ``urls`` and each queue lie in buckets of their key, as many as there are shuffle partitions, so that a join by URL
-moves the other side only. What a task stores for itself is deleted when it ends, shuffle files with the statement that made them.
+version, and of ``urls`` a version holds the changed columns of the URLs changed so far, which overlay the URLs given; they are
+written whole once, at the end. URLs, their changes and each queue lie in buckets of the URL, so that a join by it moves the
+other side only. What a task stores for itself is deleted when it ends, shuffle files with the statement that made them.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from pyspark.sql import functions as F
 from urlsift.functions.html import html_content_wide
 from urlsift.operators import queues as qs
 from urlsift.operators import tasks as tk
-from urlsift.operators.review import TABLE_KEYS, _align, overlay, set_status, upsert
-from urlsift.session import RELEASE, checkpoint_dir, settings, written
+from urlsift.operators.buckets import IN_BUCKETS, bucket_count, bucketed, forget, write_bucketed
+from urlsift.operators.review import TABLE_KEYS, _align, folded, overlay, set_status, upsert
+from urlsift.session import checkpoint_dir, settings, written
 
-# changed: whole tables, appended: new rows only, buckets: those of ``urls``
+# changed: whole tables (of ``urls`` all changes so far), appended: new rows only, buckets: those of the URLs
 MANIFEST = "task_id long, task_type string, outcome string, changed array<string>, appended array<string>, buckets int"
-# a table in buckets is read by them in every plan, so that what is made from it row by row lies in them too
-IN_BUCKETS = {**RELEASE, "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 Answers = dict[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -46,28 +46,31 @@ def standard_tasks(answers: Answers, as_of) -> list[tk.Task]:
     ]
 
 
-def _merged(state: dict, ch: tk.Changes, task_id: int, as_of, store: Callable[[DataFrame, str], DataFrame]) -> tuple[dict, dict]:
-    """The tables a task changes, and the rows it appends to others. What several tables are made from is stored first."""
+def _merged(state: dict, changes: DataFrame | None, ch: tk.Changes, task_id: int, as_of, buckets: int, store: Callable[[DataFrame, str], DataFrame]) -> tuple[dict, dict]:
+    """The tables a task changes (of ``urls`` all changes so far), and the rows it appends to others. What several tables
+    are made from is stored first."""
     updates = store(ch.status_updates.select("url_id", "outcome"), "task-updates") if ch.status_updates is not None else None
     whole: dict[str, DataFrame] = {}
     rows: dict[str, DataFrame] = {}
-    urls = state["urls"]
+    later = []
     if "urls" in ch.upserts:
-        urls = overlay(urls, store(ch.upserts["urls"], "task-urls"), "id", "url_id", as_of)
-        whole["urls"] = urls
+        named = ch.upserts["urls"]
+        later.append(store(named.select("url_id", *[c for c in named.columns if c != "url_id" and c in state["urls"].columns]), "task-urls").repartition(buckets, "url_id"))
     if ch.errors is not None:
         errors = store(ch.errors.groupBy("url_id").agg(F.min("error").alias("error")), "task-errors")
-        error_rows, failed = tk.record_errors(errors, task_id, as_of)
-        rows["url_error_info"] = error_rows
+        rows["url_error_info"], failed = tk.record_errors(errors, task_id, as_of)
         # an error outranks any other transition of the same run
         updates = failed if updates is None else updates.join(failed, "url_id", "left_anti").unionByName(failed)
     if updates is not None and not updates.isEmpty():
-        whole["urls"] = set_status(urls, updates.distinct(), as_of)
+        later.append(updates.repartition(buckets, "url_id").distinct())
+    for df in later:
+        df = df.select("url_id", *[F.col(c).cast(state["urls"].schema[c].dataType).alias(c) for c in df.columns if c != "url_id"])
+        changes = whole["urls"] = df if changes is None else folded(changes, df, "url_id")
     rows |= ch.appends
     for name, df in ch.upserts.items():
         if name != "urls":
             whole[name] = upsert(state[name], _align(store(df.dropDuplicates(TABLE_KEYS[name]), "task-rows"), state[name]), TABLE_KEYS[name])
-    for name in whole.keys() & rows.keys():
+    for name in whole.keys() & rows.keys() - {"urls"}:
         whole[name] = whole[name].unionByName(_align(rows.pop(name), state[name]))
     return whole, rows
 
@@ -77,60 +80,78 @@ def _row(spark: SparkSession, **values) -> DataFrame:
 
 
 class _Versions:
-    """The tables between two tasks: the last whole version of each with the rows appended since."""
+    """The tables between two tasks: the last whole version of each with the rows appended since, ``urls`` with their changes."""
 
-    def __init__(self, spark: SparkSession, tables: dict):
-        self.spark, self.whole, self.added, self.catalogued = spark, dict(tables), {}, []
-        self.urls_path: str | None = None
+    def __init__(self, spark: SparkSession, tables: dict, as_of):
+        self.spark, self.as_of, self.whole, self.added = spark, as_of, dict(tables), {}
+        self.changes: DataFrame | None = None
+        self.catalogued: list[str] = []
 
-    def take(self, folder: str) -> int | None:
-        """What a finished task left in ``folder``; returns the number of buckets of its ``urls``."""
+    def start(self, folder: str, buckets: int) -> None:
+        self.whole["urls"] = self._bucketed(f"{folder}/urls", self.whole["urls"], "id", buckets)
+
+    def take(self, folder: str) -> None:
+        """What a finished task left in ``folder``."""
         row = self.spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
         for name in row.changed:
-            path = f"{folder}/{name}"
-            if name == "urls" and row.buckets:
-                self.urls_path, (table, self.whole[name]) = path, _bucketed(self.spark, path, self.whole[name], "id", row.buckets)
-                self.catalogued.append(table)
+            stored = self.spark.read.parquet(f"{folder}/{name}")
+            if name == "urls":
+                self.changes = self._bucketed(f"{folder}/urls", stored, "url_id", row.buckets)
             else:
-                self.whole[name] = self.spark.read.parquet(path)
-            self.added.pop(name, None)
-        for name in row.appended or []:
+                self.whole[name] = stored
+                self.added.pop(name, None)
+        for name in row.appended:
             self.added.setdefault(name, []).append(f"{folder}/{name}")
-        return row.buckets
 
     def tables(self) -> dict:
-        return {name: df if name not in self.added else df.unionByName(self.spark.read.schema(df.schema).parquet(*self.added[name]))
-                for name, df in self.whole.items()}
-
-    def close(self) -> dict:
-        """The last versions, ``urls`` as plain files; no table stays in the session's catalogue."""
-        if self.urls_path:
-            self.whole["urls"] = self.spark.read.schema(self.whole["urls"].schema).parquet(self.urls_path)
+        state = {name: df if name not in self.added else df.unionByName(self.spark.read.schema(df.schema).parquet(*self.added[name]))
+                 for name, df in self.whole.items()}
+        if self.changes is not None:
+            if len(self.changes.columns) > 1 + ("outcome" in self.changes.columns):
+                state["urls"] = overlay(state["urls"], self.changes.drop("outcome"), "id", "url_id", self.as_of)
+            if "outcome" in self.changes.columns:
+                state["urls"] = set_status(state["urls"], self.changes, self.as_of)
+        return state
+
+    def _bucketed(self, path: str, like: DataFrame, key: str, buckets: int) -> DataFrame:
+        table, df = bucketed(self.spark, path, like, key, buckets)
+        self.catalogued.append(table)
+        return df
+
+    def close(self) -> None:
         for table in self.catalogued:
-            _forget(self.spark, table)
-        return self.tables()
+            forget(self.spark, table)
 
 
-def run_cycle(spark: SparkSession, tables: dict, tasks: list[tk.Task], root: str, first_task_id: int, as_of) -> dict:
+def run_cycle(spark: SparkSession, tables: dict, tasks: list[tk.Task], root: str, first_task_id: int, as_of, buckets: int | None = None) -> dict:
     """Run the tasks in order, each once over its whole queue; the result maps table names to their last versions.
 
     A task with an empty queue is skipped. One that fails changes nothing but gets its row in ``tasks`` with status
     'error' and its message in ``task_errors``; the next task goes on from the tables before it. Otherwise its URLs are linked to it
-    and its row says 'ready to label'. Run again over the same ``root`` and tables, finished tasks are read and not repeated."""
+    and its row says 'ready to label'. Run again over the same ``root`` and tables, finished tasks are read and not repeated.
+    ``buckets``: in how many buckets of its id the given ``urls`` lies; without, it is stored so first."""
     root = _qualified(spark, root.rstrip("/"))
-    versions = _Versions(spark, tables)
+    versions = _Versions(spark, tables, as_of)
     try:
-        if not _finished(spark, f"{root}/start"):
-            _start(spark, tables, f"{root}/start")
-        buckets = versions.take(f"{root}/start")
+        if buckets is None:
+            buckets = _start(spark, tables, f"{root}/start")
+            versions.start(f"{root}/start", buckets)
         for k, task in enumerate(tasks):
             folder, task_id = f"{root}/v{k:02d}", first_task_id + k
             if not _finished(spark, folder):
-                _run_task(spark, versions.tables(), task, folder, task_id, as_of, buckets)
+                _run_task(spark, versions.tables(), versions.changes, task, folder, task_id, as_of, buckets)
             versions.take(folder)
+        last = versions.tables()
+        if versions.changes is None:
+            return last | {"urls": tables["urls"]}
+        end = f"{root}/end{len(tasks):02d}"
+        if not _finished(spark, end):
+            with settings(spark, IN_BUCKETS):
+                changed = _put({"urls": last["urls"]}, end)
+            _manifest(spark, end, None, "end", "ready", changed, [], buckets)
+        return last | {"urls": spark.read.schema(last["urls"].schema).parquet(f"{end}/urls")}
     finally:
-        last = versions.close()
-    return last
+        versions.close()
 
 
 def _path(spark: SparkSession, path: str):
@@ -148,14 +169,17 @@ def _finished(spark: SparkSession, folder: str) -> bool:
     return fs.exists(place)
 
 
-def _start(spark: SparkSession, tables: dict, folder: str) -> None:
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with settings(spark, IN_BUCKETS):
-        _put({"urls": tables["urls"].repartition(buckets, "id")}, folder, buckets)
-    _manifest(spark, folder, None, "start", "ready", ["urls"], [], buckets)
+def _start(spark: SparkSession, tables: dict, folder: str) -> int:
+    """The given URLs in buckets of their id, stored once; returns the number of buckets."""
+    if not _finished(spark, folder):
+        buckets = bucket_count(spark)
+        with settings(spark, IN_BUCKETS):
+            write_bucketed(tables["urls"].repartition(buckets, "id"), f"{folder}/urls", "id", buckets)
+        _manifest(spark, folder, None, "start", "ready", [], [], buckets)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first().buckets
 
 
-def _run_task(spark: SparkSession, state: dict, task: tk.Task, folder: str, task_id: int, as_of, buckets: int) -> None:
+def _run_task(spark: SparkSession, state: dict, changes: DataFrame | None, task: tk.Task, folder: str, task_id: int, as_of, buckets: int) -> None:
     now, outcome = F.lit(as_of).cast("timestamp_ntz"), "ready to label"
     scratch = _qualified(spark, f"{checkpoint_dir(spark).rstrip('/')}/urlsift-tables/cycle-{uuid.uuid4().hex}")
     changed: list[str] = []
@@ -165,22 +189,26 @@ def _run_task(spark: SparkSession, state: dict, task: tk.Task, folder: str, task
         with settings(spark, IN_BUCKETS):
             queue = task.queue(state)
             key = "url_id" if "url_id" in queue.columns else "id"
-            _write_bucketed(queue, f"{scratch}/queue", key, buckets)
-            held, queue = _bucketed(spark, f"{scratch}/queue", queue, key, buckets)
+            write_bucketed(queue, f"{scratch}/queue", key, buckets)
+            held, queue = bucketed(spark, f"{scratch}/queue", queue, key, buckets)
             if queue.isEmpty():
                 outcome = "skipped"
             else:
                 try:
-                    whole, rows = _merged(state, task.apply(queue, state), task_id, as_of, partial(written, folder=scratch))
+                    whole, rows = _merged(state, changes, task.apply(queue, state), task_id, as_of, buckets, partial(written, folder=scratch))
                     rows["link_task_urls"] = tk.link_task_urls(task_id, queue)
-                    changed, appended = _put(_like(whole, state), folder, buckets), _put(_like(rows, state), folder)
+                    if "urls" in whole:
+                        write_bucketed(whole.pop("urls"), f"{folder}/urls", "url_id", buckets)
+                        changed.append("urls")
+                    changed += _put(_like(whole, state), folder)
+                    appended = _put(_like(rows, state), folder)
                 except Exception as failure:  # whatever stops a task is recorded as its error
                     outcome, changed = "error", []
                     appended = _put(_like({"task_errors": _row(spark, task_id=task_id, error=str(failure)[:2000], updated_at=now)}, state), folder)
                 appended += _put(_like({"tasks": _row(spark, id=task_id, task_type=task.name, task_status=outcome, updated_at=now)}, state), folder)
     finally:
         if held:
-            _forget(spark, held)
+            forget(spark, held)
         place, fs = _path(spark, scratch)
         fs.delete(place, True)
     _manifest(spark, folder, task_id, task.name, outcome, changed, appended, buckets)
@@ -196,28 +224,7 @@ def _like(tables: dict, state: dict) -> dict:
     return {name: _align(df, state[name]) for name, df in tables.items()}
 
 
-def _put(tables: dict, folder: str, buckets: int | None = None) -> list[str]:
+def _put(tables: dict, folder: str) -> list[str]:
     for name, df in tables.items():
-        if name == "urls":
-            _write_bucketed(df, f"{folder}/{name}", "id", buckets)
-        else:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
     return list(tables)
-
-
-def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    table = f"urlsift_{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(table)
-    _forget(df.sparkSession, table)
-
-
-def _bucketed(spark: SparkSession, path: str, like: DataFrame, key: str, buckets: int) -> tuple[str, DataFrame]:
-    """The stored buckets as a table of the session's catalogue, which alone tells a plan of them: (its name, its rows)."""
-    table, quoted = f"urlsift_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
-    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in like.schema.fields)
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{quoted}'")
-    return table, spark.table(table)
-
-
-def _forget(spark: SparkSession, table: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files lie outside the warehouse and stay

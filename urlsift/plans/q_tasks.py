@@ -295,9 +295,10 @@ def _cycle_answers(t):
 def _cycle(spark, d):
     """Every table the eight tasks change, after the cycle, as (table, key, value)."""
     t = load_model(spark, d)
-    state = {n: t[n] for n in _CYCLE_TABLES}
-    state["urls"] = t["urls"].select("*", *[F.lit(None).cast("string").alias(c) for c in ("name", "description")])
-    out = cycle.run_cycle(spark, state, cycle.standard_tasks(_cycle_answers(t), AS_OF), scratch_path(spark, "cycle"), 900001, AS_OF)
+    with t.in_buckets() as (stored, buckets):
+        state = {n: stored[n] for n in _CYCLE_TABLES}
+        state["urls"] = stored["urls"].select("*", *[F.lit(None).cast("string").alias(c) for c in ("name", "description")])
+        out = cycle.run_cycle(spark, state, cycle.standard_tasks(_cycle_answers(t), AS_OF), scratch_path(spark, "cycle"), 900001, AS_OF, buckets)
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     shown = {

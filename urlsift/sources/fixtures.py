@@ -19,15 +19,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+from contextlib import contextmanager
+from typing import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsift.operators.buckets import bucket_count, bucketed, forget, write_bucketed
 from urlsift.operators.loads import dealt, first_rows, without_firsts
 from urlsift.session import RELEASE, checkpoint_dir, settings
 
 # (application id, data dir, table) -> path of the written table, filled after a successful write
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+# stored tables that are dealt by a key when they are made lie in buckets of it; path -> number of buckets
+BUCKET_KEYS = {"_firsts": "url_id"}
+_BUCKETS: dict[str, int] = {}
 
 
 def cached_property(fn):
@@ -112,10 +118,31 @@ class Tables:
             tag = hashlib.sha1(f"{key[0]}|{self.sf_dir}".encode()).hexdigest()[:16]
             path = f"{checkpoint_dir(self.spark).rstrip('/')}/urlsift-model/{tag}/{name}"
             with settings(self.spark, RELEASE):
-                df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+                if name in BUCKET_KEYS:
+                    _BUCKETS[path] = bucket_count(self.spark)
+                    write_bucketed(df, path, BUCKET_KEYS[name], _BUCKETS[path])
+                else:
+                    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(path)
 
+    @contextmanager
+    def in_buckets(self) -> Iterator[tuple[Tables, int | None]]:
+        """The same tables, those that are views of the first collections read by the buckets of their URL, and the number of
+        buckets (none where nothing is stored). For the length of the block the catalogue has a table of them."""
+        firsts = self._firsts
+        path = _WRITTEN.get((self.spark.sparkContext.applicationId, self.sf_dir, "_firsts")) if self.materialize else None
+        if path is None:
+            yield self, None
+            return
+        table, rows = bucketed(self.spark, path, firsts, BUCKET_KEYS["_firsts"], _BUCKETS[path])
+        try:
+            other = Tables(self.spark, self.sf_dir, self.materialize)
+            other.__dict__["_cache"] = {"_firsts": rows}
+            yield other, _BUCKETS[path]
+        finally:
+            forget(self.spark, table)
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
