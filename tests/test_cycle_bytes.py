@@ -59,6 +59,17 @@ def test_cycle_writes_what_changes(spark, tmp_path):
     assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("urlsift_")]
 
 
+def test_urls_named_twice_stay_two_rows(spark, tmp_path):
+    """A URL that a task's queue holds twice is overlaid twice; later changes keep its rows and do not multiply them."""
+    twice = lambda q: q.where("url_id < 4").crossJoin(spark.range(2).select((F.col("id") * 0).alias("copy")))
+    tasks = [_task("names", lambda q: Changes(upserts={"urls": twice(q).select("url_id", F.concat(F.lit("n"), "url_id").alias("name"))},
+                                              errors=q.where("url_id = 1").select("url_id", F.lit("bad").alias("error")))),
+             _task("seen", lambda q: Changes(status_updates=q.where("url_id % 2 = 0").select("url_id", F.lit("seen").alias("outcome"))))]
+    out = cycle.run_cycle(spark, _tables(spark, [(k, "pending", None) for k in range(8)]), tasks, f"{tmp_path}/c", 70, NOW)
+    want = Counter({(k, "error" if k == 1 else "seen" if k % 2 == 0 else "pending", f"n{k}" if k < 4 else None): 2 if k < 4 else 1 for k in range(8)})
+    assert Counter(map(tuple, out["urls"].collect())) == want
+
+
 def test_joins_by_url_do_not_move_the_urls(spark, tmp_path, monkeypatch):
     """A queue and the merge of a task's updates read the URLs where they lie: of two sides one is shuffled at most."""
     tables = _tables(spark, [(k, "pending", None) for k in range(200)])

@@ -106,11 +106,9 @@ class _Versions:
     def tables(self) -> dict:
         state = {name: df if name not in self.added else df.unionByName(self.spark.read.schema(df.schema).parquet(*self.added[name]))
                  for name, df in self.whole.items()}
-        if self.changes is not None:
-            if len(self.changes.columns) > 1 + ("outcome" in self.changes.columns):
-                state["urls"] = overlay(state["urls"], self.changes.drop("outcome"), "id", "url_id", self.as_of)
-            if "outcome" in self.changes.columns:
-                state["urls"] = set_status(state["urls"], self.changes, self.as_of)
+        if self.changes is not None:  # in one join, also where only outcomes changed
+            merge = set_status if self.changes.columns == ["url_id", "outcome"] else partial(overlay, key_current="id", key_changes="url_id")
+            state["urls"] = merge(state["urls"], self.changes, as_of=self.as_of)
         return state
 
     def _bucketed(self, path: str, like: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -19,15 +19,20 @@ from urlsift.functions.scalars import surrogate_key
 from urlsift.session import written
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), count: str | None = None) -> DataFrame:
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), count: str | None = None,
+               made: dict[str, Column] | None = None) -> DataFrame:
     """One row per key: the row that sorts first by ``order`` (ties broken by ``carry``); columns keys+order+carry, and the
-    number of the key's rows as ``count`` where that is named.
+    number of the key's rows as ``count`` where that is named. ``made``: keys that the other columns give, by expressions; they
+    are made where rows have been dealt, instead of being dealt with them.
 
     A minimum of structs is found by sorting, so rows are dealt by their content first: what a task sorts is a shuffle
     partition, however large the files or row groups are, and a hot key's rows are reduced in many of them."""
     fields = [*order, *[c for c in carry if c not in order]]
     best = F.min(F.struct(*[F.col(c) for c in fields])).alias("_first")
-    dealt = df.select(*dict.fromkeys([*keys, *fields])).repartition(*dict.fromkeys([*keys, *order]))
+    made = made or {}
+    own = [*dict.fromkeys([*[k for k in keys if k not in made], *fields])]
+    dealt = df.select(*own).repartition(*([c for c in own if c in keys or c in order] if not made else own))
+    dealt = dealt.select(*own, *[v.alias(k) for k, v in made.items()])
     rows = [F.count(F.lit(1)).alias(count)] if count else []
     return dealt.groupBy(*keys).agg(best, *rows).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields], *[count] * bool(count))
 

@@ -179,8 +179,9 @@ class Tables:
     @cached_property
     def _firsts(self) -> DataFrame:
         # without the URL itself: it is made again from the two keys where it is read
-        c = self.collected.select("url_id", "l_partkey", "l_suppkey", *ARRIVAL_ORDER)
-        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["l_partkey", "l_suppkey"], count="collections")
+        c = self.collected.select("l_partkey", "l_suppkey", *ARRIVAL_ORDER)
+        return first_rows(c, ["url_id"], ARRIVAL_ORDER, carry=["l_partkey", "l_suppkey"], count="collections",
+                          made={"url_id": _url_id(F.col("l_suppkey"), F.col("l_partkey"))})
 
     @view_property
     def urls(self) -> DataFrame:
